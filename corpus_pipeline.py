@@ -10,6 +10,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from hustings.llm.common import materialize
+from hustings.llm.jaccard import jaccard_stage
 from hustings.llm.line_dedup import dedup_lines
 from hustings.llm.mixing import mixing_stage
 from hustings.llm.packing import packing_stage
@@ -21,7 +22,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_stage), ("line dedup", line_stage), ("mixing sources to target weights", mixing_stage), ("best-fit packing", packing_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 #: Tokens and shingle joins are beyond SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 

@@ -1,41 +1,15 @@
-"""Helpers shared by the training-data operators: tables kept in the shared folder, and ranks inside groups of any size."""
+"""Helpers shared by the training-data operators: salts, and ranks inside groups of any size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
+from hustings.shared import materialize  # noqa: F401  used by the operators through this module
+
 #: The six characters that separate words and are stripped from lines. ``bytes.split()`` and ``bytes.strip()`` use the same six.
 SPACE = " \t\n\x0b\x0c\r"
 
-#: Sessions without spark.checkpoint.dir (tests on one machine) share this folder; it is made on first use.
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, one of this process's own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="hustings-"))
-    return _own_folder[0]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return it as read back.
-
-    Cuts the lineage: what is read later survives the loss of any executor, and is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/hustings-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, packing, quality, secrets, sharding
+from . import jaccard, line_dedup, media, mixing, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_mixing_sources": mixing.op7_mixing_sources,
     "op9_sharding": sharding.op9_sharding,
+    "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 SQL = {"op1_secret_scans": secrets.OP1_SQL, "op2_quality_rules": quality.OP2_SQL, "op5_line_dedup": line_dedup.OP5_SQL}
