@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_dedup, media, mixing, packing, quality, secrets, sharding
+from . import html_extraction, jaccard, language_model, line_dedup, media, mixing, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_media_columns": media.op3_media_columns,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_mixing_sources": mixing.op7_mixing_sources,
+    "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
