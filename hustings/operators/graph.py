@@ -35,3 +35,97 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         moved = left.join(pa, "a").join(pb, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         left = materialize(moved)
     return labels if labels is not None else left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def within_hops(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """Rows (start, id, hops): what is reached from each start in so many steps at most, and in how many; the start itself in none."""
+    step = both_ways(edges)
+    reached = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops"))
+    for k in range(1, hops + 1):
+        front = reached.filter(F.col("hops") == k - 1).join(step, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.lit(k).alias("hops")).distinct()
+        reached = reached.unionByName(front.join(reached.select("start", "id"), ["start", "id"], "left_anti"))
+    return reached
+
+
+def components_in_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (grp, n_parts): connected parts of each group of nodes (id, grp), by the edges inside the group."""
+    inside = edges.join(nodes.select(F.col("id").alias("src"), F.col("grp").alias("_g")), "src").join(nodes.select(F.col("id").alias("dst"), "grp"), "dst").filter("_g = grp").select("src", "dst")
+    found = connected_components(inside)
+    return nodes.join(found, "id", "left").groupBy("grp").agg(F.count_distinct(F.coalesce("component", "id")).alias("n_parts"))
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: edges, average and largest degree, nodes without an edge."""
+    degree = both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+    each = nodes.select("id").join(degree, "id", "left").select(F.coalesce("d", F.lit(0)).alias("d"))
+    return each.agg((F.sum("d") / 2).cast("long").alias("edges"), F.avg("d").alias("avg_degree"), F.max("d").alias("max_degree"), F.count_if(F.col("d") == 0).alias("isolated"))
+
+
+def smoothness(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """One row: the mean over edges of the squared difference of the logarithms at their ends."""
+    log = F.ln(F.greatest(F.col("value"), F.lit(1e-6)))
+    a, b = values.select(F.col("id").alias("src"), log.alias("a")), values.select(F.col("id").alias("dst"), log.alias("b"))
+    return edges.join(a, "src").join(b, "dst").agg(F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("smoothness"))
+
+
+def valid_priors(priors: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
+    """Priors (keys, type, p) of the valid types of each key only, scaled to a sum of 1; a key whose valid types have none gets equal shares."""
+    kept = valid.join(priors, [*keys, "type"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    sums = kept.groupBy(*keys).agg(F.sum("p").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return kept.join(sums, keys).select(*keys, "type", F.when(F.col("_s") > 0, F.col("p") / F.col("_s")).otherwise(1 / F.col("_n")).alias("p"))
+
+
+def fallback_type(rows: DataFrame, valid: DataFrame, key: str, chain: list[str]) -> DataFrame:
+    """Rows with their type if it is valid for their key, else the nearest valid one along the chain: down first, then up."""
+    place = {t: i for i, t in enumerate(chain)}
+    at = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col(c))
+    options = rows.join(valid.select(key, F.col("type").alias("_v")), key)
+    gap = at("_v") - at("type")
+    order = F.struct(F.when(gap >= 0, 0).otherwise(1), F.abs(gap))
+    return options.groupBy("id", key).agg(F.min_by("_v", order).alias("type"))
+
+
+def blend_round(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: DataFrame, weight: float, seed: str, round_number: int) -> DataFrame:
+    """Nodes (id, key, type, frozen) after one synchronous round of labels.
+
+    A node's distribution is its key's prior blended with the average of what its neighbours' types lead to (``moves``: from_type, type, p),
+    ``weight`` of it; one type is drawn by a number that depends on the seed, the round and the node. Frozen nodes keep theirs.
+    """
+    from hustings.functions.numbers import keyed_uniform
+    from hustings.operators.windows import inverse_cdf
+
+    near = both_ways(edges).join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("from_type")), "dst")
+    counts = near.groupBy(F.col("src").alias("id"), "from_type").agg(F.count(F.lit(1)).alias("n"))
+    pulled = counts.join(moves, "from_type").groupBy("id", "type").agg((F.sum(F.col("p") * F.col("n"))).alias("q"))
+    total = counts.groupBy("id").agg(F.sum("n").alias("degree"))
+    options = nodes.select("id", "key").join(priors, "key").join(pulled, ["id", "type"], "left").join(total, "id", "left")
+    blended = F.when(F.col("degree").isNull(), F.col("p")).otherwise((1 - weight) * F.col("p") + weight * F.coalesce("q", F.lit(0.0)) / F.col("degree"))
+    drawn = inverse_cdf(options.withColumn("w", blended), ["id"], "type", "w", keyed_uniform(f"{seed}-{round_number}", "id"), "type").withColumnRenamed("type", "_new")
+    joined = nodes.join(drawn, "id", "left")
+    return joined.select("id", "key", F.when(F.col("frozen"), F.col("type")).otherwise(F.coalesce("_new", "type")).alias("type"), "frozen")
+
+
+def blend_labels(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: DataFrame, weight: float = 0.5, rounds: int = 3, stop_at: float = 0.0, seed: str = "labels") -> DataFrame:
+    """Rounds of blend_round, each written to the shared folder, until the share of changed labels is at most ``stop_at`` or rounds are over."""
+    now = materialize(nodes)
+    for k in range(rounds):
+        new = materialize(blend_round(now, edges, priors, moves, weight, seed, k))
+        change = now.select("id", F.col("type").alias("_t")).join(new, "id").agg(F.avg((F.col("_t") != F.col("type")).cast("double"))).first()[0]
+        now = new
+        if (change or 0.0) <= stop_at:
+            break
+    return now
+
+
+def candidate_losses(areas: DataFrame, targets: DataFrame, candidates: DataFrame, density) -> DataFrame:
+    """Rows (candidate, loss): mean squared relative error of each group's predicted population; ``density`` makes a column of area and candidate.
+
+    Candidates are few and are sent to all tasks; sums by candidate and group are partial first.
+    """
+    each = areas.crossJoin(F.broadcast(candidates)).withColumn("_p", density(F.col("area")) * F.col("area"))
+    sums = each.groupBy("candidate", "grp").agg(F.sum("_p").alias("_p")).join(targets, "grp")
+    return sums.groupBy("candidate").agg(F.avg(((F.col("_p") - F.col("target")) / F.col("target")) ** 2).alias("loss"))

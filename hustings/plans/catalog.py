@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from hustings.plans import tally_queries  # noqa: F401
+from hustings.plans import table_queries, tally_queries  # noqa: F401
