@@ -92,35 +92,6 @@ def gap_flags(shares: dict[str, Column], gap: float = 20) -> dict[str, Column]:
     return {p: F.when(most - s >= gap, 1).otherwise(0) for p, s in shares.items()}
 
 
-def perception(national: dict[str, Column], ward: dict[str, Column], difference: dict[str, Column], charisma: dict[str, Column], local: dict[str, Column]) -> tuple[Column, Column]:
-    """(label, strength 0 to 3) of a pattern of flags.
-
-    Two sides with two flags or more of the first three leave the third dominant. Else a side is behind with a national flag, or with both
-    others; of several, those with a ward flag count, or, if none has one, those with a national flag. One that is left makes a race of the
-    other two, with a strength that falls where it has charisma or local activity; else it is head to head.
-    """
-    score = {p: national[p] + ward[p] + difference[p] for p in SIDES}
-    high = {p: (score[p] >= 2).cast("int") for p in SIDES}
-    n_high = total(list(high.values()))
-    behind = {p: ((national[p] == 1) | ((ward[p] == 1) & (difference[p] == 1))).cast("int") for p in SIDES}
-    n_behind = total(list(behind.values()))
-    with_ward = {p: behind[p] * (ward[p] == 1).cast("int") for p in SIDES}
-    n_ward = total(list(with_ward.values()))
-    with_nation = {p: behind[p] * (national[p] == 1).cast("int") for p in SIDES}
-    chosen = {p: F.when(n_behind <= 1, behind[p]).when(n_ward > 0, with_ward[p]).otherwise(with_nation[p]) for p in SIDES}
-    n_chosen = total(list(chosen.values()))
-    label, strength = F.when(n_high == 2, F.concat(cases_of({p: high[p] == 0 for p in SIDES}, LABELS), F.lit("_Dominance"))), F.when(n_high == 2, F.lit(0))
-    for p in SIDES:
-        others = [LABELS[q] for q in SIDES if q != p]
-        weight = F.when(score[p] == 3, 0.75).otherwise(0.5)
-        value = F.floor(score[p] - F.when(charisma[p] == 0, weight).otherwise(0.0) - F.when(local[p] == 0, weight).otherwise(0.0))
-        value = F.greatest(F.lit(0), F.least(F.lit(3), value)).cast("int")
-        alone = (n_chosen == 1) & (chosen[p] == 1)
-        label = label.when(alone, F.when(value == 0, "Head_to_Head").otherwise(f"Race: {others[0]}_{others[1]}"))
-        strength = strength.when(alone, value)
-    return label.otherwise("Head_to_Head"), strength.otherwise(0)
-
-
 def cases_of(tests: dict[str, Column], names: dict[str, str]) -> Column:
     """The name of the first side whose test holds."""
     out = None
