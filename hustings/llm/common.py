@@ -27,9 +27,9 @@ def ranked(df: DataFrame, keys: list[str], buckets: list[str], order: list[str],
     ``df`` is used twice, so it should be materialized. Rows that tie in all of ``order`` should be alike.
     """
     by = [*keys, *buckets]
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    joined = df.join(bases, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by], "left")
+    bases = counts.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    joined = df.join(bases, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by], "left")
     within = Window.partitionBy(*by).orderBy(*order)
-    return joined.select(*df.columns, (F.col("_base") + F.row_number().over(within) - 1).alias(rank))
+    return joined.select(*df.columns, (F.col("__base") + F.row_number().over(within) - 1).alias(rank))

@@ -82,7 +82,7 @@ def chunks(docs: DataFrame, id_column: str, text: str, held: Column, chunk_token
         if ids:
             yield flush(ids, held_out, parts, f"{TaskContext.get().partitionId()}-{number}")
 
-    return docs.select(id_column, text, held.alias("_held")).mapInArrow(run, f"chunk string, ids array<{kind}>, held array<boolean>, starts array<bigint>, words binary, tokens binary, n_train bigint")
+    return docs.select(id_column, text, held.alias("__held")).mapInArrow(run, f"chunk string, ids array<{kind}>, held array<boolean>, starts array<bigint>, words binary, tokens binary, n_train bigint")
 
 
 def _requests(words: np.ndarray, tokens: np.ndarray, starts: np.ndarray, held: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -27,15 +27,15 @@ def source_targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = WEI
     place = Window.orderBy(F.col(source).asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(place) - 1, F.lit(len(weights))) + 1).cast("int"))
     limit = F.col("source_size") * most
-    rows = sizes.withColumn("_w", weight).withColumn("_limit", limit).withColumn("_level", F.col("_limit") / F.col("_w"))
+    rows = sizes.withColumn("__w", weight).withColumn("__limit", limit).withColumn("__level", F.col("__limit") / F.col("__w"))
     everything = Window.partitionBy(F.lit(0))
-    before = Window.partitionBy(F.lit(0)).orderBy("_level", F.col(source).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    full = F.coalesce(F.sum("_limit").over(before), F.lit(0.0))
-    light = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    rows = rows.withColumn("_open", (F.sum("source_size").over(everything) * share - full) / light)
+    before = Window.partitionBy(F.lit(0)).orderBy("__level", F.col(source).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    full = F.coalesce(F.sum("__limit").over(before), F.lit(0.0))
+    light = F.sum("__w").over(everything) - F.coalesce(F.sum("__w").over(before), F.lit(0.0))
+    rows = rows.withColumn("__open", (F.sum("source_size").over(everything) * share - full) / light)
     # the first source, in order of level, that does not reach its limit sets the level of all that follow
-    level = F.min(F.when(F.col("_open") <= F.col("_level"), F.struct(F.col("_level"), F.col("_open")))).over(everything)["_open"]
-    return rows.select(source, "source_size", F.least(F.col("_limit"), F.coalesce(level * F.col("_w"), F.col("_limit"))).alias("target"))
+    level = F.min(F.when(F.col("__open") <= F.col("__level"), F.struct(F.col("__level"), F.col("__open")))).over(everything)["__open"]
+    return rows.select(source, "source_size", F.least(F.col("__limit"), F.coalesce(level * F.col("__w"), F.col("__limit"))).alias("target"))
 
 
 def mix_sources(docs: DataFrame, size: Column, source: str = "source", order: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, salts: int = 64) -> DataFrame:
@@ -51,20 +51,20 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", order: tu
     """
     names = ("size", "source_size", "target", "copies")
     kept = [c for c in docs.columns if c not in names]
-    sized = docs.select(*kept, F.coalesce(size, F.lit(0)).cast("long").alias("size"), salt(salts, F.lit(seed), *order).alias("_salt"))
-    sized = sized.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * 4).cast("int"))
-    groups = materialize(sized.groupBy(source, "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size")))
-    targets = source_targets(groups.groupBy(source).agg(F.sum("_size").alias("source_size")), source, weights, share, most)
-    targets = targets.select(F.col(source).alias("_t_source"), "source_size", "target")
-    before = Window.partitionBy(source).orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(targets, F.col(source).eqNullSafe(F.col("_t_source")))
-    groups = groups.select(F.col(source).alias("_g_source"), F.col("_class").alias("_g_class"), F.col("_salt").alias("_g_salt"), "_base", "source_size", "target")
-    joined = sized.join(groups, F.col(source).eqNullSafe(F.col("_g_source")) & (F.col("_class") == F.col("_g_class")) & (F.col("_salt") == F.col("_g_salt")), "left")
-    within = Window.partitionBy(source, "_class", "_salt").orderBy(F.xxhash64(F.lit(seed), *order), *order)
+    sized = docs.select(*kept, F.coalesce(size, F.lit(0)).cast("long").alias("size"), salt(salts, F.lit(seed), *order).alias("__salt"))
+    sized = sized.withColumn("__class", F.floor(F.log2(F.col("size") + 1) * 4).cast("int"))
+    groups = materialize(sized.groupBy(source, "__class", "__salt").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__size")))
+    targets = source_targets(groups.groupBy(source).agg(F.sum("__size").alias("source_size")), source, weights, share, most)
+    targets = targets.select(F.col(source).alias("__t_source"), "source_size", "target")
+    before = Window.partitionBy(source).orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(targets, F.col(source).eqNullSafe(F.col("__t_source")))
+    groups = groups.select(F.col(source).alias("__g_source"), F.col("__class").alias("__g_class"), F.col("__salt").alias("__g_salt"), "__base", "source_size", "target")
+    joined = sized.join(groups, F.col(source).eqNullSafe(F.col("__g_source")) & (F.col("__class") == F.col("__g_class")) & (F.col("__salt") == F.col("__g_salt")), "left")
+    within = Window.partitionBy(source, "__class", "__salt").orderBy(F.xxhash64(F.lit(seed), *order), *order)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col(source)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = joined.withColumn("_rank", F.col("_base") + F.row_number().over(within))
-    copies = F.floor(F.col("_rank") * rate + offset) - F.floor((F.col("_rank") - 1) * rate + offset)
+    rows = joined.withColumn("__rank", F.col("__base") + F.row_number().over(within))
+    copies = F.floor(F.col("__rank") * rate + offset) - F.floor((F.col("__rank") - 1) * rate + offset)
     return rows.select(*kept, "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
@@ -77,4 +77,4 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix_sources(docs, n_words(F.col("text")))
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

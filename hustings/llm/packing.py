@@ -102,7 +102,7 @@ def pack_pieces(pieces: DataFrame, length: str = "length", capacity: int = CAPAC
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(length).count().collect()}
     plan = plan_bins(counts, capacity)
     shared = spark.sparkContext.broadcast((plan[:, 0] << 44 | plan[:, 1], plan))
-    parts = ranked(pieces.withColumn("_salt", salt(salts, *order)), [length], ["_salt"], list(order))
+    parts = ranked(pieces.withColumn("__salt", salt(salts, *order)), [length], ["__salt"], list(order), "__rank")
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
@@ -112,7 +112,7 @@ def pack_pieces(pieces: DataFrame, length: str = "length", capacity: int = CAPAC
         number, slot = np.divmod(rank - row[:, 1], row[:, 2])
         return pd.DataFrame({"sequence_id": row[:, 3] + number, "offset": row[:, 4] + slot * size})
 
-    return parts.withColumn("_at", place(length, "rank")).select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    return parts.withColumn("__at", place(length, "__rank")).select(*pieces.columns, "__at.sequence_id", "__at.offset")
 
 
 def pack_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -60,21 +60,21 @@ def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     """
     other = [c for c in docs.columns if c not in (text, "base", "owned", "n_live", "n_example")]
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(*[_spans(F.col("_text"), k) for k in range(BASE)])
+    base = F.concat(*[_spans(F.col("__text"), k) for k in range(BASE)])
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    found = docs.select(*other, F.col(owner).alias("_owner"), F.struct(*repository).alias("_repository"), whole.alias("_text")).select("*", base.alias("base"), _spans(F.col("_text"), BASE).alias("_token"))
-    found = found.select(*other, "_owner", "_repository", "base", F.filter("_token", apart).alias("_token"), F.monotonically_increasing_id().alias("_row"))
+    found = docs.select(*other, F.col(owner).alias("__owner"), F.struct(*repository).alias("__repository"), whole.alias("__text")).select("*", base.alias("base"), _spans(F.col("__text"), BASE).alias("__token"))
+    found = found.select(*other, "__owner", "__repository", "base", F.filter("__token", apart).alias("__token"), F.monotonically_increasing_id().alias("__row"))
     found = materialize(found)
 
-    each = found.select("_row", "_owner", "_repository", F.explode(F.concat("base", "_token")).alias("_s")).select("*", F.col("_s.hash").alias("_hash"))
-    repositories = each.groupBy("_hash", "_owner", "_repository").agg(F.count(F.lit(1)).alias("_n"))
-    owners = repositories.groupBy("_hash", "_owner").agg(F.count(F.lit(1)).alias("_repositories"))
-    values = owners.groupBy("_hash").agg(F.count(F.lit(1)).alias("_owners"), F.sum("_repositories").alias("_repositories"))
-    values = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    told = each.withColumn("_salt", F.pmod("_row", F.lit(salts)).cast("int")).join(values, ["_hash", "_salt"])
-    live = F.col("_owners") <= max_owners
-    rows = told.groupBy("_row").agg(F.collect_list(F.when(live & (F.col("_s.kind") >= BASE), F.col("_s"))).alias("owned"), F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"))
-    joined = found.join(rows, "_row", "left")
+    each = found.select("__row", "__owner", "__repository", F.explode(F.concat("base", "__token")).alias("__s")).select("*", F.col("__s.hash").alias("__hash"))
+    repositories = each.groupBy("__hash", "__owner", "__repository").agg(F.count(F.lit(1)).alias("__n"))
+    owners = repositories.groupBy("__hash", "__owner").agg(F.count(F.lit(1)).alias("__repositories"))
+    values = owners.groupBy("__hash").agg(F.count(F.lit(1)).alias("__owners"), F.sum("__repositories").alias("__repositories"))
+    values = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    told = each.withColumn("__salt", F.pmod("__row", F.lit(salts)).cast("int")).join(values, ["__hash", "__salt"])
+    live = F.col("__owners") <= max_owners
+    rows = told.groupBy("__row").agg(F.collect_list(F.when(live & (F.col("__s.kind") >= BASE), F.col("__s"))).alias("owned"), F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"))
+    joined = found.join(rows, "__row", "left")
     none = F.array().cast(joined.schema["owned"].dataType)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select(*other, "base", F.coalesce("owned", none).alias("owned"), zero("n_live"), zero("n_example"))

@@ -64,9 +64,9 @@ def shard_rows(df: DataFrame, key: str, shards: int = 40, nodes: int = 128, salt
         return pd.Series(np.searchsorted(where.value, hashes.to_numpy(np.int64)) % len(where.value))
 
     others = [c for c in df.columns if c not in ("shard", "slot")]
-    arcs = materialize(df.select(*others, arc_of(F.xxhash64(key)).alias("_arc"), salt(salts, *others).alias("_salt")))
+    arcs = materialize(df.select(*others, arc_of(F.xxhash64(key)).alias("__arc"), salt(salts, *others).alias("__salt")))
     counts = np.zeros(len(points), dtype=np.int64)
-    for arc, n in arcs.groupBy("_arc").count().collect():
+    for arc, n in arcs.groupBy("__arc").count().collect():
         counts[arc] = n
     plan = plan_arcs(counts, owners, shards)
     shared = spark.sparkContext.broadcast((plan[:, 0] << 44 | plan[:, 1], plan))
@@ -78,8 +78,8 @@ def shard_rows(df: DataFrame, key: str, shards: int = 40, nodes: int = 128, salt
         row = rows[np.searchsorted(keys, arc.to_numpy(np.int64) << 44 | number, side="right") - 1]
         return pd.DataFrame({"shard": row[:, 2].astype(np.int32), "slot": row[:, 3] + number - row[:, 1]})
 
-    numbered = ranked(arcs, ["_arc"], ["_salt"], others)
-    return numbered.withColumn("_at", place("_arc", "rank")).select(*others, "_at.shard", "_at.slot")
+    numbered = ranked(arcs, ["__arc"], ["__salt"], others, "__rank")
+    return numbered.withColumn("__at", place("__arc", "__rank")).select(*others, "__at.shard", "__at.slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
