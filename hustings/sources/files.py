@@ -48,7 +48,7 @@ def write_report(sheets: dict[str, DataFrame], path: str) -> None:
 
 
 #: The parts of an election manifest that are read; other fields may be there.
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "election_id string, spectrums array<struct<id:string,name:string,color:string>>, parties array<struct<abbreviation:string,name:string,spectrum:string>>, "
     "seat_types array<struct<id:string,name:string,count:bigint,method:string,basis:string,results_file:string,threshold_pct:double,lists:array<struct<id:string,parties:array<string>>>>>"
 )
