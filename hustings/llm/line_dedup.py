@@ -7,7 +7,7 @@ import string
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import SPACE, documents
+from .common import SPACE, documents, materialize
 
 
 def line_keys(text: Column) -> Column:
@@ -36,19 +36,20 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_documents: int = 10, mi
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n", -1)
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*kept_columns, F.xxhash64(*[F.col(c) for c in kept_columns]).alias("_row"))
-    hashes = rows.select("_row", F.transform(line_keys(whole), lambda k: F.when(F.length(k) >= min_length, _hash(k))).alias("_h"))
-    each = hashes.select("_row", F.posexplode("_h").alias("_pos", "_h")).filter("_h is not null").select("_row", "_pos", F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"))
-    once = hashes.select(F.explode(F.array_distinct("_h")).alias("_h")).filter("_h is not null").select(F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"))
-    frequent = once.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).select("_a", "_b")
+    rows = docs.select(*kept_columns, F.xxhash64(*[F.col(c) for c in kept_columns]).alias("__row"))
+    hashes = rows.select("__row", F.transform(line_keys(whole), lambda k: F.when(F.length(k) >= min_length, _hash(k))).alias("__h"))
+    each = hashes.select("__row", F.posexplode("__h").alias("__pos", "__h")).filter("__h is not null").select("__row", "__pos", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
+    once = hashes.select(F.explode(F.array_distinct("__h")).alias("__h")).filter("__h is not null").select(F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
+    # written, so that Spark knows its size before the join: sent out whole while small, else joined in parts that it can split where a key is hot
+    frequent = materialize(once.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_documents).select("__a", "__b"))
     # equal rows share _row and drop the same lines, so the set of places is right for each of them
-    drops = each.join(frequent, ["_a", "_b"], "left_semi").groupBy("_row").agg(F.collect_set("_pos").alias("_drop"))
+    drops = each.join(frequent, ["__a", "__b"], "left_semi").groupBy("__row").agg(F.collect_set("__pos").alias("__drop"))
     none = F.array().cast("array<int>")
-    found = rows.join(drops, "_row", "left").select(*kept_columns, lines.alias("_lines"), F.coalesce("_drop", none).alias("_drop"))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    kept = F.when(F.size("_drop") == 0, F.col("_lines")).otherwise(F.transform(places, lambda i: F.col("_lines")[i]))
+    found = rows.join(drops, "__row", "left").select(*kept_columns, lines.alias("__lines"), F.coalesce("__drop", none).alias("__drop"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
+    kept = F.when(F.size("__drop") == 0, F.col("__lines")).otherwise(F.transform(places, lambda i: F.col("__lines")[i]))
     columns = [F.array_join(kept, "\n").alias(text) if c == text else F.col(c) for c in kept_columns]
-    return found.select(*columns, F.size("_lines").cast("long").alias("n_lines"), F.size("_drop").cast("long").alias("n_dropped"))
+    return found.select(*columns, F.size("__lines").cast("long").alias("n_lines"), F.size("__drop").cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
