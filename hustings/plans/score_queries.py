@@ -97,7 +97,7 @@ def charisma() -> list:
     return [F.col("Area_ID") % k for k in (11, 7, 5)]
 
 
-@query("s110_charisma_scores", sql(f"SELECT Area_ID, {', '.join('(' + ' + '.join(_REWARD(_CHAR[p], _CHAR[q]) for q in SIDES if q != p).replace('CASE', '(CASE').replace('END', 'END)') + f') * 0.75 AS {p}' for p in SIDES)} FROM cluster", "cluster"))
+@query("s110_charisma_scores", sql(f"SELECT Area_ID, {', '.join('(' + ' + '.join(_REWARD(_CHAR[p], _CHAR[q]) for q in SIDES if q != p).replace('CASE', '(CASE').replace('END', 'END)') + f') * 0.75::DOUBLE AS {p}' for p in SIDES)} FROM cluster", "cluster"))
 def charisma_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark, sf_dir).select("Area_ID", *[c.cast("double").alias(p) for p, c in scores.charisma_scores(*charisma()).items()])
 

@@ -199,7 +199,7 @@ def blended_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.blend_labels(nodes, adjacent(spark, sf_dir), good, moves)
 
 
-@query("s156_candidate_losses", sql("SELECT c AS candidate, round(avg(((s - t) / t) * ((s - t) / t)), 6) AS loss FROM (SELECT c, grp, sum(c * sqrt(area) * area) AS s, count(*) * 1000.0 AS t FROM (SELECT p_brand AS grp, CAST(p_size AS DOUBLE) AS area FROM part), (SELECT unnest([1.0, 2.0, 3.0, 5.0]) AS c) GROUP BY c, grp) GROUP BY c"))
+@query("s156_candidate_losses", sql("SELECT c AS candidate, round(avg(((s - t) / t) * ((s - t) / t)), 6) AS loss FROM (SELECT c, grp, sum(c * sqrt(area) * area) AS s, count(*) * 1000.0 AS t FROM (SELECT p_brand AS grp, CAST(p_size AS DOUBLE) AS area FROM part), (SELECT unnest([1.0, 2.0, 3.0, 5.0]::DOUBLE[]) AS c) GROUP BY c, grp) GROUP BY c"))
 def candidate_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     areas = p.select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("area"))
@@ -208,7 +208,7 @@ def candidate_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.candidate_losses(areas, targets, candidates, lambda a: F.col("candidate") * F.sqrt(a)).select("candidate", F.round("loss", 6).alias("loss"))
 
 
-@query("s157_vertices", sql("SELECT id, 0 AS ring, k AS pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM corner", "corner"))
+@query("s157_vertices", sql("SELECT id, 0 AS ring, CAST(k AS INTEGER) AS pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM corner", "corner"))
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.vertices(shapes(spark, sf_dir)).select("id", "ring", "pos", "x", "y")
 

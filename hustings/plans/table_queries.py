@@ -268,7 +268,7 @@ def mean_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s078_rank_by_distance", sql("SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY x * x + y * y, id) AS rank FROM point", "point"))
 def rank_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.ranked_in_group(point(spark, sf_dir), ["grp"], [F.col("x") * F.col("x") + F.col("y") * F.col("y"), F.col("id")]).select("id", "grp", "rank")
+    return windows.ranked_in_group(point(spark, sf_dir), ["grp"], [F.col("x") * F.col("x") + F.col("y") * F.col("y"), F.col("id")]).select("id", "grp", F.col("rank").cast("long").alias("rank"))
 
 
 @query("s079_group_max", sql("SELECT Result_ID, max(received_at) OVER (PARTITION BY Shape_ID) AS barrier FROM result", "result"))
@@ -359,7 +359,7 @@ def free_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.free_ids(used, "grp", "k", p.select("grp").distinct().withColumn("n", F.lit(3)), "n")
 
 
-@query("s087_runs_by_region", sql('SELECT run, Zone, min(Shape_ID) AS "first", max(Shape_ID) AS "last", count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY Region ORDER BY Shape_ID) AS run FROM (SELECT *, CASE WHEN Zone IS NOT DISTINCT FROM lag(Zone) OVER (PARTITION BY Region ORDER BY Shape_ID) THEN 0 ELSE 1 END AS f FROM precinct)) GROUP BY Region, run, Zone', "precinct"))
+@query("s087_runs_by_region", sql('SELECT CAST(run AS BIGINT) AS run, Zone, min(Shape_ID) AS "first", max(Shape_ID) AS "last", count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY Region ORDER BY Shape_ID) AS run FROM (SELECT *, CASE WHEN Zone IS NOT DISTINCT FROM lag(Zone) OVER (PARTITION BY Region ORDER BY Shape_ID) THEN 0 ELSE 1 END AS f FROM precinct)) GROUP BY Region, run, Zone', "precinct"))
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.runs_by_region(precinct(spark, sf_dir), "Shape_ID", "Zone", ["Region"]).select("run", "Zone", "first", "last", "n")
 
@@ -369,7 +369,7 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     codes = table(spark, sf_dir, "customer").select(F.concat(F.substring("c_mktsegment", 1, 1), (F.col("c_nationkey") * 7).cast("string")).alias("code")).distinct()
-    return codes.withColumn("place", F.row_number().over(Window.orderBy(*reshape.natural_order("code"))))
+    return codes.withColumn("place", F.row_number().over(Window.orderBy(*reshape.natural_order("code"))).cast("long"))
 
 
 @query("s089_sort_by_size", sql("SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 100"))
