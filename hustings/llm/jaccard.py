@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import types as T
 
 from hustings.operators.graph import connected_components
 
@@ -16,8 +18,10 @@ from .shingles import shingle_sets, stir
 
 #: Counting cells for shingles: what the driver collects and sends out is this many numbers, whatever the data.
 CELL_BITS = 18
-#: Min-hashes by which groups are formed, and documents of each that the others are compared with.
-HASHES, LEADERS = 3, 4
+#: Min-hashes by which groups are formed, leaders of each, hashes of a set that tell the nearest leaders, and leaders a set is compared with.
+HASHES, LEADERS, SKETCH, COMPARED = 3, 8, 32, 2
+#: Members of a group that a query tries before it meets all; parts in which a set's hashes are counted.
+TRIED, PARTS = 16, 512
 #: Up to so many ids a table of ids is sent to all executors (16 bytes each); a larger one is joined by shuffles.
 BROADCAST_IDS = 500_000
 
@@ -33,8 +37,9 @@ def count_cells(docs: DataFrame, text: str, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, dtype=np.int64)
         for batch in batches:
-            values, _ = shingle_sets(batch.column(0).to_pylist(), width)
-            total += np.bincount((values >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+            for at in range(0, batch.num_rows, 1000):
+                values, _ = shingle_sets(batch.column(0).slice(at, 1000).to_pylist(), width)
+                total += np.bincount((values >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
         cells = np.flatnonzero(total)
         for at in range(0, len(cells), 50_000):
             some = cells[at : at + 50_000]
@@ -49,7 +54,7 @@ def count_cells(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, places: np.ndarray, id_column: str, text: str, width: int, percent: int) -> DataFrame:
-    """Rows (id, n, fa, fb, m, prefix): set size, fingerprint, min-hashes, and the set's first tokens in the common order, rarest first.
+    """Rows (id, n, fa, fb, m, sketch, prefix): set size, fingerprint, min-hashes, least hashes, and the set's first tokens, rarest first.
 
     The prefix is as long as it must be for any partner at ``percent`` or more to share one of its tokens.
     """
@@ -57,8 +62,8 @@ def describe(docs: DataFrame, places: np.ndarray, id_column: str, text: str, wid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 values, starts = shingle_sets(batch.column(1).to_pylist(), width)
                 sizes = np.diff(starts)
                 some, full = starts[:-1][sizes > 0], sizes > 0
@@ -72,6 +77,8 @@ def describe(docs: DataFrame, places: np.ndarray, id_column: str, text: str, wid
                 stirred = stir(values ^ np.uint64(0x5851F42D4C957F2D))
                 mins = np.stack([reduced(np.minimum, stir(values + np.uint64(0xD1342543DE82EF95 * (j + 1) % 2**64))) for j in range(HASHES)], axis=1).ravel() if len(full) else np.empty(0, np.int64)
                 low = np.uint64(64 - CELL_BITS)
+                ends = np.minimum(sizes, SKETCH)
+                sketch = np.concatenate([values[a : a + e] for a, e in zip(starts[:-1].tolist(), ends.tolist(), strict=True)]) if len(sizes) else values
                 keys = shared.value[(values >> low).astype(np.int64)] << low | values & np.uint64((1 << (64 - CELL_BITS)) - 1)
                 lengths = np.where(full, sizes - -(-percent * sizes // 100) + 1, 0)
                 prefixes = []
@@ -89,37 +96,61 @@ def describe(docs: DataFrame, places: np.ndarray, id_column: str, text: str, wid
                         pa.array(reduced(np.add, stirred)),
                         pa.array(reduced(np.bitwise_xor, stir(stirred + np.uint64(1)))),
                         pa.ListArray.from_arrays(np.arange(0, HASHES * len(sizes) + 1, HASHES, dtype=np.int32), mins),
+                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32), sketch.astype(np.uint32).view(np.int32)),
                         pa.ListArray.from_arrays(offsets, tokens),
                     ],
-                    names=["id", "n", "fa", "fb", "m", "prefix"],
+                    names=["id", "n", "fa", "fb", "m", "sketch", "prefix"],
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), text).mapInArrow(run, f"id {kind}, n bigint, fa bigint, fb bigint, m array<bigint>, prefix array<bigint>")
+    return docs.select(F.col(id_column).alias("id"), text).mapInArrow(run, f"id {kind}, n bigint, fa bigint, fb bigint, m array<bigint>, sketch array<int>, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """Rows (id, s): the whole sets of the documents in ``ids``, as sorted hashes. A document that comes twice counts once."""
+    """Rows (id, n, parts, s): the whole sets of the documents in ``ids``, as sorted hashes, and how many hashes fall into each of PARTS parts.
+
+    ``parts`` is null where a part has more than a byte can count. A document that comes twice counts once.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 values, starts = shingle_sets(batch.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts.astype(np.int32), values.view(np.int64))], names=["id", "s"])
+                cell = np.repeat(np.arange(batch.num_rows), np.diff(starts)) * PARTS + (values >> np.uint64(32)).astype(np.int64) % PARTS
+                counts = np.bincount(cell, minlength=batch.num_rows * PARTS).reshape(-1, PARTS)
+                parts = [x.astype(np.uint8).tobytes() if x.max() < 256 else None for x in counts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(parts, pa.binary()), pa.ListArray.from_arrays(starts.astype(np.int32), values.view(np.int64))], names=["id", "n", "parts", "s"])
 
     ids = materialize(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     some = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return materialize(some.mapInArrow(run, f"id {kind}, s array<bigint>"))
+    return materialize(some.mapInArrow(run, f"id {kind}, n bigint, parts binary, s array<bigint>"))
+
 
+@F.pandas_udf(T.LongType())
+def _most_common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """At most so many hashes are common to two sets, by their counts in parts: the sum of the smaller counts. Null counts tell nothing."""
+    known = a.notna() & b.notna()
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    if known.any():
+        x, y = (np.frombuffer(b"".join(c[known]), dtype=np.uint8).reshape(-1, PARTS) for c in (a, b))
+        out[known.to_numpy()] = np.minimum(x, y).sum(axis=1)
+    return pd.Series(out)
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose sets are similar enough."""
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    with_both = with_b.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return with_both.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), percent)).select("a", "b")
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> DataFrame:
+    """The rows of ``pairs`` (a, b, more) whose sets are similar enough.
+
+    The counts in parts are an upper bound of what two sets have in common; only pairs that it leaves open are sent the sets themselves.
+    """
+    of = lambda k, *columns: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}{k}") for c in columns])
+    bound = pairs.join(of("b", "n", "parts"), "b").join(of("a", "n", "parts"), "a").withColumn("most", _most_common("partsa", "partsb"))
+    some = F.col("most") >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    left = materialize(bound.filter(some).select("a", "b", *more))  # few pairs are then sent to the sets, not the sets to them
+    full = left.join(of("b", "n", "s"), "b").join(of("a", "n", "s"), "a")
+    return full.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b", *more)
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -130,64 +161,101 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     an id by repetition. A row with a null id joins the component of its set; if no row with an id has that set, its component is null.
 
     1. Rows with equal sets are one class, the smallest id stands for it.
-    2. Groups: classes with a common min-hash are compared with a few leaders of that min-hash, chosen by hash; those similar enough are linked,
-       and the components of these links are the groups. A class that matches no leader is a group of its own.
-    3. Token-group matrix: for each token the groups that have it in the union of their members' first tokens, with the members' sizes. A class
-       meets a group, other than its own, where it shares such a token and the sizes and places leave room for enough overlap. Tokens come rarest
-       first, by counts in a fixed number of cells over all documents, so tokens of common passages seldom serve.
-    4. For groups of several members the class's whole set is counted against the union of the members' whole sets: only where that bound is
-       enough is the group opened. The pairs with its members are verified exactly, and the links are added to those of step 2.
+    2. Groups: classes with a common min-hash are held against a few leaders of that min-hash, chosen by hash, and compared with those that look
+       nearest; those similar enough are linked, and the components of these links are the groups. Other classes are groups of their own.
+    3. Token-group matrix: for each token the groups that have it in the union of their members' first tokens, with the members' sizes. Two
+       groups meet where they share such a token and the sizes and places leave room for enough overlap. Tokens come rarest first, by counts in
+       a fixed number of cells over all documents, so tokens of common passages seldom serve.
+    4. Of two groups that meet, each member of the smaller is a query against the other. If that has several members, the query's whole set is
+       counted against the union of their whole sets: only where that bound is enough is the group opened. The pairs with its members are
+       verified exactly, first with a few of them, then with all if none of the few links; the links are added to those of step 2.
 
     Every pair that links is found: in step 3 the larger set brings its first n - ceil(t n) + 1 tokens, the smaller its first
     n - ceil(2t / (1 + t) n) + 1, of which one is common to any two sets that similar. Large groups of copies cost a few comparisons for each
     member, not one for each pair, because members of one group never meet.
     """
     rows = materialize(describe(docs, count_cells(docs, text, width), id_column, text, width, percent))
-    classes = materialize(rows.filter("n > 0").groupBy("fa", "fb", "n").agg(F.min("id").alias("id"), F.first("m").alias("m")).filter("id is not null"))
+    classes = materialize(rows.filter("n > 0").groupBy("fa", "fb", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("sketch").alias("sketch")).filter("id is not null"))
 
     keyed = classes.select("id", "n", F.posexplode("m").alias("j", "k"))
+    several = keyed.groupBy("j", "k").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("j", "k")
+    keyed = materialize(keyed.join(several, ["j", "k"], "left_semi"))
     pick = [F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("h"), F.col("id").alias("leader"), F.col("n").alias("ln"))).alias(f"l{i}") for i in range(LEADERS)]
-    leaders = keyed.groupBy("j", "k").agg(F.count(F.lit(1)).alias("members"), *pick).filter("members > 1")
+    leaders = keyed.groupBy("j", "k").agg(*pick)
     leaders = leaders.select("j", "k", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.leader"), F.col(f"l{i}.ln")) for i in range(LEADERS)]))).alias("l"))
     near = (F.col("id") != F.col("l.leader")) & (100 * F.least("n", "l.ln") >= percent * F.greatest("n", "l.ln"))
-    met = keyed.join(leaders, ["j", "k"]).filter(near).select(F.least("id", "l.leader").alias("b"), F.greatest("id", "l.leader").alias("a"))
-    first = materialize(met.distinct())
+    sketches = classes.select("id", "sketch")
+    met = keyed.join(leaders, ["j", "k"]).filter(near).select("id", F.col("l.leader").alias("leader")).distinct()
+    met = met.join(sketches, "id").join(sketches.select(F.col("id").alias("leader"), F.col("sketch").alias("ls")), "leader").select("id", "leader", F.size(F.array_intersect("sketch", "ls")).alias("common"), F.least(F.size("sketch"), F.size("ls")).alias("size"))
+    met = met.filter(2 * F.col("common") >= F.col("size"))  # others are too far apart to be worth a comparison here; step 3 would find them all the same
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("common").desc(), "leader"))
+    nearest = met.withColumn("_p", place).filter(F.col("_p") <= COMPARED)
+    first = materialize(nearest.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct())
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = materialize(_verified(first, _sets(docs, ends(first), id_column, text, width), percent))
     groups = connected_components(links, "a", "b")
 
-    member = classes.select("id", "n", "fa", "fb").join(groups, "id", "left").select("id", "n", "fa", "fb", F.coalesce("component", "id").alias("g"))
+    member = classes.select("id", "n", "fa", "fb").join(groups, "id", "left").select("id", "n", "fa", "fb", F.col("component").alias("g"))
     member = materialize(member)
+    grouped = member.select("id", "n", F.coalesce("g", "id").alias("g"))
     tokens = rows.select("id", "n", "fa", "fb", "prefix").join(member, ["id", "n", "fa", "fb"]).select("id", "n", "g", F.posexplode("prefix").alias("i", "token"))
-    least = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    matrix = tokens.filter(F.col("i") < least).groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i") - 1).alias("rest"))
-    matrix = matrix.withColumnRenamed("g", "group")
-    rest = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("rest"))
-    sizes = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))  # a member that can match is at least so large
-    meets = (F.col("g") != F.col("group")) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n")) & _enough(rest, F.col("n"), sizes, percent)
-    queries = materialize(tokens.join(matrix, "token").filter(meets).select("id", "n", "group").distinct())
-
-    # one row a group, however many members; only groups that some class meets
-    size_of = member.groupBy(F.col("g").alias("group")).agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
-    queries = materialize(queries.join(size_of, "group"))
-    open_members = member.select(F.col("g").alias("group"), F.col("id").alias("y"), F.col("n").alias("ny")).join(queries.select("group").distinct(), "group", "left_semi")
-    involved = queries.select("id").union(open_members.select("y")).distinct()
-    sets = _sets(docs, involved, id_column, text, width)
-
-    several = queries.filter("members > 1")
-    union = open_members.join(several.select("group").distinct(), "group", "left_semi").join(sets.withColumnRenamed("id", "y"), "y").select("group", F.explode("s").alias("token")).distinct()
-    seen = several.join(sets, "id").select("id", "n", "group", "least", F.explode("s").alias("token")).join(union, ["group", "token"]).groupBy("id", "n", "group", "least").agg(F.count(F.lit(1)).alias("common"))
+    rest, indexed = F.col("n") - F.col("i") - 1, F.col("i") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    small = [F.when(indexed, c).alias(a) for a, c in (("least", F.col("n")), ("most", F.col("n")), ("rest", rest))]
+    large = [c.alias(a) for a, c in (("x_least", F.col("n")), ("x_most", F.col("n")), ("x_rest", rest))]
+    # a class that is alone in its group is its own row of the matrix; only groups of several need sums
+    alone = tokens.filter("g is null").select("token", F.col("id").alias("g"), *large, *small)
+    sums = [F.min("x_least").alias("x_least"), F.max("x_most").alias("x_most"), F.max("x_rest").alias("x_rest"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("rest").alias("rest")]
+    several = tokens.filter("g is not null").select("token", "g", *large, *small).groupBy("token", "g").agg(*sums)
+    matrix = alone.unionByName(several)
+    columns = ["x_least", "x_most", "x_rest", "least", "most", "rest"]
+    left, right = (matrix.select("token", F.col("g").alias(f"g{m}"), *[F.col(c).alias(f"{m}_{c}") for c in columns]) for m in "ab")
+
+    def meets(p: str, q: str) -> Column:
+        """A set of group p can be the larger of a pair, one of group q the smaller."""
+        c = lambda m, name: F.col(f"{m}_{name}")
+        x = F.greatest(c(p, "x_least"), c(q, "least"))  # the least sizes that can match: of the larger set, then of the smaller
+        y = F.greatest(c(q, "least"), F.ceil(percent * x / 100))
+        return (c(q, "least") <= c(p, "x_most")) & (100 * c(q, "most") >= percent * c(p, "x_least")) & _enough(1 + F.least(c(p, "x_rest"), c(q, "rest")), x, y, percent)
+
+    # both sides have the same columns, so that one exchange serves both
+    pairs = materialize(left.join(right, "token").filter((F.col("ga") < F.col("gb")) & (meets("a", "b") | meets("b", "a"))).select("ga", "gb").distinct())
+
+    met_groups = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
+    inside = materialize(grouped.join(met_groups, "g", "left_semi"))
+    sizes = inside.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+    of = lambda g: sizes.select(F.col("g").alias(g), F.struct("members", "least", "most").alias(f"_{g}"))
+    sided = pairs.join(of("ga"), "ga").join(of("gb"), "gb")
+    swap = F.col("_ga.members") > F.col("_gb.members")
+    sided = sided.select(F.when(swap, F.col("gb")).otherwise(F.col("ga")).alias("g"), F.when(swap, F.col("ga")).otherwise(F.col("gb")).alias("group"), F.when(swap, F.col("_ga")).otherwise(F.col("_gb")).alias("_s"))
+    fits = (100 * F.col("_s.most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("_s.least"))
+    queries = materialize(sided.join(inside, "g").filter(fits).select("id", "n", "group", "_s.members", "_s.least"))
+    sets = _sets(docs, inside.select("id").distinct(), id_column, text, width)
+
+    bounding = materialize(queries.filter("members > 1"))
+    opened_members = inside.select(F.col("g").alias("group"), F.col("id").alias("y"), F.col("n").alias("ny")).join(queries.select("group").distinct(), "group", "left_semi")
+    bounding_members = materialize(opened_members.join(bounding.select("group").distinct(), "group", "left_semi"))
+    union = bounding_members.join(sets.select(F.col("id").alias("y"), "s"), "y").select("group", F.explode("s").alias("token")).distinct()
+    seen = bounding.join(sets.select("id", "s"), "id").select("id", "n", "group", "least", F.explode("s").alias("token")).join(union, ["group", "token"]).groupBy("id", "n", "group", "least").agg(F.count(F.lit(1)).alias("common"))
     bounded = seen.filter(_enough(F.col("common"), F.col("n"), F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100)), percent))
-    opened = queries.filter("members = 1").select("id", "n", "group").unionByName(bounded.select("id", "n", "group"))
-    fits = (F.col("ny") <= F.col("n")) & (100 * F.col("ny") >= percent * F.col("n"))
-    second = opened.join(open_members, "group").filter(fits).select(F.col("id").alias("a"), F.col("y").alias("b"))
-    more = _verified(second, sets, percent)
+    bounded = materialize(bounded.select("id", "n", "group"))
+    near = 100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")
+
+    # a query that links with one of a few members is done with its group; only the others meet all members
+    pick = [F.min(F.struct(F.xxhash64(F.lit(i), "y").alias("h"), "y", "ny")).alias(f"l{i}") for i in range(TRIED)]
+    some = opened_members.join(bounded.select("group").distinct(), "group", "left_semi").groupBy("group").agg(*pick)
+    some = some.select("group", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.y"), F.col(f"l{i}.ny")) for i in range(TRIED)]))).alias("l")).select("group", "l.y", "l.ny")
+    tried = bounded.join(some, "group").filter(near).select(F.col("id").alias("a"), F.col("y").alias("b"), "group")
+    early = materialize(_verified(materialize(tried), sets, percent, "group"))
+    done = early.select(F.col("a").alias("id"), "group").distinct()
+    opened = queries.filter("members = 1").select("id", "n", "group").unionByName(bounded.join(done, ["id", "group"], "left_anti"))
+    second = materialize(opened.join(opened_members, "group").filter(near).select(F.col("id").alias("a"), F.col("y").alias("b")))
+    more = early.select("a", "b").unionByName(_verified(second, sets, percent))
 
     found = connected_components(links.unionByName(more), "a", "b")
     named = classes.select("id", "fa", "fb", "n").join(found, "id", "left").select("fa", "fb", "n", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", "n", "fa", "fb").join(named, ["fa", "fb", "n"], "left")
-    alone = F.when(F.col("n") == 0, F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", alone).alias("component_id"))
+    empty = F.when(F.col("n") == 0, F.col("id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", empty).alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
