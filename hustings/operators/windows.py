@@ -30,11 +30,17 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first.select(*[F.col(c) if c in keys else F.col(f"_f.{c}").alias(c) for c in rows.columns])
 
 
+def padded(number: Column, digits: int) -> Column:
+    """``number`` with zeros in front up to so many digits; a longer number stays whole (lpad alone would cut it)."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), "0")
+
+
 def clockwise_ids(rows: DataFrame, keys: list[str], x: Column, y: Column, cx: Column, cy: Column, prefix: Column, digits: int = 3, start: float = 1.5707963267948966) -> DataFrame:
     """``rows`` with new_id: prefix and number, by angle around (cx, cy) clockwise from ``start``; ties from the centre out, then by place."""
     angle = F.pmod(F.lit(start) - F.atan2(y - cy, x - cx), F.lit(6.283185307179586))
     place = Window.partitionBy(*keys).orderBy(F.round(angle, 9), (x - cx) * (x - cx) + (y - cy) * (y - cy), x, y)
-    return rows.withColumn("new_id", F.concat(prefix, F.lpad(F.row_number().over(place).cast("string"), digits, "0")))
+    return rows.withColumn("new_id", F.concat(prefix, padded(F.row_number().over(place), digits)))
 
 
 def suffixed_keys(rows: DataFrame, key: str, order: list[str], name: str = "key") -> DataFrame:
@@ -49,7 +55,7 @@ def free_ids(used: DataFrame, group: str, number: str, wanted: DataFrame, count:
     need = wanted.join(per, group, "left").select(group, count, F.explode(F.sequence(F.lit(1), F.coalesce("_max", F.lit(0)).cast("int") + F.col(count).cast("int"))).alias("_n"))
     taken = used.select(group, F.col(number).cast("int").alias("_n")).distinct()
     open_ = ranked_in_group(need.join(taken, [group, "_n"], "left_anti"), [group], ["_n"], "_r").filter(F.col("_r") <= F.col(count))
-    return open_.select(group, F.concat(F.col(group).cast("string"), F.lit("_"), F.lpad(F.col("_n").cast("string"), digits, "0")).alias("new_id"))
+    return open_.select(group, F.concat(F.col(group).cast("string"), F.lit("_"), padded(F.col("_n"), digits)).alias("new_id"))
 
 
 def earliest_free_slot(rows: DataFrame, keys: list[str], order: str, ready: Column, duration: Column, slots: Column) -> DataFrame:

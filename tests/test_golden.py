@@ -7,7 +7,7 @@ import pytest
 
 from hustings.functions import numbers as num
 from hustings.functions import status as st
-from hustings.operators import joins, methods, proportional, reconcile, tally
+from hustings.operators import joins, methods, proportional, reconcile, tally, windows
 from hustings.operators.graph import connected_components
 
 LISTS = {"NRD": "L", "LRP": "L", "GRF": "G", "Right": "R"}
@@ -149,3 +149,12 @@ def test_components_of_paths_stars_and_loops(spark):
     assert {found[i] for i in range(1000, 1040)} == {1000}
     assert found[2] == found[3] == 2 and 5 not in found and 7 not in found
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_numbers_longer_than_their_padding_stay_whole(spark):
+    rows = spark.range(1, 1201).select("id", F.lit("g").alias("grp"), F.cos(F.col("id") / 200).alias("x"), F.sin(F.col("id") / 200).alias("y"))
+    out = [r.new_id for r in windows.clockwise_ids(rows, ["grp"], F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0), F.lit("G-")).collect()]
+    assert sorted(out) == sorted(f"G-{n:03d}" for n in range(1, 1201))
+    used = rows.filter("id <> 7 and id <> 1100").select("grp", "id")
+    wanted = spark.createDataFrame([("g", 4)], "grp string, n int")
+    assert {r.new_id for r in windows.free_ids(used, "grp", "id", wanted, "n").collect()} == {"g_007", "g_1100", "g_1201", "g_1202"}
