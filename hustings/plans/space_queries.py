@@ -263,20 +263,19 @@ def gap_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s165_redundant_vertices")
 def redundant_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squares of one column with a midpoint on the left side, which no neighbour has."""
+    """The whole layer, where squares of the first column have a midpoint on the left side, which no neighbour has."""
     with_middle = F.transform("rings", lambda r: F.concat(r, F.array(g.point(r[0]["x"], r[0]["y"] + 0.5), r[0])))
-    rows = shapes(spark, sf_dir).filter("id % 20 = 0").select("id", F.transform(with_middle, lambda r: F.concat(F.slice(r, 1, 4), F.slice(r, 6, 1))).alias("rings"))
-    return topology.redundant_vertices(rows)
+    widened = F.transform(with_middle, lambda r: F.concat(F.slice(r, 1, 4), F.slice(r, 6, 1)))
+    return topology.redundant_vertices(shapes(spark, sf_dir).select("id", F.when(F.col("id") % 20 == 0, widened).otherwise(F.col("rings")).alias("rings")))
 
 
 @query("s166_insertions")
 def insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners of unit squares that lie inside the long sides of 1 x 2 blocks."""
+    """Corners of unit squares that lie inside the long sides of 1 x 2 blocks, one block from each square up."""
     rows = shapes(spark, sf_dir)
     v = topology.vertices(rows)
-    blocks = rows.filter("id % 20 = 5 and floor(id / 20) % 4 = 1")
     b = F.col("rings")[0]
-    long_side = blocks.select("id", F.lit(0).alias("pos"), b[0]["x"].alias("x1"), b[0]["y"].alias("y1"), b[0]["x"].alias("x2"), (b[0]["y"] + 2).alias("y2"))
+    long_side = rows.select("id", F.lit(0).alias("pos"), b[0]["x"].alias("x1"), b[0]["y"].alias("y1"), b[0]["x"].alias("x2"), (b[0]["y"] + 2).alias("y2"))
     return topology.insertions(v, long_side, 4.0)
 
 

@@ -77,3 +77,25 @@ def test_redundant_midpoints(spark, sf):
 def test_insertions_lie_half_way(spark):
     rows = QUERIES["s166_insertions"](spark, "/root/testdata/sf0.01").collect()
     assert rows and {r.t for r in rows} == {0.5}
+
+
+def test_redundant_vertices_are_those_of_the_whole_layer(spark, sf, monkeypatch):
+    from hustings.operators import topology
+
+    seen = []
+    found = topology.redundant_vertices
+    monkeypatch.setattr(topology, "redundant_vertices", lambda rows: seen.append(rows) or found(rows))
+    keys = {r.key for r in QUERIES["s165_redundant_vertices"](spark, sf).collect()}
+    ids = [r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    assert sorted(r.id for r in seen[0].collect()) == sorted(ids)
+    assert keys == {f"0.0,{i // 20 + 0.5}" for i in ids if i % 20 == 0}
+
+
+def test_insertions_into_all_blocks(spark, sf):
+    ids = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    corners = {}
+    for i in ids:
+        for x, y in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            corners.setdefault((i % 20 + x, i // 20 + y), set()).add(i)
+    want = {(i, f"{i % 20}.0,{i // 20 + 1}.0") for i in ids if corners[i % 20, i // 20 + 1] - {i}}
+    assert {(r.id, r.key) for r in QUERIES["s166_insertions"](spark, sf).collect()} == want
