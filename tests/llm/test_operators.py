@@ -195,6 +195,21 @@ def test_wrapper_finds_the_varying_part():
     assert root == ["body", "div.content"] and html_extraction.main_text(pages[0], root, frozenset(constants)) == "A 1\ntext abc text"
 
 
+def test_text_outside_of_elements(spark):
+    pages = {
+        "Intro text <b>bold</b> and more text<p>para</p> tail": "Intro text bold and more text\npara\ntail",
+        "plain text, 1 < 2 &amp; no tags": "plain text, 1 < 2 & no tags",
+        "<html><body><p>in</p></body></html> after": "in\nafter",
+        "<p>one</p></body></html><p>two</p>three": "one\ntwo\nthree",
+        "lead <nav>menu</nav><script>x</script><p>body</p>": "lead\nbody",
+    }
+    assert {p: html_extraction.main_text(p, []) for p in pages} == pages
+    rows = [(i, f"http://h{i}/", p) for i, p in enumerate(pages)]
+    out = html_extraction.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert {r.html: r.text for r in out} == pages
+    assert html_extraction.main_text("before <article><p>x</p></article> after", ["article"]) == "x"
+
+
 def test_awkward_pages(spark):
     rows = [(1, None, None), (2, "http://h/a", ""), (3, "http://h/b", "<p>plain <b>text"), (3, "http://h/b", "<p>plain <b>text"), (4, "not a url", "<<<>>>&&"), (5, "http://g/", "<body>" + "<div>" * 3000 + "deep")]
     out = html_extraction.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("text", F.lit("old"))).collect()
