@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -63,11 +64,12 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def tokenize_pieces(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, special: dict[str, int] | None = None) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32): the pieces of each text's ids, closed by ``end_id``.
 
     A text of more than ``capacity`` ids is cut into pieces of that length, the first of which takes the rest. Null is the empty text: one piece.
-    ``ranks`` is a byte-level BPE vocabulary file, ``pattern`` its word pattern.
+    ``ranks`` is a byte-level BPE vocabulary file, ``pattern`` its word pattern. ``special`` has the added tokens: wherever such a string stands in
+    a text it is that one id, and what lies between is encoded part by part.
     """
     kind = docs.schema[id_column].dataType
 
@@ -76,11 +78,11 @@ def tokenize_pieces(docs: DataFrame, ranks: str, pattern: str, id_column: str =
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=table, special_tokens=special or {})
         for batch in batches:
             at, out = [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*encoding.encode_ordinary(value or ""), end_id], dtype="<u4")
+                ids = np.array([*encoding.encode(value or "", allowed_special="all"), end_id], dtype="<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     at.append(row)
@@ -115,13 +117,24 @@ def pack_pieces(pieces: DataFrame, length: str = "length", capacity: int = CAPAC
     return parts.withColumn("__at", place(length, "__rank")).select(*pieces.columns, "__at.sequence_id", "__at.offset")
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of a vocabulary in the format of the tokenizers library."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def pack_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The pieces of all ``docs`` and their places; the vocabulary is the public one of 50k byte-level tokens unless another is named."""
+    """The pieces of all ``docs`` and their places; the vocabulary is the public one of 50k byte-level tokens unless another is named.
+
+    The public vocabulary comes with its added tokens; one that is named has none.
+    """
+    special = None
     if ranks is None or pattern is None:
         import public_tokenizers
 
+        special = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if ranks is None else None
         ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    return pack_pieces(materialize(tokenize_pieces(docs, ranks, pattern)))
+    return pack_pieces(materialize(tokenize_pieces(docs, ranks, pattern, special=special)))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

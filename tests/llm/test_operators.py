@@ -248,6 +248,21 @@ def test_pieces_and_places(spark):
     assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 2048) + 1
 
 
+def test_ids_of_texts_with_an_added_token(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", f"{end}first", f"last {end}", f"{end}{end}", f"a{end}{end}b  {end}  c\n\n", f"near <|endoftext| > {end[:-1]}", f"x {end} " * 900, "none"]
+    assert tokenizer.encode(texts[0]).ids == [505, 220, 50256, 734]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for doc, g in packing.pack_documents(docs).toPandas().sort_values("piece").groupby("doc_id"):
+        ids = np.array(tokenizer.encode(texts[doc], add_special_tokens=False).ids + [0], dtype="<u4")
+        assert g["length"].sum() == len(ids)
+        assert g["ids_crc32"].tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(g["start"], g["length"], strict=True)]
+
+
 def test_fullest_combination():
     rng = random.Random(3)
     for _ in range(100):
