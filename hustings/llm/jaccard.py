@@ -265,8 +265,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Five-word shingles, similarity of 0.8."""
-    found = jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
-    stay = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group stays: the one with the smallest id. Five-word shingles, similarity of 0.8.
+
+    A row is a document, whatever its id: rows that repeat an id, and rows with a null id, stay unless their texts link with another's. A null id
+    comes after all others; between rows of one id the hash of their whole content decides, so a rerun keeps the same. Texts without words link
+    with nothing, so all of them stay, but rows alike in all columns with an id stay once.
+
+    Where ids are not null and not repeated, they are the rows' keys. Otherwise each row is numbered, and written with its number before use.
+    """
+    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    told_apart = several.isEmpty()
+    rows = docs.withColumn("__row", F.col("doc_id")) if told_apart else materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = jaccard_components(rows.select("__row", "text"), "__row", width=5, percent=80)
+    if told_apart:
+        stay = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__row"))
+    else:
+        content = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
+        named = found.join(rows.select("__row", "doc_id", content.alias("content")), F.col("id") == F.col("__row"))
+        group = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.col("content")).otherwise(F.col("component_id").cast("string"))
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content", "__row"))
+        stay = named.groupBy(group).agg(first.alias("first")).select("first.__row")
+    return rows.join(stay, "__row", "left_semi").select(*docs.columns)

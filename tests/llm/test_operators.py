@@ -413,3 +413,20 @@ def test_components_against_brute_force(spark, width, percent):
     docs += [(200, None), (201, ""), (202, "one two"), (203, "ONE  two"), (204, "one"), (205, docs[1][1]), (206, docs[1][1] + " " + docs[1][1])]
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string"), width=width, percent=percent).collect()}
     assert got == brute_components(docs, width, percent)
+
+
+def test_stage_keeps_rows_that_ids_do_not_tell_apart(spark):
+    def words(k, n=40):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+
+    near = words(1)[: -len(" w1x39")]
+    rows = [(None, words(1)), (None, words(2)), (None, words(2)), (7, words(3)), (7, words(4)), (7, words(4)), (8, near), (9, words(3)), (None, ""), (None, " "), (5, ""), (5, ""), (5, " "), (6, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    want = [(None, words(2)), (7, words(3)), (7, words(4)), (8, near), (None, ""), (None, " "), (5, ""), (5, " "), (6, None)]
+    order = lambda found: sorted(found, key=repr)
+    for parts in (1, 5):
+        out = jaccard.jaccard_stage(spark, docs.repartition(parts), SMALL)
+        assert out.columns == docs.columns and order((r.doc_id, r.text) for r in out.collect()) == order(want)
+    plain = docs.filter("doc_id >= 8 OR doc_id = 6")
+    assert {r.doc_id for r in jaccard.jaccard_stage(spark, plain, SMALL).collect()} == {6, 8, 9}
+    assert jaccard.jaccard_stage(spark, empty(spark), SMALL).count() == 0
