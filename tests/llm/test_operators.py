@@ -335,21 +335,94 @@ def test_scores(spark):
     assert out["score"].sum() > out["base_score"].sum()
 
 
-def test_bigram_scores_against_a_plain_model(spark):
-    """One class of contexts is enough to compare with: weights are read off the scores' own model."""
+def plain_model(docs, held, weights_of):
+    """Deleted interpolation in plain Python: (counts of words, counts of pairs, log10 probability of each text)."""
+    texts = {d: (t or "").encode().lower().split() + [b"\n"] for d, t in docs}
+    one, two = collections.Counter(), collections.Counter()
+    for d, ws in texts.items():
+        if not held(d):
+            one.update(ws)
+            two.update(zip([b"\n", *ws], ws, strict=False))
+    n, v = sum(one.values()), len(one)
+    bucket = lambda u: one[u].bit_length() - 1  # noqa: E731  -1 for a count of 0
+    weights = weights_of(one, two, n, v, bucket)
+
+    def p(u, w):
+        b = bucket(u)
+        near = min((k for k in weights if k >= max(b, 0)), default=None)
+        x = weights[near] if near is not None else (0.0, 0.5, 0.5)
+        if b < 0:
+            x = (0.0, x[1] / (x[1] + x[2]), x[2] / (x[1] + x[2]))
+        return x[0] * two[u, w] / max(one[u], 1) + x[1] * one[w] / max(n, 1) + x[2] / (v + 1)
+
+    return {d: sum(math.log10(p(u, w)) for u, w in zip([b"\n", *ws], ws, strict=False)) for d, ws in texts.items()}
+
+
+def exact_weights(one, two, n, v, bucket):
+    """Expectation-maximisation on the deleted estimates themselves, 40 rounds."""
+    out = {}
+    for b in {bucket(u) for u, _ in two}:
+        seen = [((k - 1) / (one[u] - 1) if one[u] > 1 else 0.0, (one[w] - 1) / max(n - 1, 1), 1 / (v + 1), k) for (u, w), k in two.items() if bucket(u) == b]
+        x, total = [1 / 3] * 3, sum(k for *_, k in seen)
+        for _ in range(40):
+            gain = [0.0] * 3
+            for *e, k in seen:
+                whole = sum(a * c for a, c in zip(x, e, strict=True))
+                gain = [g + k * a * c / whole for g, a, c in zip(gain, x, e, strict=True)]
+            x = [(g + 0.5) / (total + 1.5) for g in gain]
+        out[b] = x
+    return out
+
+
+def cell_weights(one, two, n, v, bucket):
+    """The operator's own learning, on cells made from the plain counts."""
+    import pandas as pd
+
+    rows = np.array([(one[u], one[w], k, k) for (u, w), k in two.items()], dtype=np.int64).reshape(-1, 4)
+    return language_model.learn_weights(pd.DataFrame(dict(zip(("code", "n", "second", "first"), language_model.cells_of(*rows.T, n, v), strict=True))))
+
+
+def varied(n=150):
+    """Texts with words of very different frequency, so that there are many classes of contexts, some unseen."""
     rng = random.Random(2)
-    docs = [(i, " ".join(rng.choice(["a", "b", "c", "d"]) for _ in range(30))) for i in range(60)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    whole = language_model.score_documents(df, F.col("doc_id") % 7 == 2).toPandas().set_index("doc_id")
-    split = language_model.score_documents(df.repartition(5), F.col("doc_id") % 7 == 2, chunk_tokens=100, shard_tokens=20).toPandas().set_index("doc_id")
-    assert whole["score"].sort_index().to_numpy() == pytest.approx(split["score"].sort_index().to_numpy())
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[min(int(rng.paretovariate(0.6)), 399)] for _ in range(rng.randrange(90)))) for i in range(n)]
+    return [*docs, (n, None), (n + 1, ""), (n + 2, "never seen before"), (n + 5, docs[3][1])]
+
+
+@pytest.mark.parametrize(("chunk", "shard"), [(250_000, 1_000_000), (64, 20), (1000, 300)])
+def test_scores_against_a_plain_model(spark, chunk, shard):
+    docs, held = varied(), (lambda d: d % 7 == 2)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in language_model.score_documents(df, F.col("doc_id") % 7 == 2, chunk_tokens=chunk, shard_tokens=shard).collect()}
+    want = plain_model(docs, held, cell_weights)
+    assert {d: got[d].score for d in want} == pytest.approx(want, rel=1e-9) and len(got) == len(docs)
+    assert {d: got[d].n_tokens for d in want} == {d: len((t or "").split()) + 1 for d, t in docs}
+
+
+def test_weights_from_cells_are_near_exact_ones(spark):
+    docs, held = varied(), (lambda d: d % 7 == 2)
+    near, exact = (plain_model(docs, held, f) for f in (cell_weights, exact_weights))
+    assert near == pytest.approx(exact, rel=1e-3)
+
+
+def test_runs_of_requests_stay_in_proportion(spark):
+    """Four times the texts make four times the rows of requests, not sixteen times, once chunks and shards grow."""
+    rows = []
+    for times in (1, 4):
+        df = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 5000}" for k in range(100))) for i in range(300 * times)], "doc_id bigint, text string").coalesce(1)
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0]
+        least = math.isqrt(language_model.RUN * size // 6)
+        table = language_model.materialize(language_model.chunks(df, "doc_id", "text", F.lit(False), least))
+        rows.append(language_model.exchange_counts(table, -(-30_300 * times // least)).count())
+    assert rows[1] < 5 * rows[0] and rows[1] <= 2.2 * 30_300 * 4 / language_model.RUN
 
 
 def test_weights_find_the_better_estimate():
     import pandas as pd
 
     code = lambda b, x, y: (b + 1) << 40 | (x + 20_000) << 20 | (y + 20_000)
-    weights = language_model.learn_weights(pd.DataFrame({"code": [code(3, 40, 4), code(5, 4, 40)], "n": [1000, 1000]}))
+    weights = language_model.learn_weights(pd.DataFrame({"code": [code(3, 40, 4), code(5, 4, 40)], "n": [1000, 1000], "second": [10_000, 1000], "first": [1000, 10_000]}))
     assert weights[3][0] > 0.9 and weights[5][1] > 0.9
 
 
