@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+from collections.abc import Callable
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
@@ -9,6 +13,51 @@ from hustings.shared import materialize  # noqa: F401  used by the operators thr
 
 #: The six characters that separate words and are stripped from lines. ``bytes.split()`` and ``bytes.strip()`` use the same six.
 SPACE = " \t\n\x0b\x0c\r"
+#: A key with more than one in so many of all rows is dealt to several tasks.
+SHARE = 1000
+
+
+def private_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Keep the caller's columns apart from an operator's own, whose names begin with two underscores.
+
+    Columns of the first argument that begin so have other names inside: they are renamed on the way in and back on the way out. Arguments that
+    name such a column are renamed too; a Column that refers to one is not, and fails.
+    """
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **named) -> DataFrame:
+        inner = {}
+        for c in df.columns:
+            if c.startswith("__"):
+                name = f"caller{c}"
+                while name in df.columns or name in inner.values():
+                    name = "x" + name
+                inner[c] = name
+        if not inner:
+            return operator(df, *args, **named)
+        bound = inspect.signature(operator).bind(df, *args, **named)
+        rename = lambda v: inner.get(v, v) if isinstance(v, str) else tuple(map(rename, v)) if isinstance(v, tuple) else v
+        values = {k: rename(v) for k, v in bound.arguments.items()}
+        values[next(iter(values))] = df.withColumnsRenamed(inner)
+        return operator(**values).withColumnsRenamed({v: k for k, v in inner.items()})
+
+    return run
+
+
+def join_counted(many: DataFrame, few: DataFrame, keys: list[str], n: str, spread: str, how: str = "inner") -> DataFrame:
+    """Join ``many`` with ``few``, which has a row for a key and in ``n`` how many rows of ``many`` have that key; keys are not null.
+
+    A key with more than one in SHARE of all rows is dealt to as many tasks as it has such shares, by a hash of ``spread``, and its row of ``few``
+    is repeated for each of them. There are SHARE such keys at most, since their rows sum to the whole: that is what is sent to all executors.
+    ``few`` should be materialized.
+    """
+    limit = max(1, (few.agg(F.sum(n)).first()[0] or 0) // SHARE)
+    parts = F.when(F.col(n) > limit, F.ceil(F.col(n) / limit).cast("int")).otherwise(1)
+    hot = few.filter(F.col(n) > limit).select(*keys, parts.alias("__parts"))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    repeated = few.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(repeated, [*keys, "__part"], how).drop("__part")
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -19,6 +68,11 @@ def salt(parts: int, *columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
 
 
+def salts_for(rows: int, per_task: int = 100_000, least: int = 8) -> int:
+    """How many salts split a key that may hold all of ``rows`` into groups of about ``per_task``."""
+    return max(least, -(-rows // per_task))
+
+
 def ranked(df: DataFrame, keys: list[str], buckets: list[str], order: list[str], rank: str = "rank") -> DataFrame:
     """Add ``rank``: the place from 0 of each row among the rows with the same ``keys``, ordered by ``buckets``, then ``order``.
 

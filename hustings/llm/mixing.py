@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from .common import SPACE, documents, materialize, salt
+from .common import SPACE, documents, materialize, private_names, salt, salts_for
 
 WEIGHTS = (3, 1, 2)
 
@@ -38,7 +38,8 @@ def source_targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = WEI
     return rows.select(source, "source_size", F.least(F.col("__limit"), F.coalesce(level * F.col("__w"), F.col("__limit"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, size: Column, source: str = "source", order: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, salts: int = 64) -> DataFrame:
+@private_names
+def mix_sources(docs: DataFrame, size: Column, source: str = "source", order: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``: how often the mix takes the row (0 or more, at most ``most`` rounded up).
 
     Every row of a source is expected target / source_size times. The expectations are summed along the source, ordered by size and then at
@@ -47,10 +48,13 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", order: tu
     Sizes are coalesced to 0. Repeated rows are sampled one by one; rows that tie in ``order`` get the same number of copies or one apart.
 
     Rows are ranked in groups of (source, size class, salt), so that no task has a whole source; the sums by group come first and are small.
-    Columns named size, source_size, target or copies in ``docs`` are replaced.
+    There are as many salts as it takes to rank about 100,000 rows at a time if all were of one source and size. The targets are found in one
+    task that has a row for each source. Columns named size, source_size, target or copies in ``docs`` are replaced, all others pass through. A
+    null source is one of its own. An empty table gives an empty one.
     """
     names = ("size", "source_size", "target", "copies")
     kept = [c for c in docs.columns if c not in names]
+    salts = salts_for(docs.count())
     sized = docs.select(*kept, F.coalesce(size, F.lit(0)).cast("long").alias("size"), salt(salts, F.lit(seed), *order).alias("__salt"))
     sized = sized.withColumn("__class", F.floor(F.log2(F.col("size") + 1) * 4).cast("int"))
     groups = materialize(sized.groupBy(source, "__class", "__salt").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__size")))
@@ -76,5 +80,10 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources by words: each row as often as the sample takes it, 0 to 2 times.
+
+    Sources that the weights favour double at most, others shrink. A row without words has its source's rate like any other. Rows with a null
+    source are a source; repeated rows are sampled one by one.
+    """
     mixed = mix_sources(docs, n_words(F.col("text")))
     return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, materialize, ranked, salt
+from .common import documents, materialize, private_names, ranked, salt, salts_for
 
 CAPACITY = 2048
 
@@ -94,16 +94,20 @@ def tokenize_pieces(docs: DataFrame, ranks: str, pattern: str, id_column: str =
     return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def pack_pieces(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "start"), salts: int = 64) -> DataFrame:
+@private_names
+def pack_pieces(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. Lengths are 1 to ``capacity``.
 
     The driver sees one count for each length, at most ``capacity`` of them, and plans the bins; pieces are ranked within their length, in salted
-    groups, and find their bin in the plan by rank. Repeated rows are pieces of their own. An empty table gives an empty one.
+    groups of about 100,000 at most, and find their bin in the plan by rank. Repeated rows are pieces of their own. An empty table gives an empty
+    one. Columns named sequence_id or offset are replaced, all others pass through. ``pieces`` is used several times, so it should be materialized.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     spark = pieces.sparkSession
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(length).count().collect()}
     plan = plan_bins(counts, capacity)
     shared = spark.sparkContext.broadcast((plan[:, 0] << 44 | plan[:, 1], plan))
+    salts = salts_for(sum(counts.values()))
     parts = ranked(pieces.withColumn("__salt", salt(salts, *order)), [length], ["__salt"], list(order), "__rank")
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
@@ -126,7 +130,8 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
 def pack_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """The pieces of all ``docs`` and their places; the vocabulary is the public one of 50k byte-level tokens unless another is named.
 
-    The public vocabulary comes with its added tokens; one that is named has none.
+    The public vocabulary comes with its added tokens; one that is named has none. The result has a row for each piece, with the document's id and
+    no other column of ``docs``. Null and empty texts are one piece of one id.
     """
     special = None
     if ranks is None or pattern is None:
@@ -143,4 +148,5 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows as pieces in sequences of 2048 tokens; a row that comes twice, by mixing, is packed twice. Null texts are one id each."""
     return pack_documents(docs)

@@ -9,7 +9,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, materialize, ranked, salt
+from .common import documents, materialize, private_names, ranked, salt, salts_for
 
 
 def ring(shards: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +47,15 @@ def plan_arcs(counts: np.ndarray, owners: np.ndarray, shards: int) -> np.ndarray
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
-def shard_rows(df: DataFrame, key: str, shards: int = 40, nodes: int = 128, salts: int = 8) -> DataFrame:
+@private_names
+def shard_rows(df: DataFrame, key: str, shards: int = 40, nodes: int = 128) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (from 0 without gaps in each shard). Counts of shards differ by one at most.
 
     A row's key hashes to a point of the ring and belongs to the next node clockwise, or beyond it where that shard is full. The driver sees one
     count for each arc of the ring (shards x nodes of them, whatever the data); rows are ranked within their arc, in salted groups. A null key
-    is a key. Rows with equal keys share an arc. Another number of shards moves only the arcs that the new nodes cut and what overflows.
-    ``df`` is used twice: it should be materialized.
+    is a key. Rows with equal keys share an arc, and are ranked about 100,000 at a time however many they are. Another number of shards moves only the arcs that the new nodes cut and what overflows.
+    ``df`` is used twice: it should be materialized. Columns named shard or slot are replaced, all others pass through. An empty table gives an
+    empty one.
     """
     spark = df.sparkSession
     points, owners = ring(shards, nodes)
@@ -64,7 +66,7 @@ def shard_rows(df: DataFrame, key: str, shards: int = 40, nodes: int = 128, salt
         return pd.Series(np.searchsorted(where.value, hashes.to_numpy(np.int64)) % len(where.value))
 
     others = [c for c in df.columns if c not in ("shard", "slot")]
-    arcs = materialize(df.select(*others, arc_of(F.xxhash64(key)).alias("__arc"), salt(salts, *others).alias("__salt")))
+    arcs = materialize(df.select(*others, arc_of(F.xxhash64(key)).alias("__arc"), salt(salts_for(df.count()), *others).alias("__salt")))
     counts = np.zeros(len(points), dtype=np.int64)
     for arc, n in arcs.groupBy("__arc").count().collect():
         counts[arc] = n
