@@ -18,7 +18,7 @@ SIDE = 24
 FRAME = SIDE * SIDE
 TIMESCALE, KEY_EVERY, PER_CHUNK = 25, 12, 16
 #: Boxes that hold boxes, and how many bytes of their own come first.
-NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"moof": 0, b"traf": 0}
+NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0}
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -64,68 +64,91 @@ def write_media(payload: bytes) -> bytes:
     return head(len(head(0)) + 8) + _box(b"mdat", payload)
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Path, first and last offset of the content of every box, outer boxes first. A box that claims more than there is ends the walk."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+#: Boxes nested deeper than this are not walked.
+DEPTH = 32
+
+
+def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """Path, first and last offset of the content of every box, outer boxes first. A box that claims more than there is ends the walk of its level."""
+    open_boxes = [((), start, len(data) if end is None else end)]
+    while open_boxes:
+        path, start, end = open_boxes.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= end:
             size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
         size = size or end - start
         if size < head or start + size > end:
-            return
+            continue
         yield (*path, kind), start + head, start + size
-        if kind in NESTED:
-            yield from boxes(data, start + head + NESTED[kind], start + size, (*path, kind))
-        start += size
+        open_boxes.append((path, start + size, end))
+        if kind in NESTED and len(path) < DEPTH:
+            open_boxes.append(((*path, kind), start + head + NESTED[kind], start + size))
+
+
+def _numbers(data: bytes, at: int, end: int, kind: str, per: int = 1) -> tuple[int, ...]:
+    """The table of a box: a count, and so many groups of ``per`` numbers. A count that its box has no room for is an error."""
+    count = struct.unpack_from(">I", data, at)[0]
+    if at + 4 + count * per * struct.calcsize(">" + kind) > end:
+        raise struct.error("table is longer than its box")
+    return struct.unpack_from(f">{count * per}{kind}", data, at + 4)
+
+
+def _read_track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
+    """codec, timescale, duration, samples and key frames of a track's boxes; raises KeyError, IndexError or struct.error where a table is broken."""
+    at = found[b"mdhd"][0]
+    timescale = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+    at = found[b"stsd"][0]
+    codec = data[at + 12 : at + 16].decode("latin-1").strip()
+    at, end = found[b"stsz"]
+    same, count = struct.unpack_from(">II", data, at + 4)
+    if same and same * count > len(data):
+        raise struct.error("more samples than bytes")
+    sizes = [same] * count if same else _numbers(data, at + 8, end, "I")
+    times = _numbers(data, found[b"stts"][0] + 4, found[b"stts"][1], "I", 2)
+    runs = _numbers(data, found[b"stsc"][0] + 4, found[b"stsc"][1], "I", 3)
+    long = b"stco" not in found
+    at, end = found[b"co64" if long else b"stco"]
+    chunks = _numbers(data, at + 4, end, "Q" if long else "I")
+    firsts, number, samples = [*runs[::3], len(chunks) + 1], 0, []
+    for first, last, n in zip(firsts, firsts[1:], runs[1::3], strict=False):
+        if not 1 <= first <= last <= len(chunks) + 1:
+            raise struct.error("chunks out of order")
+        for offset in chunks[first - 1 : last - 1]:
+            for size in sizes[number : number + n]:
+                if offset + size > len(data):
+                    raise struct.error("sample beyond the end")
+                samples.append((offset, offset + size))
+                offset += size
+            number += n
+    keys = _numbers(data, found[b"stss"][0] + 4, found[b"stss"][1], "I") if b"stss" in found else range(1, len(samples) + 1)
+    keyframes = [(k, *samples[k - 1]) for k in keys if 0 < k <= len(samples)]
+    return {"codec": codec, "timescale": timescale, "duration": sum(n * step for n, step in zip(times[::2], times[1::2], strict=True)), "samples": samples, "keyframes": keyframes}
 
 
 def read_index(data: bytes) -> dict:
     """codec, timescale, duration and the byte ranges of all samples and of the key frames of the first track that has samples.
 
-    Decodes the sample tables (sizes, chunks, offsets of 32 or 64 bits, times, sync samples; no sync table means that all are key frames).
-    Bytes that are no container, or lack a table, give an index without samples.
+    Decodes the sample tables (sizes, chunks, offsets of 32 or 64 bits, times, sync samples; no sync table means that all are key frames). Each
+    track is read from its own boxes; one that lacks a table, or whose tables point outside of the bytes, is passed over. Bytes that are no
+    container, or have no such track, give an index without samples. Samples in movie fragments are not indexed. No table is taken to be longer
+    than the box that holds it, so broken counts cost nothing.
     """
-    found: dict[bytes, tuple[int, int]] = {}
+    tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, start, end in boxes(data):
-        if path[-1] not in found:
-            found[path[-1]] = (start, end)
-    out = {"codec": None, "timescale": 0, "duration": 0, "samples": [], "keyframes": []}
-    try:
-        at = found[b"mdhd"][0]
-        wide = data[at] == 1
-        out["timescale"] = struct.unpack_from(">I", data, at + (20 if wide else 12))[0]
-        at = found[b"stsd"][0]
-        out["codec"] = data[at + 12 : at + 16].decode("latin-1").strip()
-        at = found[b"stsz"][0] + 4
-        same, count = struct.unpack_from(">II", data, at)
-        sizes = [same] * count if same else list(struct.unpack_from(f">{count}I", data, at + 8))
-        at = found[b"stts"][0] + 4
-        times = struct.unpack_from(f">{2 * struct.unpack_from('>I', data, at)[0]}I", data, at + 4)
-        out["duration"] = sum(n * step for n, step in zip(times[::2], times[1::2], strict=True))
-        at = found[b"stsc"][0] + 4
-        runs = struct.unpack_from(f">{3 * struct.unpack_from('>I', data, at)[0]}I", data, at + 4)
-        long = b"stco" not in found
-        at = found[b"co64" if long else b"stco"][0] + 4
-        chunks = struct.unpack_from(f">{struct.unpack_from('>I', data, at)[0]}{'Q' if long else 'I'}", data, at + 4)
-        firsts, per = [*runs[::3], len(chunks) + 1], runs[1::3]
-        number = 0
-        for i, n in enumerate(per):
-            for chunk in range(firsts[i] - 1, firsts[i + 1] - 1):
-                offset = chunks[chunk]
-                for size in sizes[number : number + n]:
-                    out["samples"].append((offset, offset + size))
-                    offset += size
-                number += n
-        keys = range(1, count + 1)
-        if b"stss" in found:
-            at = found[b"stss"][0] + 4
-            keys = struct.unpack_from(f">{struct.unpack_from('>I', data, at)[0]}I", data, at + 4)
-        out["keyframes"] = [(k, *out["samples"][k - 1]) for k in keys if 0 < k <= len(out["samples"])]
-    except (KeyError, IndexError, struct.error):
-        out |= {"samples": [], "keyframes": []}
-    return out
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif tracks and b"trak" in path:
+            tracks[-1].setdefault(path[-1], (start, end))
+    for track in tracks:
+        try:
+            if (index := _read_track(data, track))["samples"]:
+                return index
+        except (KeyError, IndexError, struct.error):
+            continue
+    return {"codec": None, "timescale": 0, "duration": 0, "samples": [], "keyframes": []}
 
 
 def _mapped(df: DataFrame, taken: str, more: list[pa.Field], kinds: str, f) -> DataFrame:
