@@ -7,7 +7,7 @@ import string
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import SPACE, documents, materialize
+from .common import SPACE, documents, materialize, private_names
 
 
 def line_keys(text: Column) -> Column:
@@ -22,6 +22,7 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
 
 
+@private_names
 def dedup_lines(docs: DataFrame, text: str = "text", min_documents: int = 10, min_length: int = 1) -> DataFrame:
     """Every row of ``docs`` with its text less the frequent lines, and ``n_lines`` (before) and ``n_dropped``.
 
@@ -31,21 +32,23 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_documents: int = 10, mi
     Repeated rows are documents of their own. Columns named n_lines or n_dropped in ``docs`` are replaced; all others pass through.
 
     Only hashes are exploded and shuffled, and counted in part before the shuffle, so a line in every document costs one row a task. Documents
-    meet the places of their dropped lines by a row number of their own, not by an id that might repeat.
+    meet the places of their dropped lines by 128 bits of hashes of the whole row, not by an id that might repeat; rows that are equal in all
+    columns lose the same lines, so they may share it.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n", -1)
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*kept_columns, F.xxhash64(*[F.col(c) for c in kept_columns]).alias("__row"))
-    hashes = rows.select("__row", F.transform(line_keys(whole), lambda k: F.when(F.length(k) >= min_length, _hash(k))).alias("__h"))
-    each = hashes.select("__row", F.posexplode("__h").alias("__pos", "__h")).filter("__h is not null").select("__row", "__pos", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
+    row = ["__row", "__more"]
+    content = [F.col(c) for c in kept_columns]
+    rows = docs.select(*kept_columns, F.xxhash64(*content).alias("__row"), F.xxhash64(F.lit("row"), *content).alias("__more"))
+    hashes = rows.select(*row, F.transform(line_keys(whole), lambda k: F.when(F.length(k) >= min_length, _hash(k))).alias("__h"))
+    each = hashes.select(*row, F.posexplode("__h").alias("__pos", "__h")).filter("__h is not null").select(*row, "__pos", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
     once = hashes.select(F.explode(F.array_distinct("__h")).alias("__h")).filter("__h is not null").select(F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
     # written, so that Spark knows its size before the join: sent out whole while small, else joined in parts that it can split where a key is hot
     frequent = materialize(once.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_documents).select("__a", "__b"))
-    # equal rows share _row and drop the same lines, so the set of places is right for each of them
-    drops = each.join(frequent, ["__a", "__b"], "left_semi").groupBy("__row").agg(F.collect_set("__pos").alias("__drop"))
+    drops = each.join(frequent, ["__a", "__b"], "left_semi").groupBy(*row).agg(F.collect_set("__pos").alias("__drop"))
     none = F.array().cast("array<int>")
-    found = rows.join(drops, "__row", "left").select(*kept_columns, lines.alias("__lines"), F.coalesce("__drop", none).alias("__drop"))
+    found = rows.join(drops, row, "left").select(*kept_columns, lines.alias("__lines"), F.coalesce("__drop", none).alias("__drop"))
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     kept = F.when(F.size("__drop") == 0, F.col("__lines")).otherwise(F.transform(places, lambda i: F.col("__lines")[i]))
     columns = [F.array_join(kept, "\n").alias(text) if c == text else F.col(c) for c in kept_columns]
