@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,21 +9,25 @@ from hustings.operators import checks
 from hustings.operators.methods import TRANSFERS
 from hustings.plans.adapters import cell, located, precinct, sector, sql
 from hustings.plans.registry import query
-from hustings.shared import shared_folder
+from hustings.shared import new_folder
 from hustings.sources import files
 from hustings.streaming import live
 
 
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/hustings-{uuid.uuid4().hex}"
-
-
-@query("s001_csv_scan", sql("SELECT CAST(id AS VARCHAR) AS id, 'a \"quoted\", text' || chr(10) || grp AS note FROM cell", "cell"))
+@query(
+    "s001_csv_scan",
+    sql("SELECT CASE WHEN id % 5 <> 0 THEN CAST(id AS VARCHAR) END AS id, CASE WHEN id % 5 NOT IN (0, 1, 2) THEN 'a \"quoted\", text' || chr(10) || grp WHEN id % 5 = 2 THEN grp END AS note, CASE WHEN id % 5 = 2 THEN 'x' END AS more FROM cell", "cell"),
+)
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells with commas, quotes and newlines, through the CSV writer and reader (1 and 8)."""
+    """A text of rows with commas, quotes and newlines in cells, blank rows, short rows, LF and CRLF, read as a table."""
     path = new_folder(spark)
-    files.write_csv(cell(spark, sf_dir).select("id", F.concat(F.lit('a "quoted", text\n'), "grp").alias("note")), path)
-    return files.read_csv(spark, path, required=["id", "note"])
+    kind = F.col("id") % 5
+    quoted = F.concat("id", F.lit(',"a ""quoted"", text\n'), "grp", F.lit('"'))
+    line = F.when(kind == 0, "").when(kind == 1, F.col("id").cast("string")).when(kind == 2, F.concat("id", F.lit(","), "grp", F.lit(",x\r"))).otherwise(quoted)
+    # files of about 100 rows, each with its header
+    texts = cell(spark, sf_dir).groupBy(F.floor(F.col("id") / 100).alias("part")).agg(F.concat_ws("\n", F.lit("id,note,more\r"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n")).alias("value"))
+    texts.repartition("part").select("value", "part").write.partitionBy("part").text(path)
+    return files.read_csv(spark, f"{path}/part=*", required=["id", "note"])
 
 
 @query("s008_csv_sink", sql("SELECT Shape_ID, Region, Population FROM precinct", "precinct"))
@@ -46,6 +48,17 @@ def directory_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query("s010_report_sink", sql("SELECT 'county' AS sheet, CAST(County AS VARCHAR) AS key, CAST(CAST(sum(Population) AS BIGINT) AS VARCHAR) AS population FROM precinct GROUP BY County UNION ALL SELECT 'zone', CAST(Zone AS VARCHAR), CAST(CAST(sum(Population) AS BIGINT) AS VARCHAR) FROM precinct GROUP BY Zone", "precinct"))
+def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of two sheets, counties and zones, each a folder of CSV; read back sheet by sheet."""
+    path = new_folder(spark)
+    sums = precinct(spark, sf_dir).groupBy("County", "Zone").agg(F.sum("Population").alias("population"))
+    sheet = lambda key: sums.groupBy(F.col(key).alias("key")).agg(F.sum("population").alias("population"))
+    files.write_report({"county": sheet("County"), "zone": sheet("Zone")}, path)
+    parts = [files.read_csv(spark, f"{path}/{name}", multi_line=False).select(F.lit(name).alias("sheet"), "key", "population") for name in ("county", "zone")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("s003_manifest_lists", sql("SELECT DISTINCT 'GeneralProportional' AS seat_type, list, party FROM sector", "sector"))
 def manifest_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested manifest, made of the sectors' lists, written as JSON and read with its schema (3, 118)."""

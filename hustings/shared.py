@@ -7,26 +7,50 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Sessions without spark.checkpoint.dir (tests on one machine) share this folder; it is made on first use.
+#: Local sessions without spark.checkpoint.dir (tests on one machine) share this folder; it is made on first use.
 _own_folder: list[str] = []
+#: What was written so far, for :func:`release`.
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, one of this process's own."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local session gets one of this process's own; a cluster is an error.
+
+    Executors on other machines would write a temporary folder of this machine each on its own disk, and the driver would read a part of it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="hustings-"))
     return _own_folder[0]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder, not yet there, inside the shared one."""
+    _written.append(f"{shared_folder(spark)}/hustings-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it as read back.
 
-    Cuts the lineage: what is read later survives the loss of any executor, and is computed once.
+    Cuts the lineage: what is read later survives the loss of any executor, and is computed once. The files stay until :func:`release`.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/hustings-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that this process has written into the shared folder so far, and return how many folders that were.
+
+    Results that are still to be read depend on these tables: write or collect them first.
+    """
+    jvm, done = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done

@@ -11,16 +11,35 @@ from pyspark.sql import types as T
 from hustings.operators.checks import require_columns
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, required: list[str] | None = None) -> DataFrame:
+#: One record of a text: cells outside of quotes up to a newline, quoted parts whole; an open quote runs to the end.
+_RECORD = r'(?:[^"\n]++|"[^"]*+(?:"|\z))*+\n|(?:[^"\n]++|"[^"]*+(?:"|\z))++\z'
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, required: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """A table with a header: quoted cells may hold commas, newlines and doubled quotes; lines end in LF or CRLF; a BOM is skipped.
 
-    Without a schema all columns are text. Short rows are filled with nulls and blank rows kept as nulls. Missing ``required`` columns are an error.
+    Without a schema all columns are text. Short rows are filled with nulls, empty cells are null, and a blank row stays as a row of nulls (only
+    the end of the last line makes no row). Missing ``required`` columns are an error.
+
+    With ``multi_line`` a file is read by one task, since a newline may stand in a cell. Without it, where no cell holds a newline, a large file is
+    split among tasks; there a row that repeats the header's text counts as a header.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False)
-    df = (reader.schema(schema) if schema is not None else reader).csv(path)
-    clean = {c: c.lstrip("﻿").rstrip("\r").strip() for c in df.columns}
-    df = df.select(*[(F.regexp_replace(F.col(f"`{c}`"), "\r$", "") if t == "string" else F.col(f"`{c}`")).alias(clean[c]) for c, t in df.dtypes])
-    return require_columns(df, required or [], path)
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
+    names = [c.lstrip("\ufeff").rstrip("\r").strip() for c in spark.read.options(**options).option("header", True).option("multiLine", multi_line).csv(path).columns]
+    if schema is None:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if multi_line:
+        found = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(_RECORD), F.lit(0))).alias("n", "record")).filter("n > 0").select("record")
+    else:
+        lines = spark.read.text(path)
+        head = lines.first()
+        found = lines.select(F.col("value").alias("record")).filter(F.col("record") != (head[0] if head else ""))
+    record = F.regexp_replace("record", "\r?\n?\\z", "")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    rows = found.select(F.from_csv(record, ddl, options).alias("r")).select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields])
+    return require_columns(rows, required or [], path)
 
 
 def read_directory(spark: SparkSession, path: str) -> dict[str, DataFrame]:

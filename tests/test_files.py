@@ -12,6 +12,52 @@ def test_csv_quirks(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("1", "POLYGON ((0 0, 1 0, 1 1))", 'said "so"'), ("2", "two\nlines", None)]
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_blank_and_short_rows_stay(spark, tmp_path, multi_line, end):
+    (tmp_path / "a.csv").write_bytes(end.join(["a,b", "1,x", "", "2,y", ",", "3", ' 4 ,"p,q"', "", ""]).encode())
+    rows = [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv"), multi_line=multi_line).collect()]
+    assert rows == [("1", "x"), (None, None), ("2", "y"), (None, None), ("3", None), (" 4 ", "p,q"), (None, None)]
+
+
+def test_header_only_and_open_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n")
+    (tmp_path / "b.csv").write_text('a,b\n1,"open\n2,x')
+    assert files.read_csv(spark, str(tmp_path / "a.csv")).count() == 0
+    assert files.read_csv(spark, str(tmp_path / "b.csv")).count() == 1
+    typed = files.read_csv(spark, str(tmp_path / "a.csv"), "a int, b string")
+    assert typed.dtypes == [("a", "int"), ("b", "string")]
+
+
+def test_large_cells(spark, tmp_path):
+    long = "x" * 200_000 + '"" , \n' * 2000
+    (tmp_path / "a.csv").write_text(f'a,b\n1,"{long}"\n2,y\n')
+    rows = files.read_csv(spark, str(tmp_path / "a.csv")).collect()
+    assert [r.a for r in rows] == ["1", "2"] and rows[0].b == long.replace('""', '"')
+
+
+def test_folders_are_released(spark):
+    import os
+
+    from hustings import shared
+
+    shared.release(spark)
+    df = shared.materialize(spark.range(5))
+    path = shared._written[-1]
+    assert df.count() == 5 and os.path.isdir(path)
+    assert shared.release(spark) == 1 and not os.path.exists(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from hustings import shared
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_folder(session)
+
+
 def test_required_columns(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id\n1\n")
     with pytest.raises(ValueError, match="County"):
