@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from hustings.operators.windows import gaps, stretched
+
 
 def require_columns(df: DataFrame, columns: list[str], name: str = "table") -> DataFrame:
     if lost := [c for c in columns if c not in df.columns]:
@@ -27,13 +29,12 @@ def broken_dependency(df: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 def id_problems(df: DataFrame, id_column: str, pattern: str) -> DataFrame:
     """Rows (id, problem) for ids "{group}{number}": bad format, repeated, or missing between 1 and the group's largest number."""
-    read = df.select(F.col(id_column).alias("id"), F.regexp_extract(id_column, pattern, 1).alias("g"), F.regexp_extract(id_column, pattern, 2).try_cast("int").alias("k"))
+    read = df.select(F.col(id_column).alias("id"), F.regexp_extract(id_column, pattern, 1).alias("g"), F.regexp_extract(id_column, pattern, 2).try_cast("long").alias("k"))
     bad = read.filter(F.col("k").isNull()).select("id", F.lit("bad format").alias("problem"))
     good = read.filter(F.col("k").isNotNull())
     twice = good.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("repeated").alias("problem"))
-    full = good.groupBy("g").agg(F.max("k").alias("m")).select("g", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("k"))
-    gaps = full.join(good.select("g", "k").distinct(), ["g", "k"], "left_anti").select(F.concat("g", F.col("k").cast("string")).alias("id"), F.lit("missing").alias("problem"))
-    return bad.unionByName(twice).unionByName(gaps)
+    lost = stretched(gaps(good, "g", "k"), F.col("first"), F.col("last"), "k").select(F.concat("g", F.col("k").cast("string")).alias("id"), F.lit("missing").alias("problem"))
+    return bad.unionByName(twice).unionByName(lost)
 
 
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -145,9 +145,9 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.dense_clusters(point(spark, sf_dir), 6.0, "grp")
 
 
-@query("s148_two_hops", sql("SELECT start, id, min(h) AS hops FROM (SELECT s AS start, s AS id, 0 AS h FROM st UNION ALL SELECT s, b.dst, 1 FROM st JOIN both_ b ON b.src = s UNION ALL SELECT s, c.dst, 2 FROM st JOIN both_ b ON b.src = s JOIN both_ c ON c.src = b.dst) GROUP BY start, id", "corner", more=f"{_ADJ}, both_ AS (SELECT src, dst FROM adj UNION ALL SELECT dst, src FROM adj), st AS (SELECT id AS s FROM cell WHERE id % 50 = 0)"))
+@query("s148_two_hops", sql("SELECT start, id, min(h) AS hops FROM (SELECT s AS start, s AS id, 0 AS h FROM st UNION ALL SELECT s, b.dst, 1 FROM st JOIN both_ b ON b.src = s UNION ALL SELECT s, c.dst, 2 FROM st JOIN both_ b ON b.src = s JOIN both_ c ON c.src = b.dst) GROUP BY start, id", "corner", more=f"{_ADJ}, both_ AS (SELECT src, dst FROM adj UNION ALL SELECT dst, src FROM adj), st AS (SELECT id AS s FROM cell)"))
 def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.within_hops(adjacent(spark, sf_dir), cell(spark, sf_dir).filter("id % 50 = 0").select("id"), 2)
+    return graph.within_hops(adjacent(spark, sf_dir), cell(spark, sf_dir).select("id"), 2)
 
 
 @query("s149_components_in_groups", "WITH RECURSIVE " + sql("SELECT grp, count(DISTINCT m) AS n_parts FROM (SELECT id, min(reach) AS m FROM walk GROUP BY id) JOIN cell USING (id) GROUP BY grp", "corner", more=f"{_ADJ}, same_ AS (SELECT src, dst FROM adj JOIN cell a ON a.id = src JOIN cell b ON b.id = dst WHERE a.grp = b.grp), {_WALK.format(e='same_', n='id', t='cell')}")[5:])
@@ -168,12 +168,12 @@ def edge_smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TYPES = ["C1", "C2", "C3", "C4"]
-_PRIOR = f"prior AS (SELECT k AS key, t AS type, CAST((k * o) % 5 AS DOUBLE) AS p FROM (SELECT unnest(range(3)) AS k), (SELECT unnest({_TYPES}) AS t, unnest([1, 2, 3, 4]) AS o)), ok AS (SELECT k AS key, t AS type FROM (SELECT unnest(range(3)) AS k), (SELECT unnest({_TYPES}) AS t, unnest([1, 2, 3, 4]) AS o) WHERE (k + o) % 3 <> 0)"
+_PRIOR = f"prior AS (SELECT k AS key, t AS type, CAST((k * o) % 5 AS DOUBLE) AS p FROM (SELECT p_partkey AS k FROM part), (SELECT unnest({_TYPES}) AS t, unnest([1, 2, 3, 4]) AS o)), ok AS (SELECT k AS key, t AS type FROM (SELECT p_partkey AS k FROM part), (SELECT unnest({_TYPES}) AS t, unnest([1, 2, 3, 4]) AS o) WHERE (k + o) % 3 <> 0)"
 
 
 def priors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(priors, valid types) of three keys, made of the nations."""
-    keys = table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").cast("long").alias("key"))
+    """(priors, valid types) of four types for each part."""
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("key"))
     full = keys.select("key", F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(i).alias("o")) for i, t in enumerate(_TYPES, 1)])))
     return full.select("key", "type", ((F.col("key") * F.col("o")) % 5).cast("double").alias("p")), full.filter((F.col("key") + F.col("o")) % 3 != 0).select("key", "type")
 
@@ -183,9 +183,9 @@ def valid_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.valid_priors(*priors(spark, sf_dir), ["key"]).select("key", "type", F.round("p", 6).alias("p"))
 
 
-@query("s155_fallback_type", sql("SELECT id, key, arg_min(t, [CASE WHEN d >= 0 THEN 0 ELSE 1 END, abs(d)]) AS type FROM (SELECT c.id, c.key, ok.type AS t, CAST(ok.type[2:2] AS INT) - c.o AS d FROM (SELECT p_partkey AS id, p_partkey % 3 AS key, p_partkey % 4 + 1 AS o FROM part) c JOIN ok ON c.key = ok.key) GROUP BY id, key", more=_PRIOR))
+@query("s155_fallback_type", sql("SELECT id, key, arg_min(t, [CASE WHEN d >= 0 THEN 0 ELSE 1 END, abs(d)]) AS type FROM (SELECT c.id, c.key, ok.type AS t, CAST(ok.type[2:2] AS INT) - c.o AS d FROM (SELECT p_partkey AS id, p_partkey AS key, p_partkey % 4 + 1 AS o FROM part) c JOIN ok ON c.key = ok.key) GROUP BY id, key", more=_PRIOR))
 def fallback_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("key"), F.concat(F.lit("C"), (F.col("p_partkey") % 4 + 1).cast("string")).alias("type"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("key"), F.concat(F.lit("C"), (F.col("p_partkey") % 4 + 1).cast("string")).alias("type"))
     return graph.fallback_type(rows, priors(spark, sf_dir)[1], "key", _TYPES)
 
 
@@ -194,7 +194,7 @@ def blended_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of squares after three rounds; every tenth is an anchor and keeps its own."""
     p, valid = priors(spark, sf_dir)
     good = graph.valid_priors(p, valid, ["key"])
-    nodes = cell(spark, sf_dir).select("id", (F.col("id") % 3).alias("key"), F.concat(F.lit("C"), (F.col("id") % 4 + 1).cast("string")).alias("type"), (F.col("id") % 10 == 0).alias("frozen"))
+    nodes = cell(spark, sf_dir).select("id", F.col("id").alias("key"), F.concat(F.lit("C"), (F.col("id") % 4 + 1).cast("string")).alias("type"), (F.col("id") % 10 == 0).alias("frozen"))
     moves = good.filter("key = 1").select(F.explode(F.array(*[F.lit(t) for t in _TYPES])).alias("from_type"), "type", "p")
     return graph.blend_labels(nodes, adjacent(spark, sf_dir), good, moves)
 
@@ -253,7 +253,14 @@ def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.loops(topology.outer_edges(topology.edges(holed(spark, sf_dir)), [])).groupBy("n_edges", "closed").agg(F.count(F.lit(1)).alias("n_loops"))
 
 
-@query("s164_gap_owner")
+@query(
+    "s164_gap_owner",
+    sql(
+        "SELECT gap, id, shared FROM (SELECT m.id AS gap, c.id, count(*) AS shared, row_number() OVER (PARTITION BY m.id ORDER BY count(*) DESC, c.id) AS n FROM corner m JOIN corner c ON m.x = c.x AND m.y = c.y WHERE m.id IN (SELECT id FROM gone) AND c.id NOT IN (SELECT id FROM gone) GROUP BY m.id, c.id) WHERE n = 1",
+        "corner",
+        more="gone AS (SELECT id FROM cell WHERE i % 5 = 2 AND j % 5 = 2)",
+    ),
+)
 def gap_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which neighbour has most corners of each missing square."""
     gone = shapes(spark, sf_dir).join(holed(spark, sf_dir).select("id"), "id", "left_anti")
@@ -261,7 +268,7 @@ def gap_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.gap_owner(gaps, topology.vertices(holed(spark, sf_dir)))
 
 
-@query("s165_redundant_vertices")
+@query("s165_redundant_vertices", sql("SELECT '0.0,' || CAST(CAST(j AS DOUBLE) + 0.5 AS VARCHAR) AS key FROM cell WHERE i = 0", "cell"))
 def redundant_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole layer, where squares of the first column have a midpoint on the left side, which no neighbour has."""
     with_middle = F.transform("rings", lambda r: F.concat(r, F.array(g.point(r[0]["x"], r[0]["y"] + 0.5), r[0])))
@@ -269,7 +276,7 @@ def redundant_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.redundant_vertices(shapes(spark, sf_dir).select("id", F.when(F.col("id") % 20 == 0, widened).otherwise(F.col("rings")).alias("rings")))
 
 
-@query("s166_insertions")
+@query("s166_insertions", sql("SELECT id, 0 AS pos, i || '.0,' || (j + 1) || '.0' AS key, 0.5::DOUBLE AS t FROM cell c WHERE EXISTS (SELECT 1 FROM corner o WHERE o.id <> c.id AND o.x = c.i AND o.y = c.j + 1)", "corner"))
 def insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners of unit squares that lie inside the long sides of 1 x 2 blocks, one block from each square up."""
     rows = shapes(spark, sf_dir)

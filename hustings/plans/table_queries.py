@@ -298,16 +298,16 @@ def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "s083_clockwise_ids",
     sql(
-        "SELECT id, 'G' || grp || '-' || lpad(CAST(row_number() OVER (PARTITION BY grp ORDER BY round(a - floor(a / 6.283185307179586) * 6.283185307179586, 9), dx * dx + dy * dy, x, y) AS VARCHAR), 3, '0') AS new_id FROM (SELECT *, 1.5707963267948966 - atan2(dy, dx) AS a FROM (SELECT *, x - 48.5 AS dx, y - 44.5 AS dy FROM point WHERE id < 1000))",
+        "SELECT id, 'G' || grp || '-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS new_id FROM (SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY round(a - floor(a / 6.283185307179586) * 6.283185307179586, 9), dx * dx + dy * dy, x, y, id) AS n FROM (SELECT *, 1.5707963267948966 - atan2(dy, dx) AS a FROM (SELECT *, x - 48.5 AS dx, y - 44.5 AS dy FROM point)))",
         "point",
     ),
 )
 def clockwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = point(spark, sf_dir).filter("id < 1000")
-    return windows.clockwise_ids(rows, ["grp"], F.col("x"), F.col("y"), F.lit(48.5), F.lit(44.5), F.concat(F.lit("G"), F.col("grp").cast("string"), F.lit("-"))).select("id", "new_id")
+    rows = point(spark, sf_dir)
+    return windows.clockwise_ids(rows, ["grp"], F.col("x"), F.col("y"), F.lit(48.5), F.lit(44.5), F.concat(F.lit("G"), F.col("grp").cast("string"), F.lit("-")), ties=("id",)).select("id", "new_id")
 
 
-_IDS_SQL = "ids AS (SELECT CASE WHEN c_custkey % 50 = 7 THEN 'bad' || c_custkey ELSE 'N' || c_nationkey || '-' || (CASE WHEN c_custkey % 11 = 3 THEN c_custkey // 25 + 1 ELSE c_custkey // 25 END + 1) END AS id FROM customer WHERE c_custkey < 800)"
+_IDS_SQL = "ids AS (SELECT CASE WHEN c_custkey % 50 = 7 THEN 'bad' || c_custkey ELSE 'N' || c_nationkey || '-' || (CASE WHEN c_custkey % 11 = 3 THEN c_custkey // 25 + 1 ELSE c_custkey // 25 END + 1) END AS id FROM customer)"
 
 
 @query(
@@ -318,7 +318,7 @@ _IDS_SQL = "ids AS (SELECT CASE WHEN c_custkey % 50 = 7 THEN 'bad' || c_custkey
     ),
 )
 def id_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 800")
+    c = table(spark, sf_dir, "customer")
     k = F.floor(F.col("c_custkey") / 25)
     number = F.when(F.col("c_custkey") % 11 == 3, k + 1).otherwise(k) + 1
     ids = c.select(F.when(F.col("c_custkey") % 50 == 7, F.concat(F.lit("bad"), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit("-"), number.cast("string"))).alias("id"))
@@ -366,16 +366,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s088_natural_sort", sql("SELECT code, row_number() OVER (ORDER BY regexp_extract(code, '^([A-Za-z]*)', 1), CAST(regexp_extract(code, '([0-9]+)$', 1) AS BIGINT)) AS place FROM (SELECT DISTINCT left(c_mktsegment, 1) || (c_nationkey * 7) AS code FROM customer)"))
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     codes = table(spark, sf_dir, "customer").select(F.concat(F.substring("c_mktsegment", 1, 1), (F.col("c_nationkey") * 7).cast("string")).alias("code")).distinct()
-    return codes.withColumn("place", F.row_number().over(Window.orderBy(*reshape.natural_order("code"))).cast("long"))
+    return windows.ranked_in_group(codes, [], reshape.natural_order("code"), "place")
 
 
-@query("s089_sort_by_size", sql("SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 100"))
+@query("s089_sort_by_size", sql("SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey"))
 def sort_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report of the 100 largest by absolute value."""
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.abs("c_acctbal").desc(), "c_custkey").limit(100)
+    """The whole table, largest absolute value first."""
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.abs("c_acctbal").desc(), "c_custkey")
 
 
 @query("s090_top_row", sql("SELECT County, Shape_ID, Population FROM (SELECT *, row_number() OVER (PARTITION BY County ORDER BY Population DESC, Shape_ID) AS n FROM precinct) WHERE n = 1", "precinct"))
