@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from hustings.operators.tally import fully_declared, gated, safe_vote_bound
+
 
 def largest_remainder(rows: DataFrame, keys: list[str], votes: str, quota: Column, seats: Column, unit: str, name: str = "seats") -> DataFrame:
     """``rows`` with seats: whole quotas, then one each to the largest remainders, ties by votes, then unit.
@@ -55,3 +57,22 @@ def guaranteed_seats(votes: DataFrame, keys: list[str], bound: Column | str, tot
     qualified = (bound > 0) & (of_list >= bound * threshold_pct / 100)
     quota = F.when(seats > 0, bound / seats).otherwise(0.0)
     return votes.select("*", of_list.alias("list_votes"), qualified.alias("qualified"), F.when(qualified & (quota > 0), F.floor(F.col("votes") / quota)).otherwise(0).cast("long").alias("seats"))
+
+
+def seats_so_far(rows: DataFrame, keys: list[str], parties: dict[str, tuple[str, Column]], total_seats: int, derived: DataFrame | None = None, threshold_pct: float = 15.0) -> DataFrame:
+    """Rows (keys, list, party, votes, final, seats): final seats of a contest whose rows are all declared, else the seats that are certain.
+
+    ``rows`` have status, Turnout and Electorate; ``parties`` gives the list and the votes of each party. Votes are those of declared rows.
+    ``derived`` stands for a sector whose own row is blank: units that count as one vote for the party that wins them (keys, total_units,
+    declared_units, won_{party}). The contest is final only when all of its units are declared too, and each unit is one valid vote at most.
+    """
+    valid = sum((v for _, v in parties.values()), F.lit(0))
+    sums = rows.groupBy(*keys).agg(fully_declared().alias("final"), safe_vote_bound(valid).alias("bound"), *[F.coalesce(F.sum(gated(v)), F.lit(0)).alias(f"_v_{p}") for p, (_, v) in parties.items()])
+    known = lambda c: F.coalesce(F.col(c), F.lit(0)) if derived is not None else F.lit(0)
+    joined = sums.join(derived, keys, "left") if derived is not None else sums
+    each = F.array(*[F.struct(F.lit(of).alias("list"), F.lit(p).alias("party"), (F.col(f"_v_{p}") + known(f"won_{p}")).alias("votes")) for p, (of, _) in parties.items()])
+    final = F.col("final") & (known("declared_units") == known("total_units"))
+    votes = joined.select(*keys, final.alias("final"), (F.col("bound") + known("total_units")).alias("bound"), F.inline(each))
+    full = two_stage_seats(votes.drop("bound", "final"), keys, total_seats, threshold_pct).select(*keys, "party", F.col("seats").alias("_full"))
+    sure = guaranteed_seats(votes, keys, "bound", total_seats, threshold_pct).withColumnRenamed("seats", "_sure")
+    return sure.join(full, [*keys, "party"]).select(*keys, "list", "party", "votes", "final", F.when(F.col("final"), F.col("_full")).otherwise(F.col("_sure")).alias("seats"))

@@ -13,7 +13,6 @@ def gated_draw(seed: str, mean: Column, sd: Column, keys: list[Column | str], lo
 
     With a ``reference`` the range is for the draw over it, and a reference of 0 is never out of range.
     """
-    draws = F.array(*[keyed_normal(seed, mean, sd, *keys, F.lit(k)) for k in range(1, attempts + 1)])
 
     def good(v: Column) -> Column:
         metric = v if reference is None else F.when(reference != 0, v / reference).otherwise(0.0)
@@ -22,8 +21,13 @@ def gated_draw(seed: str, mean: Column, sd: Column, keys: list[Column | str], lo
         ok = ok & (metric <= high) if high is not None else ok
         return ok if reference is None else ok | (reference == 0)
 
-    found = F.filter(draws, good)
-    return F.coalesce(F.get(found, F.lit(0)), F.element_at(draws, -1)), F.size(found) == 0
+    # one draw in the plan, whatever the number of attempts: it is made anew only until one is in range
+    def attempt(now: Column, k: Column) -> Column:
+        value = F.when(now["ok"], now["v"]).otherwise(keyed_normal(seed, mean, sd, *keys, k))
+        return F.transform(F.array(value), lambda v: F.struct(v.alias("v"), good(v).alias("ok")))[0]
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(attempts)), F.struct(F.lit(0.0).alias("v"), F.lit(False).alias("ok")), attempt)
+    return found["v"], ~found["ok"]
 
 
 def clamp(value: Column, reference: Column) -> Column:

@@ -57,18 +57,34 @@ def dominant_status() -> Column:
     return F.when(F.col("pct_declared") >= 100, st.DECLARED).when((F.col("n_counting") > 0) | (F.col("pct_declared") > 0), st.COUNTING).when(F.col("n_verifying") > 0, st.VERIFYING).otherwise(st.NOT_RECEIVED)
 
 
-def seat_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """All that a seat's summary needs from its rows, by one aggregate: transfers and spoils of declared rows, known turnout, electorate, pool."""
-    return rows.groupBy(*keys).agg(
+def sums_of_seat() -> list[Column]:
+    """The sums that a seat's summary needs from its rows: transfers and spoils of declared rows, known turnout, electorate, pool."""
+    declared = F.when(F.col("status") == st.DECLARED, F.col("Electorate")).otherwise(0)
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("status") == st.DECLARED).alias("n_declared"),
         F.sum("Electorate").alias("Electorate"),
         F.sum(gated("Turnout", least=st.COUNTING)).alias("Turnout"),
         sum_gated("Spoil").alias("Spoil"),
         *[sum_gated(c).alias(c) for c in TRANSFERS],
-        percent_declared().alias("percent_declared"),
         undecided_pool().alias("undecided"),
-    )
+        F.sum(declared).alias("_declared"),
+    ]
+
+
+def _with_percent(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("percent_declared", percent(F.col("_declared"), F.col("Electorate"))).drop("_declared")
+
+
+def seat_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """All that a seat's summary needs from its rows, by one aggregate (:func:`sums_of_seat`), and the percent declared."""
+    return _with_percent(rows.groupBy(*keys).agg(*sums_of_seat()))
+
+
+def sums_of_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as :func:`seat_sums` from sums of smaller places, so that several levels of places need one pass over the rows."""
+    names = ["n_rows", "n_declared", "Electorate", "Turnout", "Spoil", *TRANSFERS, "undecided", "_declared"]
+    return _with_percent(sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names]))
 
 
 def yes_no_summary(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from hustings.functions import numbers as num
 from hustings.functions import scores
 from hustings.functions.scores import SIDES
-from hustings.operators import proportional, reconcile, sampling, tally, windows
+from hustings.operators import proportional, reconcile, sampling, tally, units, windows
 from hustings.operators.labels import with_perception
-from hustings.plans.adapters import NOW_MID, cluster, located, precinct, rate, result, sector, sql, table
+from hustings.operators.methods import first_preferences
+from hustings.plans.adapters import NOW_LATE, NOW_MID, cluster, located, precinct, rate, result, sector, sql, status_sql, table
 from hustings.plans.registry import query
-from hustings.plans.tally_queries import STATUS_MID
+from hustings.plans.tally_queries import R1, STATUS_MID, UNITS_SQL
 
 
 @query("s099_distance_km", sql("SELECT id, round(sqrt((x - 48) * (x - 48) + (y - 44) * (y - 44)) / 8.01, 6) AS km, round(sqrt((x - 48) * (x - 48) + (y - 44) * (y - 44)) / 8.01 / 40, 6) AS hours FROM point", "point"))
@@ -355,13 +356,25 @@ def guaranteed_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportional.guaranteed_seats(rows.join(bounds, "Sector"), ["Sector"], "bound", 45).select("Sector", "list", "party", "votes", "seats")
 
 
-@query("s131_final_or_provisional", sql("SELECT s.Sector, s.party, CASE WHEN s.Sector % 2 = 0 THEN s.seats ELSE g.seats END AS seats, s.Sector % 2 = 0 AS final FROM seats s JOIN gt g ON s.Sector = g.Sector AND s.party = g.party", "sector", more=f"{_seats_sql(45)}, {_BOUND}, {_GUARANTEE}"))
+#: Zones up to 2 are looked at late, when all of their rows are declared; the others in the middle. Three parties are on two lists.
+_FINAL_ZONE = 2
+_LISTS = {"Left": "L1", "Right": "L2", "MR": "L1"}
+_SO_FAR = f"""st AS (SELECT *, {status_sql(f"(CASE WHEN Zone <= {_FINAL_ZONE} THEN TIMESTAMP '{NOW_LATE}' ELSE TIMESTAMP '{NOW_MID}' END)")} AS status FROM located WHERE Zone > {_FINAL_ZONE} OR declared_at IS NOT NULL),
+ {UNITS_SQL.replace("District, Ward", "Zone, Ward")},
+ base AS (SELECT Zone, bool_and(status = 'Declared') AS fin, CAST(sum(CASE status WHEN 'Declared' THEN {' + '.join(R1.values())} WHEN 'Counting' THEN Turnout ELSE Electorate END) AS BIGINT) AS bound FROM st GROUP BY Zone),
+ tot AS (SELECT Zone, count(*) AS total, count(*) FILTER (done) AS declared FROM unit GROUP BY Zone),
+ sector AS ({' UNION ALL '.join(f"SELECT st.Zone AS Sector, '{s}' AS party, '{of}' AS list, CAST(coalesce(sum({R1[s]}) FILTER (status = 'Declared'), 0) + coalesce(any_value(n), 0) AS BIGINT) AS votes FROM st LEFT JOIN (SELECT Zone, count(*) AS n FROM won WHERE winner = '{s}' GROUP BY Zone) w ON st.Zone = w.Zone GROUP BY st.Zone" for s, of in _LISTS.items())}),
+ bd AS (SELECT Zone AS Sector, bound + total AS bound, fin AND declared = total AS final FROM base JOIN tot USING (Zone))"""
+
+
+@query("s131_final_or_provisional", sql("SELECT s.Sector AS Zone, s.list, s.party, s.votes, final, CASE WHEN final THEN s.seats ELSE g.seats END AS seats FROM seats s JOIN gt g ON s.Sector = g.Sector AND s.party = g.party JOIN bd ON bd.Sector = s.Sector", "located", more=f"{_SO_FAR}, {_seats_sql(45)}, {_GUARANTEE}"))
 def final_or_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even sectors are declared, so final; odd ones show what is guaranteed."""
-    full = two_stage_seats(spark, sf_dir).select("Sector", "party", F.col("seats").alias("f"))
-    sure = guaranteed_seats(spark, sf_dir).select("Sector", "party", F.col("seats").alias("g"))
-    final = F.col("Sector") % 2 == 0
-    return full.join(sure, ["Sector", "party"]).select("Sector", "party", F.when(final, F.col("f")).otherwise(F.col("g")).alias("seats"), final.alias("final"))
+    """Zones with a derived sector of wards won: final where all rows and wards are declared, else what is guaranteed."""
+    now = F.when(F.col("Zone") <= _FINAL_ZONE, F.lit(NOW_LATE).cast("timestamp")).otherwise(F.lit(NOW_MID).cast("timestamp"))
+    rows = tally.with_status(located(spark, sf_dir).filter((F.col("Zone") > _FINAL_ZONE) | F.col("declared_at").isNotNull()), now)
+    wards = units.council_totals(rows, units.unit_winners(rows, ["Zone", "Ward"]), "Zone", "Ward")
+    parties = {s: (_LISTS[s], v) for s, v in first_preferences().items()}
+    return proportional.seats_so_far(rows, ["Zone"], parties, 45, wards)
 
 
 @query("s067_bound_by_party_sum", sql("SELECT Constituency, CAST(sum(CASE status WHEN 'Declared' THEN Left_Left + Left_Right + Left_MR + MR_MR WHEN 'Counting' THEN Turnout ELSE Electorate END) AS BIGINT) AS bound FROM st GROUP BY Constituency", "located", more=STATUS_MID))

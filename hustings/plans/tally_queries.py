@@ -195,10 +195,15 @@ def vote_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def seats_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a county lies in one constituency and one zone: the rows are summed once, by county, and these few sums once more for each type
     rows = mid(spark, sf_dir)
-    # counted by side inside each type: a filter on the leader would be pushed through all of its arithmetic
-    count = lambda k: seat_summary_of(rows, [k]).agg(*[F.count_if(F.col("leader") == s).alias(s) for s in SIDES]).select(F.lit(k.lower()).alias("t"), *SIDES)
-    long = count("Constituency").unionByName(count("County")).unionByName(count("Zone")).unpivot(["t"], list(SIDES), "side", "n")
+    sums = rows.groupBy("County", "Constituency", "Zone").agg(*tally.sums_of_seat())
+    each = F.array(*[F.struct(F.lit(k.lower()).alias("t"), F.col(k).cast("long").alias("seat")) for k in ("Constituency", "County", "Zone")])
+    seats = tally.sums_of_sums(sums.withColumn("_s", F.explode(each)).select("*", "_s.t", "_s.seat"), ["t", "seat"])
+    won = methods.with_certainty(methods.supplementary_vote(seats)).withColumn("leader", methods.leading_side())
+    # counted by side: a filter on the leader would be pushed through all of its arithmetic
+    counts = won.groupBy("t").agg(*[F.count_if(F.col("leader") == s).alias(s) for s in SIDES])
+    long = counts.unpivot(["t"], list(SIDES), "side", "n")
     types = ["constituency", "county", "zone"]
     wide = long.groupBy("side").pivot("t", types).sum("n")
     return wide.select("*", (F.col("constituency") + F.col("county") + F.col("zone")).alias("total")).filter("total > 0")
