@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm.common import materialize
+from hustings.llm.common import materialize, put_back, set_apart
 from hustings.llm.jaccard import jaccard_stage
 from hustings.llm.line_dedup import dedup_lines
 from hustings.llm.mixing import mixing_stage
@@ -18,8 +18,10 @@ from hustings.llm.quality import quality_stage
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines go; ``n_chars`` follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines that ten rows or more have go; ``n_chars``, where there is one, follows the text. A null text becomes an empty one."""
+    inner, names = set_apart(docs)
+    lines = dedup_lines(inner, names["text"])
+    return put_back(lines.withColumn(names["n_chars"], F.length(names["text"]).cast("long")) if "n_chars" in names else lines, names)
 
 
 STAGES = [

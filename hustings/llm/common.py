@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import functools
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
@@ -17,6 +20,17 @@ SPACE = " \t\n\x0b\x0c\r"
 SHARE = 1000
 
 
+def slices(batches: Iterator[pa.RecordBatch], texts: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about ``size`` bytes in the column number ``texts``, one row at least: what a task makes of a run is bounded
+    by that, whatever the number of rows in a batch; a longer text is a run of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - 1) // size)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def private_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Keep the caller's columns apart from an operator's own, whose names begin with two underscores.
 
@@ -44,6 +58,16 @@ def private_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame
     return run
 
 
+def set_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names that no operator uses, and what each column is called now: a stage returns all columns as they were."""
+    names = {c: f"doc{i}_{c}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def put_back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+
+
 def join_counted(many: DataFrame, few: DataFrame, keys: list[str], n: str, spread: str, how: str = "inner") -> DataFrame:
     """Join ``many`` with ``few``, which has a row for a key and in ``n`` how many rows of ``many`` have that key; keys are not null.
 

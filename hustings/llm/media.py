@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, slices
 
 #: A frame is 24 x 24 grey pixels of 8 bits.
 SIDE = 24
@@ -157,11 +157,9 @@ def _mapped(df: DataFrame, taken: str, more: list[pa.Field], kinds: str, f) -> D
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept], kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):  # small batches: what is made can be larger than what is read
-                batch = whole.slice(at, 500)
-                made = list(zip(*[f(x) for x in batch.column(kept.index(taken)).to_pylist()], strict=True))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, m.type) for v, m in zip(made, more, strict=True)]], names=[*kept, *[m.name for m in more]])
+        for batch in slices(batches, kept.index(taken)):
+            made = list(zip(*[f(x) for x in batch.column(kept.index(taken)).to_pylist()], strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, m.type) for v, m in zip(made, more, strict=True)]], names=[*kept, *[m.name for m in more]])
 
     return df.select(*kept).mapInArrow(run, schema)
 

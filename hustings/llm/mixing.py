@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from .common import SPACE, documents, materialize, private_names, salt, salts_for
+from .common import SPACE, documents, materialize, private_names, put_back, salt, salts_for, set_apart
 
 WEIGHTS = (3, 1, 2)
 
@@ -85,5 +85,6 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Sources that the weights favour double at most, others shrink. A row without words has its source's rate like any other. Rows with a null
     source are a source; repeated rows are sampled one by one.
     """
-    mixed = mix_sources(docs, n_words(F.col("text")))
-    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    inner, names = set_apart(docs)
+    mixed = mix_sources(inner, n_words(F.col(names["text"])), names["source"], (names["doc_id"],))
+    return put_back(mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), names)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, materialize, private_names, ranked, salt, salts_for
+from .common import documents, materialize, private_names, ranked, salt, salts_for, slices
 
 CAPACITY = 2048
 
@@ -79,7 +79,7 @@ def tokenize_pieces(docs: DataFrame, ranks: str, pattern: str, id_column: str =
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=table, special_tokens=special or {})
-        for batch in batches:
+        for batch in slices(batches, 1):
             at, out = [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*encoding.encode(value or "", allowed_special="all"), end_id], dtype="<u4")

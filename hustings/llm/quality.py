@@ -12,7 +12,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, put_back, set_apart, slices
 
 WINDOW = 5
 _SYMBOLS = b"#*$%&|<>"
@@ -134,7 +134,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     schema = T.StructType([*[docs.schema[c] for c in passed], *kinds])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, passed.index(text)):
             rows = []
             for value in batch.column(passed.index(text)).to_pylist():
                 t = Text(value)
@@ -157,7 +157,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that fail no rule, as they are. Rows with a null text, or fewer than ten words, go; repeated rows are judged alike."""
-    return apply_rules(docs, order_rules(docs)).filter("kept").select(*docs.columns)
+    inner, names = set_apart(docs)
+    return put_back(apply_rules(inner, order_rules(docs), names["text"]).filter("kept"), names)
 
 
 OP2_SQL = r"""
