@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import documents, materialize
+from .common import documents, materialize, slices
 from .shingles import hashed_words, stir
 
 #: The end of a text counts as a token; no word holds a newline, so its hash is free. It is also the context of a text's first token.
@@ -75,21 +75,19 @@ def chunks(docs: DataFrame, id_column: str, text: str, held: Column, chunk_token
         number, row, size, pieces = 0, 0, 0, []
         end = np.array([END], dtype=np.uint64)
         ids_type = pa.int64()
-        for whole in batches:
-            ids_type = whole.schema.field(0).type
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                values, starts = hashed_words(batch.column(1).to_pylist())
-                for k, (i, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    text, lead = np.concatenate([values[starts[k] : starts[k + 1]], end]), END
-                    while len(text):
-                        part, text = text[: chunk_tokens - size], text[chunk_tokens - size :]
-                        pieces.append((i, base + row, bool(h), lead, part))
-                        size, lead = size + len(part), part[-1]
-                        if size == chunk_tokens:
-                            yield flush(pieces, base + number, ids_type)
-                            number, size, pieces = number + 1, 0, []
-                    row += 1
+        for batch in slices(batches, 1):
+            ids_type = batch.schema.field(0).type
+            values, starts = hashed_words(batch.column(1).to_pylist())
+            for k, (i, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                text, lead = np.concatenate([values[starts[k] : starts[k + 1]], end]), END
+                while len(text):
+                    part, text = text[: chunk_tokens - size], text[chunk_tokens - size :]
+                    pieces.append((i, base + row, bool(h), lead, part))
+                    size, lead = size + len(part), part[-1]
+                    if size == chunk_tokens:
+                        yield flush(pieces, base + number, ids_type)
+                        number, size, pieces = number + 1, 0, []
+                row += 1
         if pieces:
             yield flush(pieces, base + number, ids_type)
 
@@ -238,7 +236,7 @@ def mixture(weights: dict[int, np.ndarray]) -> np.ndarray:
     return mixed
 
 
-def score_documents(docs: DataFrame, held: Column, id_column: str = "doc_id", text: str = "text", chunk_tokens: int = 250_000, shard_tokens: int = 1_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column, id_column: str = "doc_id", text: str = "text", chunk_tokens: int = 1_000_000, shard_tokens: int = 1_000_000) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``.
 
     Counts and weights come from the rows where ``held`` is false or null; all rows are scored. Tokens are the words, A-Z lowered, and one end. A
@@ -251,7 +249,7 @@ def score_documents(docs: DataFrame, held: Column, id_column: str = "doc_id", te
     Texts are cut into words once and kept as chunks of ``chunk_tokens`` tokens. Counts are exchanged for distinct words and pairs of a chunk, so
     a frequent word costs one request a chunk; no vocabulary goes to the driver or to all executors. A chunk, or the requests that meet in a
     shard, are all that a task holds. Requests travel in runs, one for a chunk and a shard: chunks and shards grow with the square root of the
-    corpus (from 8 * 10^9 tokens on; 12 million tokens each, some 300 MB in a task, at 2 * 10^13), so a run keeps RUN requests or more, and the
+    corpus (from 10^11 tokens on; 12 million tokens each, some 300 MB in a task, at 2 * 10^13), so a run keeps RUN requests or more, and the
     runs stay in proportion to the tokens. The driver sees weights' cells: their number is bounded by the logarithms of the counts.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
