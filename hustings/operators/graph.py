@@ -121,11 +121,11 @@ def blend_labels(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: D
     return now
 
 
-def candidate_losses(areas: DataFrame, targets: DataFrame, candidates: DataFrame, density) -> DataFrame:
+def candidate_losses(areas: DataFrame, targets: DataFrame, candidates: list[float], density) -> DataFrame:
     """Rows (candidate, loss): mean squared relative error of each group's predicted population; ``density`` makes a column of area and candidate.
 
-    Candidates are few and are sent to all tasks; sums by candidate and group are partial first.
+    Each area meets the few candidates in its own row; sums by candidate and group are partial first.
     """
-    each = areas.crossJoin(F.broadcast(candidates)).withColumn("_p", density(F.col("area")) * F.col("area"))
+    each = areas.withColumn("candidate", F.explode(F.array(*[F.lit(c) for c in candidates]))).withColumn("_p", density(F.col("area")) * F.col("area"))
     sums = each.groupBy("candidate", "grp").agg(F.sum("_p").alias("_p")).join(targets, "grp")
     return sums.groupBy("candidate").agg(F.avg(((F.col("_p") - F.col("target")) / F.col("target")) ** 2).alias("loss"))

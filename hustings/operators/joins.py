@@ -7,7 +7,7 @@ from functools import reduce
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-#: The 13 clusters of rate tables.
+#: The 13 clusters of rate tables. Fixed values.
 CLUSTERS = ("S", "A1", "A2", "B1", "B2", "C1", "C2", "D1", "D2", "E1", "E2", "F1", "F2")
 
 

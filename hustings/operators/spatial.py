@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 
 from hustings.functions import geometry as g
 from hustings.operators.graph import connected_components
+from hustings.shared import materialize
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -54,13 +55,20 @@ def nearest_within(points: DataFrame, vertices: DataFrame, tolerance: float) ->
 def dense_clusters(points: DataFrame, eps: float, group: str | None = None) -> DataFrame:
     """Rows (id, cluster): density clusters with two points as the least: components of points up to ``eps`` apart. A lone point has none.
 
-    The cluster is its smallest id. With a ``group``, only points of one group join.
+    The cluster is its smallest id. With a ``group``, only points of one group join. All points of a cell of eps / sqrt(2) are within eps of each
+    other, so they are one cluster from the start, and only points of different cells are held against each other.
     """
-    other = points.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), *([F.col(group).alias("_g")] if group else []))
-    pairs = within(points, other, eps).filter(F.col("id") < F.col("rid"))
+    small = eps / 2**0.5 * (1 - 1e-9)
+    keys = [*([group] if group else []), "_i", "_j"]
+    placed = points.withColumns({"_i": _cell(F.col("x"), small), "_j": _cell(F.col("y"), small)})
+    cells = placed.groupBy(*keys).agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    named = materialize(placed.join(cells, keys).select("id", "x", "y", *([group] if group else []), "_first", "_n"))
+    other = named.select(F.col("_first").alias("_other"), F.col("x").alias("rx"), F.col("y").alias("ry"), *([F.col(group).alias("_g")] if group else []))
+    pairs = within(named, other, eps).filter(F.col("_first") < F.col("_other"))
     pairs = pairs.filter(F.col(group) == F.col("_g")) if group else pairs
-    found = connected_components(pairs.select("id", "rid"), "id", "rid").withColumnRenamed("component", "cluster")
-    return points.select("id").join(found, "id", "left")
+    found = connected_components(pairs.select("_first", "_other").distinct(), "_first", "_other").withColumnRenamed("id", "_first")
+    alone = F.when(F.col("_n") > 1, F.col("_first"))
+    return named.join(found, "_first", "left").select("id", F.coalesce("component", alone).alias("cluster"))
 
 
 def weighted_centres(points: DataFrame, keys: list[str], weight: Column) -> DataFrame:

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def precinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as precincts: nations are counties, so a county is in one constituency; market segments are districts, which span several."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    joined = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    joined = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return joined.select(
         F.col("c_custkey").alias("Shape_ID"),
         F.col("c_nationkey").alias("County"),
@@ -101,6 +101,27 @@ def cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), wkt.alias("geometry"))
 
 
+def plot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as shapes of four forms, as WKT: a rectangle with a hole, a slanted four-sided one (clockwise), one with a dent, a triangle."""
+    k = F.col("p_partkey")
+    x, y, w, h = (c.cast("double") for c in (k % 20 * 20, F.floor(k / 20) * 20, k % 5 + 2, k % 7 + 2))
+    at = lambda *points: F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", (x + a).cast("string"), (y + b).cast("string")) for a, b in (*points, points[0])]), F.lit(")"))
+    half, one, zero = F.lit(0.5), F.lit(1.0), F.lit(0.0)
+    holed = F.concat(at((zero, zero), (w, zero), (w, h), (zero, h)), F.lit(", "), at((half, half), (half, one), (one, one), (one, half)))
+    forms = [holed, at((zero, zero), (zero, h), (w, h + 1), (w, one)), at((zero, zero), (w, zero), (w, one), (one, one), (one, h), (zero, h)), at((zero, zero), (w, zero), (zero, h))]
+    body = F.when(k % 4 == 0, forms[0]).when(k % 4 == 1, forms[1]).when(k % 4 == 2, forms[2]).otherwise(forms[3])
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("POLYGON ("), body, F.lit(")")).alias("geometry"))
+
+
+def brick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as bricks of 2 x 1 whose rows are shifted by half a brick, so that edges overlap in part, as WKT."""
+    k = F.col("p_partkey")
+    j = F.floor(k / 20)
+    x = (k % 20) * 2 + j % 2
+    at = lambda *points: F.concat_ws(", ", *[F.concat_ws(" ", (x + a).cast("string"), (j + b).cast("string")) for a, b in points])
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("POLYGON (("), at((0, 0), (2, 0), (2, 1), (0, 1), (0, 0)), F.lit("))")).alias("geometry"))
+
+
 def _votes_sql(a: str, b: str) -> str:
     flags = {"Left": "A", "Right": "R", "MR": "N"}
     cycle = {"Left": ("Right", "MR"), "Right": ("MR", "Left"), "MR": ("Left", "Right")}
@@ -125,6 +146,13 @@ VIEWS = {
     "cluster": f"cluster AS (SELECT s_suppkey AS Area_ID, s_nationkey AS Sub_Region, {', '.join(f'CAST((s_suppkey * {i + 2}) % 101 AS DOUBLE) AS {c}' for i, c in enumerate(CLUSTERS, 1))} FROM supplier)",
     "point": "point AS (SELECT c_custkey AS id, c_nationkey AS grp, CAST(c_custkey % 97 AS DOUBLE) AS x, CAST((c_custkey * 31) % 89 AS DOUBLE) AS y FROM customer)",
     "cell": "cell AS (SELECT p_partkey AS id, p_brand AS grp, p_partkey % 20 AS i, p_partkey // 20 AS j FROM part)",
+    # area, perimeter, centre and box of each form of plot, as their formulas say
+    "plot": """plot AS (SELECT id, f, CASE f WHEN 0 THEN w * h - 0.25 WHEN 1 THEN w * h WHEN 2 THEN w + h - 1 ELSE w * h / 2 END AS area,
+      CASE f WHEN 1 THEN 2 * (h + sqrt(w * w + 1)) WHEN 3 THEN w + h + sqrt(w * w + h * h) ELSE 2 * (w + h) END AS perimeter,
+      x + CASE f WHEN 2 THEN (w * w / 2 + (h - 1) / 2) / (w + h - 1) WHEN 3 THEN w / 3 ELSE w / 2 END AS cx,
+      y + CASE f WHEN 0 THEN h / 2 WHEN 1 THEN (h + 1) / 2 WHEN 2 THEN (w / 2 + (h - 1) * (h + 1) / 2) / (w + h - 1) ELSE h / 3 END AS cy, x AS x0, y + h + (f = 1)::INT AS y1, f = 1 AS clockwise
+      FROM (SELECT p_partkey AS id, p_partkey % 4 AS f, (p_partkey % 5 + 2)::DOUBLE AS w, (p_partkey % 7 + 2)::DOUBLE AS h, (p_partkey % 20 * 20)::DOUBLE AS x, (p_partkey // 20 * 20)::DOUBLE AS y FROM part))""",
+    "brick": "brick AS (SELECT p_partkey AS id, p_partkey % 20 * 2 + p_partkey // 20 % 2 AS x, p_partkey // 20 AS j FROM part)",
     # the corners of each square, in order, and its four edges as pairs of corners
     "corner": "corner AS (SELECT id, grp, i + (k IN (1, 2))::INT AS x, j + (k IN (2, 3))::INT AS y, k FROM cell, (SELECT unnest(range(4)) AS k))",
     "edge": """edge AS (SELECT id, grp, least(ax * 100000 + ay, bx * 100000 + by_) AS k1, greatest(ax * 100000 + ay, bx * 100000 + by_) AS k2 FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hustings.functions import geometry as g
 from hustings.operators import graph, spatial, topology
-from hustings.plans.adapters import cell, point, sql, table
+from hustings.plans.adapters import brick, cell, plot, point, sql, table
 from hustings.plans.registry import query
 
 
@@ -20,11 +20,16 @@ def wkt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes(spark, sf_dir).select("id", g.to_wkt("rings").alias("wkt"))
 
 
-@query("s095_ring_math", sql("SELECT id, 1.0::DOUBLE AS area, 4.0::DOUBLE AS perimeter, i + 0.5::DOUBLE AS cx, j + 0.5::DOUBLE AS cy, CAST(i AS DOUBLE) AS x0, CAST(j + 1 AS DOUBLE) AS y1, false AS clockwise FROM cell", "cell"))
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plot(spark, sf_dir).select("id", g.parse_wkt("geometry").alias("rings"))
+
+
+@query("s095_ring_math", sql("SELECT id, round(area, 6) AS area, round(perimeter, 6) AS perimeter, round(cx, 6) AS cx, round(cy, 6) AS cy, x0, y1, clockwise FROM plot", "plot"))
 def ring_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes, slanted edges, dents and reversed rings."""
     ring = F.col("rings")[0]
-    rows = shapes(spark, sf_dir).select("id", g.area("rings").alias("area"), g.perimeter(ring).alias("perimeter"), g.centroid(ring).alias("c"), g.bbox(ring).alias("b"), g.is_clockwise(ring).alias("clockwise"))
-    return rows.select("id", "area", "perimeter", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"), "b.x0", "b.y1", "clockwise")
+    rows = plots(spark, sf_dir).select("id", g.area("rings").alias("area"), g.perimeter(ring).alias("perimeter"), g.centroid(ring).alias("c"), g.bbox(ring).alias("b"), g.is_clockwise(ring).alias("clockwise"))
+    return rows.select("id", F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"), F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"), "b.x0", "b.y1", "clockwise")
 
 
 @query("s096_wkt_parse", sql("SELECT id, CASE WHEN id % 10 = 3 THEN 0 ELSE 5 END AS n_points FROM cell", "cell"))
@@ -34,20 +39,20 @@ def wkt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.coalesce(F.size(F.get("r", F.lit(0))), F.lit(0)).alias("n_points"))
 
 
-@query("s097_close_and_simplify")
+@query("s097_close_and_simplify", sql("SELECT id, n + 1 AS n_more, n AS n_less, n + 1 AS n_closed FROM (SELECT id, CASE f WHEN 2 THEN 6 WHEN 3 THEN 3 ELSE 4 END AS n FROM plot)", "plot"))
 def close_and_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A midpoint is put on the first edge and taken out again; the ring is closed afterwards."""
+    """A midpoint is put on the first edge, straight or slanted, and taken out again; the ring is closed afterwards."""
     ring = F.col("rings")[0]
     opened = g.open_ring(ring)
     middle = g.point((opened[0]["x"] + opened[1]["x"]) / 2, (opened[0]["y"] + opened[1]["y"]) / 2)
-    rows = shapes(spark, sf_dir).withColumn("more", F.concat(F.slice(opened, 1, 1), F.array(middle), F.slice(opened, 2, 10)))
+    rows = plots(spark, sf_dir).withColumn("more", F.concat(F.slice(opened, 1, 1), F.array(middle), F.slice(opened, 2, 10)))
     done = rows.withColumn("less", g.simplify_ring(F.col("more")))
     return done.select("id", F.size("more").alias("n_more"), F.size("less").alias("n_less"), F.size(g.close_ring(g.round_ring(F.col("less"), 3))).alias("n_closed"))
 
 
-@query("s098_compactness", sql("SELECT id, round(pi() / 4, 6) AS compactness FROM cell", "cell"))
+@query("s098_compactness", sql("SELECT id, round(4 * pi() * area / (perimeter * perimeter), 6) AS compactness FROM plot", "plot"))
 def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes(spark, sf_dir).select("id", F.round(g.compactness(g.area("rings"), g.perimeter(F.col("rings")[0])), 6).alias("compactness"))
+    return plots(spark, sf_dir).select("id", F.round(g.compactness(g.area("rings"), g.perimeter(F.col("rings")[0])), 6).alias("compactness"))
 
 
 _LASSO = [(10.0, 10.0), (60.0, 12.0), (55.0, 70.0), (30.0, 40.0), (12.0, 66.0)]
@@ -105,9 +110,10 @@ def adjacency_by_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.adjacency_by_edge(topology.edges(shapes(spark, sf_dir)))
 
 
-@query("s043_adjacency_by_overlap", sql("SELECT src, dst, 1.0::DOUBLE AS length FROM adj", "corner", more=_ADJ))
+@query("s043_adjacency_by_overlap", sql("SELECT a.id AS src, b.id AS dst, CASE WHEN a.j = b.j THEN 1 ELSE least(a.x, b.x) + 2 - greatest(a.x, b.x) END::DOUBLE AS length FROM brick a JOIN brick b ON a.id < b.id AND (a.j = b.j AND abs(a.x - b.x) = 2 OR abs(a.j - b.j) = 1 AND abs(a.x - b.x) < 2)", "brick"))
 def adjacency_by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = topology.adjacency_by_overlap(shapes(spark, sf_dir), 1.5)
+    """Bricks share whole short sides and halves of long ones, where no corner of the one is a corner of the other's side."""
+    out = topology.adjacency_by_overlap(brick(spark, sf_dir).select("id", g.parse_wkt("geometry").alias("rings")), 1.5)
     return out.select("src", "dst", F.round("length", 6).alias("length"))
 
 
@@ -204,8 +210,7 @@ def candidate_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     areas = p.select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("area"))
     targets = areas.groupBy("grp").agg((F.count(F.lit(1)) * 1000.0).alias("target"))
-    candidates = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in (1.0, 2.0, 3.0, 5.0)])).alias("candidate"))
-    return graph.candidate_losses(areas, targets, candidates, lambda a: F.col("candidate") * F.sqrt(a)).select("candidate", F.round("loss", 6).alias("loss"))
+    return graph.candidate_losses(areas, targets, [1.0, 2.0, 3.0, 5.0], lambda a: F.col("candidate") * F.sqrt(a)).select("candidate", F.round("loss", 6).alias("loss"))
 
 
 @query("s157_vertices", sql("SELECT id, 0 AS ring, CAST(k AS INTEGER) AS pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM corner", "corner"))
@@ -219,9 +224,12 @@ def shared_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.vertex_sharing(v).join(v.groupBy("key").agg(F.min("x").alias("x"), F.min("y").alias("y")), "key").select("x", "y", "n_shapes")
 
 
-@query("s159_vertex_consistency", sql("SELECT count(*) AS n_shared, 0::BIGINT AS n_apart FROM (SELECT x, y FROM corner GROUP BY x, y HAVING count(DISTINCT id) > 1)", "corner"))
+@query("s159_vertex_consistency", sql("SELECT count(*) AS n_shared, count(*) FILTER (m) AS n_apart FROM (SELECT bool_or(id % 10 = 0) AND bool_or(id % 10 <> 0) AS m FROM corner GROUP BY x, y HAVING count(DISTINCT id) > 1)", "corner"))
 def vertex_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.vertex_sharing(topology.vertices(shapes(spark, sf_dir))).agg(F.count(F.lit(1)).alias("n_shared"), F.count_if(F.col("spread") > 1e-6).alias("n_apart"))
+    """Every tenth square is a little off: its corners have the same keys as its neighbours', not the same places."""
+    off = F.when(F.col("id") % 10 == 0, 0.0001).otherwise(0.0)
+    moved = shapes(spark, sf_dir).select("id", F.transform("rings", lambda r: F.transform(r, lambda p: g.point(p["x"] + off, p["y"]))).alias("rings"))
+    return topology.vertex_sharing(topology.vertices(moved)).agg(F.count(F.lit(1)).alias("n_shared"), F.count_if(F.col("spread") > 1e-6).alias("n_apart"))
 
 
 @query("s160_vertex_classes", sql("SELECT class, count(*) AS n FROM (SELECT CASE WHEN x = 0 THEN 'fixed' WHEN count(DISTINCT grp) > 1 THEN 'cross' WHEN count(DISTINCT id) > 1 THEN 'same' ELSE 'ordinary' END AS class FROM corner GROUP BY x, y) GROUP BY class", "corner"))
@@ -248,9 +256,25 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes(spark, sf_dir).filter(~((F.col("id") % 20 % 5 == 2) & (F.floor(F.col("id") / 20) % 5 == 2)))
 
 
-@query("s163_loops")
+_GONE = "gone AS (SELECT id FROM cell WHERE i % 5 = 2 AND j % 5 = 2)"
+
+
+@query(
+    "s163_loops",
+    sql(
+        "SELECT (SELECT count(*) FROM (SELECT k1 FROM edge WHERE id NOT IN (SELECT id FROM gone) GROUP BY k1, k2 HAVING count(*) = 1)) - 4 * (SELECT count(*) FROM gone) AS n_edges, true AS closed, CAST((SELECT count(*) FROM cell) AS DOUBLE) AS area, 0 AS n_breaks",
+        "edge",
+        more=_GONE,
+    ),
+)
 def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.loops(topology.outer_edges(topology.edges(holed(spark, sf_dir)), [])).groupBy("n_edges", "closed").agg(F.count(F.lit(1)).alias("n_loops"))
+    """The border of the layer as a loop in order; the loops around its gaps lie inside and are dropped."""
+    ordered = topology.loops(topology.border(topology.directed_edges(holed(spark, sf_dir))))
+    outer = ordered.filter("area > 0")
+    # in order: the end of each edge is where the next one starts
+    step = outer.select("loop", (F.col("place") - 1).alias("place"), F.col("a").alias("next_a"))
+    breaks = outer.join(step, ["loop", "place"], "left").groupBy("loop").agg(F.max("n_edges").alias("n_edges"), F.bool_and("closed").alias("closed"), F.max("area").alias("area"), F.count_if((F.col("place") < F.col("n_edges") - 1) & (F.col("b") != F.coalesce("next_a", F.lit("")))).cast("int").alias("n_breaks"))
+    return breaks.select("n_edges", "closed", F.round("area", 6).alias("area"), "n_breaks")
 
 
 @query(
@@ -258,7 +282,7 @@ def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         "SELECT gap, id, shared FROM (SELECT m.id AS gap, c.id, count(*) AS shared, row_number() OVER (PARTITION BY m.id ORDER BY count(*) DESC, c.id) AS n FROM corner m JOIN corner c ON m.x = c.x AND m.y = c.y WHERE m.id IN (SELECT id FROM gone) AND c.id NOT IN (SELECT id FROM gone) GROUP BY m.id, c.id) WHERE n = 1",
         "corner",
-        more="gone AS (SELECT id FROM cell WHERE i % 5 = 2 AND j % 5 = 2)",
+        more=_GONE,
     ),
 )
 def gap_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,6 +323,8 @@ def dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.dissolve(rows, ["grp"], ["area", "population"], ["first_id"], "id").select("grp", "area", "population", "first_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
-@query("s169_layer_statistics", sql("SELECT count(DISTINCT id) AS shapes, count(*) AS vertices, 0::BIGINT AS holes, (SELECT count(*) FROM (SELECT x FROM corner GROUP BY x, y HAVING count(DISTINCT id) > 1)) AS shared_vertices FROM corner", "corner"))
+@query("s169_layer_statistics", sql("SELECT (SELECT count(*) FROM cell) + (SELECT count(*) FROM plot) AS shapes, (SELECT count(*) FROM corner) + (SELECT CAST(sum(CASE f WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 3 END) AS BIGINT) FROM plot) AS vertices, (SELECT count(*) FROM plot WHERE f = 0) AS holes, (SELECT count(*) FROM (SELECT x FROM corner GROUP BY x, y HAVING count(DISTINCT id) > 1)) AS shared_vertices", "corner", "plot"))
 def layer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.layer_statistics(topology.vertices(shapes(spark, sf_dir)))
+    """Squares that touch, and apart from them plots of which some have holes."""
+    away = plots(spark, sf_dir).select((-F.col("id") - 1).alias("id"), F.transform("rings", lambda r: F.transform(r, lambda p: g.point(p["x"] + 1000.5, p["y"]))).alias("rings"))
+    return topology.layer_statistics(topology.vertices(shapes(spark, sf_dir).select("id", "rings").unionByName(away)))
