@@ -9,6 +9,7 @@ from hustings.operators import checks
 from hustings.operators.methods import TRANSFERS
 from hustings.plans.adapters import cell, located, precinct, sector, sql
 from hustings.plans.registry import query
+from hustings.plans.tally_queries import CERTAINTY_SQL, SV_SQL
 from hustings.shared import new_folder
 from hustings.sources import files
 from hustings.streaming import live
@@ -84,23 +85,49 @@ def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.require_columns(precinct(spark, sf_dir), ["Shape_ID", "County", "Area"], "precinct").select("Shape_ID", "County", "Area")
 
 
-@query("s175_live_tally", sql(f"SELECT Constituency, count(*) AS n_rows, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in TRANSFERS)} FROM located WHERE declared_at IS NOT NULL GROUP BY Constituency", "located"))
+#: When rows come: those declared up to each of these moments in one go, the last of all after them. A tenth comes late, a tenth comes twice.
+_ARRIVALS = ("1994-12-31", "1996-12-31", "9999-12-31")
+_DELAY_DAYS = 30
+_IN_TIME = f"""came AS (SELECT * FROM located WHERE declared_at IS NOT NULL AND (Result_ID % 10 <> 1 OR declared_at > (SELECT max(declared_at) FROM located WHERE Result_ID % 10 <> 1) - INTERVAL {_DELAY_DAYS} DAY))"""
+
+
+@query(
+    "s175_live_tally",
+    sql(
+        f"SELECT Constituency, n_rows, {', '.join(TRANSFERS)}, winner, stage, result_certain, certain_winner FROM certain",
+        "located",
+        more=f"""{_IN_TIME}, tot AS (SELECT Constituency, sum(Electorate) AS e FROM located GROUP BY Constituency),
+ sums AS (SELECT Constituency, count(*) AS n_rows, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in TRANSFERS)}, CAST(any_value(e) - sum(Electorate) AS BIGINT) AS undecided FROM came JOIN tot USING (Constituency) GROUP BY Constituency),
+ {SV_SQL}, {CERTAINTY_SQL}""",
+    ),
+)
 def live_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows arrive in several files, a tenth of them twice, and are tallied as they come; the last update of each seat is the batch tally."""
+    """Rows are tallied as they come, some twice and some too late; the last update of each seat is the tally of what came in time."""
     folder = new_folder(spark)
     rows = located(spark, sf_dir).select("Result_ID", "Constituency", "Electorate", "Turnout", "Spoil", *TRANSFERS, "declared_at")
-    again = rows.filter("Result_ID % 10 = 0")
-    rows.unionByName(again).repartition(6, "Constituency", "Result_ID").write.parquet(f"{folder}/in")
-    stream = live.read_rows(spark, f"{folder}/in", rows.schema, 2)
-    out = live.run_available(live.live_tally(stream, ["Constituency"], "Result_ID", delay="5000 days"), folder, live.decided)
-    return live.latest(spark, out, ["Constituency"]).select("Constituency", "n_rows", *TRANSFERS)
+    roster = rows.groupBy("Constituency").agg(F.sum("Electorate").alias("all_electorate"))
+    late = F.col("Result_ID") % 10 == 1
+    upto = "0001-01-01"
+    for moment in (*_ARRIVALS, None):
+        if moment is None:
+            part = rows.filter(late)
+        else:
+            fresh = rows.filter(~late & (F.col("declared_at") > F.lit(upto).cast("timestamp")) & (F.col("declared_at") <= F.lit(moment).cast("timestamp")))
+            part, upto = fresh.unionByName(fresh.filter("Result_ID % 10 = 2")), moment
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = live.live_tally(live.read_rows(spark, f"{folder}/in", rows.schema), ["Constituency"], "Result_ID", delay=f"{_DELAY_DAYS} days")
+        out = live.run_available(stream, folder, lambda batch: live.decided(batch, roster, ["Constituency"]))
+    return live.latest(spark, out, ["Constituency"]).select("Constituency", "n_rows", *TRANSFERS, "winner", "stage", "result_certain", "certain_winner")
 
 
 @query("s176_streamed_declarations", sql("SELECT time_bucket(INTERVAL 1 DAY, declared_at) AS day, count(*) AS n FROM located WHERE declared_at IS NOT NULL GROUP BY 1", "located"))
 def streamed_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations come in order of time; a day's state goes once the watermark has passed it."""
     folder = new_folder(spark)
     rows = located(spark, sf_dir).select("Result_ID", "declared_at")
-    rows.repartition(4, "Result_ID").write.parquet(f"{folder}/in")
-    stream = live.declarations_per(live.read_rows(spark, f"{folder}/in", rows.schema, 2), "1 day", delay="5000 days")
-    out = live.run_available(stream, folder)
+    upto = "0001-01-01"
+    for moment in _ARRIVALS:
+        rows.filter((F.col("declared_at") > F.lit(upto).cast("timestamp")) & (F.col("declared_at") <= F.lit(moment).cast("timestamp"))).write.mode("append").parquet(f"{folder}/in")
+        upto = moment
+        out = live.run_available(live.declarations_per(live.read_rows(spark, f"{folder}/in", rows.schema), "1 day", delay="2 days"), folder)
     return live.latest(spark, out, ["window"]).select(F.col("window.start").alias("day"), "n")

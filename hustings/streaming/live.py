@@ -19,8 +19,8 @@ def read_rows(spark: SparkSession, path: str, schema, files_per_trigger: int | N
 def live_tally(rows: DataFrame, keys: list[str], row_id: str, event_time: str = "declared_at", delay: str = "1 day") -> DataFrame:
     """A streaming sum of each seat's declared rows, in update mode.
 
-    A row that comes again within the delay counts once; rows later than the delay are left out by the watermark. State is one entry for each
-    seat and for each row id inside the delay.
+    A row that comes again within the delay counts once; rows later than the delay are left out by the watermark, which is the latest event of the
+    batches before, less the delay. State is one entry for each seat, and for each row id inside the delay.
     """
     known = rows.filter(F.col(event_time).isNotNull()).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([row_id])
     sums = [F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(c) for c in (*TRANSFERS, "Spoil", "Turnout", "Electorate")]]
@@ -32,13 +32,16 @@ def declarations_per(rows: DataFrame, width: str, event_time: str = "declared_at
     return rows.filter(F.col(event_time).isNotNull()).withWatermark(event_time, delay).groupBy(F.window(event_time, width).alias("window")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def decided(sums: DataFrame) -> DataFrame:
-    """Winner and certainty of running sums; nothing is known of rows that have not come, so the pool is 0."""
-    return with_certainty(supplementary_vote(sums.withColumn("undecided", F.lit(0))))
+def decided(sums: DataFrame, roster: DataFrame, keys: list[str]) -> DataFrame:
+    """Winner and certainty of running sums. ``roster`` has each seat's whole electorate (keys, all_electorate): what of it has not declared yet may
+    still vote."""
+    known = sums.join(roster, keys, "left").withColumn("undecided", F.greatest(F.lit(0), F.coalesce("all_electorate", "Electorate") - F.col("Electorate")))
+    return with_certainty(supplementary_vote(known.drop("all_electorate")))
 
 
 def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame], DataFrame] | None = None, mode: str = "update") -> str:
-    """Process what is there, a batch at a time, and stop. Batches go to ``folder``/out with their number; a batch that runs again replaces itself."""
+    """Process what is there, a batch at a time, and stop; called again, go on from there. Batches go to ``folder``/out with their number; a batch that
+    runs again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         (each(batch) if each else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
