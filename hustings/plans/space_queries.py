@@ -122,7 +122,18 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.candidate_pairs(shapes(spark, sf_dir), 2.0)
 
 
-@query("s045_overlaps")
+def _overlaps_sql() -> str:
+    """Rectangles: corners of each inside the other, and sides of each that cross sides of the other."""
+    inside = " + ".join(f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {q}.y0 < {p}.{y} AND {p}.{y} < {q}.y1)::INT" for p, q in (("a", "b"), ("b", "a")) for x in ("x0", "x1") for y in ("y0", "y1"))
+    cross = " + ".join(f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {p}.y0 < {q}.{y} AND {q}.{y} < {p}.y1)::INT" for p, q in (("a", "b"), ("b", "a")) for x in ("x0", "x1") for y in ("y0", "y1"))
+    return sql(
+        f"SELECT a, b, inside, crossings, CASE WHEN inside > 2 AND crossings > 2 THEN 'both' WHEN inside > 2 THEN 'corners' ELSE 'crossings' END AS label FROM (SELECT a.id AS a, b.id AS b, {inside} AS inside, {cross} AS crossings FROM box a JOIN box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) WHERE inside > 2 OR crossings > 2",
+        "cell",
+        more="box AS (SELECT id, i - s AS x0, i + 1 + 5 * s AS x1, j - s AS y0, j + 1 + 5 * s AS y1 FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 0.25::DOUBLE ELSE 0 END AS s FROM cell))",
+    )
+
+
+@query("s045_overlaps", _overlaps_sql())
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh square is moved and made larger, so that it covers corners of others."""
     grown = F.transform(F.col("rings"), lambda r: F.transform(r, lambda p: g.point(p["x"] * 1.0 + F.when(F.col("id") % 7 == 0, (p["x"] - F.col("id") % 20) * 1.5 - 0.25).otherwise(0.0), p["y"] + F.when(F.col("id") % 7 == 0, (p["y"] - F.floor(F.col("id") / 20)) * 1.5 - 0.25).otherwise(0.0))))
