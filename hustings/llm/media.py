@@ -18,7 +18,7 @@ SIDE = 24
 FRAME = SIDE * SIDE
 TIMESCALE, KEY_EVERY, PER_CHUNK = 25, 12, 16
 #: Boxes that hold boxes, and how many bytes of their own come first.
-NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0}
+NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -128,23 +128,83 @@ def _read_track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
     return {"codec": codec, "timescale": timescale, "duration": sum(n * step for n, step in zip(times[::2], times[1::2], strict=True)), "samples": samples, "keyframes": keyframes}
 
 
+def _read_runs(data: bytes, start: int, boxes_of: list[tuple[bytes, int, int]], track: int, defaults: tuple[int, int, int]) -> list[tuple[int, int, int, bool]]:
+    """(offset, size, duration, key) of a fragment's samples of a track; ``start`` is where the fragment begins, ``boxes_of`` what it holds, in order."""
+    out: list[tuple[int, int, int, bool]] = []
+    mine, base, next_ = False, start, start
+    for kind, at, end in boxes_of:
+        if kind == b"tfhd":
+            flags, number = struct.unpack_from(">II", data, at)
+            mine, at, base, own = number == track, at + 8, start, list(defaults)
+            for bit, what in ((0x1, "base"), (0x2, ""), (0x8, 0), (0x10, 1), (0x20, 2)):
+                if flags & bit:
+                    value = struct.unpack_from(">Q" if what == "base" else ">I", data, at)[0]
+                    at += 8 if what == "base" else 4
+                    base = value if what == "base" else base
+                    if isinstance(what, int):
+                        own[what] = value
+            next_ = base
+        elif kind == b"trun" and mine:
+            flags, count = struct.unpack_from(">II", data, at)
+            at += 8
+            offset, first = next_, None
+            if flags & 0x1:
+                offset, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            if flags & 0x4:
+                first, at = struct.unpack_from(">I", data, at)[0], at + 4
+            parts = [i for i, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
+            if at + 4 * len(parts) * count > end or count > len(data):
+                raise struct.error("run is longer than its box")
+            for n in range(count):
+                values = [*own, 0]
+                for k, i in enumerate(parts):
+                    values[i] = struct.unpack_from(">I", data, at + 4 * (n * len(parts) + k))[0]
+                if n == 0 and first is not None:
+                    values[2] = first
+                if offset < 0 or offset + values[1] > len(data):
+                    raise struct.error("sample beyond the end")
+                out.append((offset, values[1], values[0], not values[2] & 0x10000))
+                offset += values[1]
+            next_ = offset
+    return out
+
+
 def read_index(data: bytes) -> dict:
     """codec, timescale, duration and the byte ranges of all samples and of the key frames of the first track that has samples.
 
-    Decodes the sample tables (sizes, chunks, offsets of 32 or 64 bits, times, sync samples; no sync table means that all are key frames). Each
-    track is read from its own boxes; one that lacks a table, or whose tables point outside of the bytes, is passed over. Bytes that are no
-    container, or have no such track, give an index without samples. Samples in movie fragments are not indexed. No table is taken to be longer
-    than the box that holds it, so broken counts cost nothing.
+    Decodes the sample tables (sizes, chunks, offsets of 32 or 64 bits, times, sync samples; no sync table means that all are key frames), and the
+    runs of movie fragments, which follow the tables' samples. Each track is read from its own boxes; one that lacks a table, or whose tables point
+    outside of the bytes, is passed over. Bytes that are no container, or have no such track, give an index without samples. No table is taken
+    to be longer than the box that holds it, so broken counts cost nothing.
     """
     tracks: list[dict[bytes, tuple[int, int]]] = []
+    fragments: list[tuple[int, list[tuple[bytes, int, int]]]] = []
+    extends: dict[int, tuple[int, int, int]] = {}
     for path, start, end in boxes(data):
         if path[-1] == b"trak":
             tracks.append({})
+        elif path[-1] == b"moof":
+            fragments.append((start - (8 if data[start - 4 : start] == b"moof" else 16), []))
+        elif path[-1] == b"trex" and start + 24 <= end:
+            number, _, *defaults = struct.unpack_from(">5I", data, start + 4)
+            extends[number] = tuple(defaults)
         elif tracks and b"trak" in path:
             tracks[-1].setdefault(path[-1], (start, end))
+        elif fragments and path[:2] == (b"moof", b"traf"):
+            fragments[-1][1].append((path[-1], start, end))
     for track in tracks:
         try:
-            if (index := _read_track(data, track))["samples"]:
+            index = _read_track(data, track)
+            if fragments:
+                at = track[b"tkhd"][0]
+                number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+                for begin, inside in fragments:
+                    for offset, size, duration, key in _read_runs(data, begin, inside, number, extends.get(number, (0, 0, 0))):
+                        index["samples"].append((offset, offset + size))
+                        index["duration"] += duration
+                        if key:
+                            index["keyframes"].append((len(index["samples"]), offset, offset + size))
+            if index["samples"]:
                 return index
         except (KeyError, IndexError, struct.error):
             continue
