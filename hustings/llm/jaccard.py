@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 
 from hustings.operators.graph import connected_components
 
-from .common import documents, materialize
+from .common import documents, join_counted, materialize, put_back, set_apart, slices
 from .shingles import shingle_sets, stir
 
 #: Counting cells for shingles: what the driver collects and sends out is this many numbers, whatever the data.
 CELL_BITS = 18
-#: Min-hashes by which groups are formed, leaders of each, hashes of a set that tell the nearest leaders, and leaders a set is compared with.
-HASHES, LEADERS, SKETCH, COMPARED = 3, 8, 32, 2
+#: Min-hashes by which groups are formed, leaders of each of both sorts, hashes of a set that tell the nearest leaders, and leaders a set is
+#: compared with.
+HASHES, LEADERS, SKETCH, COMPARED = 3, 4, 32, 2
 #: Members of a group that a query tries before it meets all; parts in which a set's hashes are counted.
 TRIED, PARTS = 16, 512
 #: Up to so many ids a table of ids is sent to all executors (16 bytes each); a larger one is joined by shuffles.
@@ -36,10 +37,9 @@ def count_cells(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                values, _ = shingle_sets(batch.column(0).slice(at, 1000).to_pylist(), width)
-                total += np.bincount((values >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+        for batch in slices(batches, 0):
+            values, _ = shingle_sets(batch.column(0).to_pylist(), width)
+            np.add.at(total, (values >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         cells = np.flatnonzero(total)
         for at in range(0, len(cells), 50_000):
             some = cells[at : at + 50_000]
@@ -54,56 +54,59 @@ def count_cells(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, places: np.ndarray, id_column: str, text: str, width: int, percent: int) -> DataFrame:
-    """Rows (id, n, fa, fb, m, sketch, prefix): set size, fingerprint, min-hashes, least hashes, and the set's first tokens, rarest first.
+    """Rows (id, n, fa, fb, m, sketch, typical, prefix): set size, fingerprint, min-hashes, least hashes, the mean place of the set's tokens, and
+    its first tokens, rarest first.
 
-    The prefix is as long as it must be for any partner at ``percent`` or more to share one of its tokens.
+    The prefix is as long as it must be for any partner at ``percent`` or more to share one of its tokens. Of near copies of one text, the text
+    itself has the greatest mean place: what a copy changed is rare.
     """
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                values, starts = shingle_sets(batch.column(1).to_pylist(), width)
-                sizes = np.diff(starts)
-                some, full = starts[:-1][sizes > 0], sizes > 0
-
-                def reduced(f, x: np.ndarray, some=some, full=full) -> np.ndarray:
-                    out = np.zeros(len(full), dtype=np.uint64)
-                    if len(some):
-                        out[full] = f.reduceat(x, some)
-                    return out.view(np.int64)
-
-                stirred = stir(values ^ np.uint64(0x5851F42D4C957F2D))
-                mins = np.stack([reduced(np.minimum, stir(values + np.uint64(0xD1342543DE82EF95 * (j + 1) % 2**64))) for j in range(HASHES)], axis=1).ravel() if len(full) else np.empty(0, np.int64)
-                low = np.uint64(64 - CELL_BITS)
-                ends = np.minimum(sizes, SKETCH)
-                sketch = np.concatenate([values[a : a + e] for a, e in zip(starts[:-1].tolist(), ends.tolist(), strict=True)]) if len(sizes) else values
-                keys = shared.value[(values >> low).astype(np.int64)] << low | values & np.uint64((1 << (64 - CELL_BITS)) - 1)
-                lengths = np.where(full, sizes - -(-percent * sizes // 100) + 1, 0)
-                prefixes = []
-                for a, n, p in zip(starts[:-1].tolist(), sizes.tolist(), lengths.tolist(), strict=True):
-                    part = keys[a : a + n]
-                    part.sort()
-                    prefixes.append(part[:p])
-                offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
-                np.cumsum(lengths, out=offsets[1:])
-                tokens = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(sizes),
-                        pa.array(reduced(np.add, stirred)),
-                        pa.array(reduced(np.bitwise_xor, stir(stirred + np.uint64(1)))),
-                        pa.ListArray.from_arrays(np.arange(0, HASHES * len(sizes) + 1, HASHES, dtype=np.int32), mins),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32), sketch.astype(np.uint32).view(np.int32)),
-                        pa.ListArray.from_arrays(offsets, tokens),
-                    ],
-                    names=["id", "n", "fa", "fb", "m", "sketch", "prefix"],
-                )
+        for batch in slices(batches, 1):
+            values, starts = shingle_sets(batch.column(1).to_pylist(), width)
+            sizes = np.diff(starts)
+            some, full = starts[:-1][sizes > 0], sizes > 0
+
+            def reduced(f, x: np.ndarray, some=some, full=full) -> np.ndarray:
+                out = np.zeros(len(full), dtype=np.uint64)
+                if len(some):
+                    out[full] = f.reduceat(x, some)
+                return out.view(np.int64)
+
+            stirred = stir(values ^ np.uint64(0x5851F42D4C957F2D))
+            mins = np.stack([reduced(np.minimum, stir(values + np.uint64(0xD1342543DE82EF95 * (j + 1) % 2**64))) for j in range(HASHES)], axis=1).ravel() if len(full) else np.empty(0, np.int64)
+            low = np.uint64(64 - CELL_BITS)
+            ends = np.minimum(sizes, SKETCH)
+            sketch = np.concatenate([values[a : a + e] for a, e in zip(starts[:-1].tolist(), ends.tolist(), strict=True)]) if len(sizes) else values
+            ranks = shared.value[(values >> low).astype(np.int64)]
+            typical = reduced(np.add, ranks) // np.maximum(sizes, 1)
+            keys = ranks << low | values & np.uint64((1 << (64 - CELL_BITS)) - 1)
+            lengths = np.where(full, sizes - -(-percent * sizes // 100) + 1, 0)
+            prefixes = []
+            for a, n, p in zip(starts[:-1].tolist(), sizes.tolist(), lengths.tolist(), strict=True):
+                part = keys[a : a + n]
+                part.sort()
+                prefixes.append(part[:p])
+            offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+            np.cumsum(lengths, out=offsets[1:])
+            tokens = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(sizes),
+                    pa.array(reduced(np.add, stirred)),
+                    pa.array(reduced(np.bitwise_xor, stir(stirred + np.uint64(1)))),
+                    pa.ListArray.from_arrays(np.arange(0, HASHES * len(sizes) + 1, HASHES, dtype=np.int32), mins),
+                    pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32), sketch.astype(np.uint32).view(np.int32)),
+                    pa.array(typical),
+                    pa.ListArray.from_arrays(offsets, tokens),
+                ],
+                names=["id", "n", "fa", "fb", "m", "sketch", "typical", "prefix"],
+            )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), text).mapInArrow(run, f"id {kind}, n bigint, fa bigint, fb bigint, m array<bigint>, sketch array<int>, prefix array<bigint>")
+    return docs.select(F.col(id_column).alias("id"), text).mapInArrow(run, f"id {kind}, n bigint, fa bigint, fb bigint, m array<bigint>, sketch array<int>, typical bigint, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
@@ -114,14 +117,12 @@ def _sets(docs: DataFrame, ids: DataFrame, id_column: str, text: str, width: int
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                values, starts = shingle_sets(batch.column(1).to_pylist(), width)
-                cell = np.repeat(np.arange(batch.num_rows), np.diff(starts)) * PARTS + (values >> np.uint64(32)).astype(np.int64) % PARTS
-                counts = np.bincount(cell, minlength=batch.num_rows * PARTS).reshape(-1, PARTS)
-                parts = [x.astype(np.uint8).tobytes() if x.max() < 256 else None for x in counts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(parts, pa.binary()), pa.ListArray.from_arrays(starts.astype(np.int32), values.view(np.int64))], names=["id", "n", "parts", "s"])
+        for batch in slices(batches, 1):
+            values, starts = shingle_sets(batch.column(1).to_pylist(), width)
+            cell = np.repeat(np.arange(batch.num_rows), np.diff(starts)) * PARTS + (values >> np.uint64(32)).astype(np.int64) % PARTS
+            counts = np.bincount(cell, minlength=batch.num_rows * PARTS).reshape(-1, PARTS)
+            parts = [x.astype(np.uint8).tobytes() if x.max() < 256 else None for x in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(parts, pa.binary()), pa.ListArray.from_arrays(starts.astype(np.int32), values.view(np.int64))], names=["id", "n", "parts", "s"])
 
     ids = materialize(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -161,8 +162,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     an id by repetition. A row with a null id joins the component of its set; if no row with an id has that set, its component is null.
 
     1. Rows with equal sets are one class, the smallest id stands for it.
-    2. Groups: classes with a common min-hash are held against a few leaders of that min-hash, chosen by hash, and compared with those that look
-       nearest; those similar enough are linked, and the components of these links are the groups. Other classes are groups of their own.
+    2. Groups: classes with a common min-hash are held against a few leaders of that min-hash, and compared with the most typical one and those
+       that look nearest; those similar enough are linked, and the components of these links are the groups. Leaders are chosen by lot and by
+       how typical their tokens are: of many near copies of a text, the text, with which most of them link. Other classes are groups of their
+       own.
     3. Token-group matrix: for each token the groups that have it in the union of their members' first tokens, with the members' sizes. Two
        groups meet where they share such a token and the sizes and places leave room for enough overlap. Tokens come rarest first, by counts in
        a fixed number of cells over all documents, so tokens of common passages seldom serve.
@@ -172,24 +175,28 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
     Every pair that links is found: in step 3 the larger set brings its first n - ceil(t n) + 1 tokens, the smaller its first
     n - ceil(2t / (1 + t) n) + 1, of which one is common to any two sets that similar. Large groups of copies cost a few comparisons for each
-    member, not one for each pair, because members of one group never meet.
+    member, not one for each pair, because members of one group never meet; copies too far from the text to link with it have more changed, hence
+    rare, tokens in front than their places leave room for. The result has no other columns of ``docs``.
     """
     rows = materialize(describe(docs, count_cells(docs, text, width), id_column, text, width, percent))
-    classes = materialize(rows.filter("n > 0").groupBy("fa", "fb", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("sketch").alias("sketch")).filter("id is not null"))
-
-    keyed = classes.select("id", "n", F.posexplode("m").alias("j", "k"))
-    several = keyed.groupBy("j", "k").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("j", "k")
-    keyed = materialize(keyed.join(several, ["j", "k"], "left_semi"))
-    pick = [F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("h"), F.col("id").alias("leader"), F.col("n").alias("ln"))).alias(f"l{i}") for i in range(LEADERS)]
-    leaders = keyed.groupBy("j", "k").agg(*pick)
-    leaders = leaders.select("j", "k", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.leader"), F.col(f"l{i}.ln")) for i in range(LEADERS)]))).alias("l"))
+    # equal sets have equal values in all but the id
+    classes = materialize(rows.filter("n > 0").groupBy("fa", "fb", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("sketch").alias("sketch"), F.first("typical").alias("typical"), F.count(F.lit(1)).alias("copies")).filter("id is not null"))
+
+    keyed = classes.select("id", "n", "typical", F.posexplode("m").alias("j", "k"))
+    chosen = F.struct(F.col("id").alias("leader"), F.col("n").alias("ln"))
+    by_lot = [F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("h"), chosen.alias("l"))).alias(f"l{i}") for i in range(LEADERS)]
+    by_type = [F.max(F.when(F.pmod(F.xxhash64("id"), F.lit(LEADERS)) == i, F.struct("typical", chosen.alias("l")))).alias(f"l{LEADERS + i}") for i in range(LEADERS)]
+    top = F.max(F.struct("typical", "id"))["id"].alias("top")
+    leaders = materialize(keyed.groupBy("j", "k").agg(F.count(F.lit(1)).alias("members"), top, *by_lot, *by_type).filter("members > 1"))
+    each = F.array_distinct(F.filter(F.array(*[F.col(f"l{i}.l") for i in range(2 * LEADERS)]), lambda x: x.isNotNull()))
+    held = join_counted(keyed.select("id", "n", "j", "k"), leaders.select("j", "k", "members", "top", each.alias("ls")), ["j", "k"], "members", "id").select("id", "n", "top", F.explode("ls").alias("l"))
     near = (F.col("id") != F.col("l.leader")) & (100 * F.least("n", "l.ln") >= percent * F.greatest("n", "l.ln"))
     sketches = classes.select("id", "sketch")
-    met = keyed.join(leaders, ["j", "k"]).filter(near).select("id", F.col("l.leader").alias("leader")).distinct()
-    met = met.join(sketches, "id").join(sketches.select(F.col("id").alias("leader"), F.col("sketch").alias("ls")), "leader").select("id", "leader", F.size(F.array_intersect("sketch", "ls")).alias("common"), F.least(F.size("sketch"), F.size("ls")).alias("size"))
+    met = held.filter(near).groupBy("id", F.col("l.leader").alias("leader")).agg(F.max(F.col("top") == F.col("l.leader")).alias("top"))
+    met = met.join(sketches, "id").join(sketches.select(F.col("id").alias("leader"), F.col("sketch").alias("ls")), "leader").select("id", "leader", "top", F.size(F.array_intersect("sketch", "ls")).alias("common"), F.least(F.size("sketch"), F.size("ls")).alias("size"))
     met = met.filter(2 * F.col("common") >= F.col("size"))  # others are too far apart to be worth a comparison here; step 3 would find them all the same
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("common").desc(), "leader"))
-    nearest = met.withColumn("_p", place).filter(F.col("_p") <= COMPARED)
+    nearest = met.withColumn("_p", place).filter((F.col("_p") <= COMPARED) | F.col("top"))
     first = materialize(nearest.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct())
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = materialize(_verified(first, _sets(docs, ends(first), id_column, text, width), percent))
@@ -237,23 +244,25 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     union = bounding_members.join(sets.select(F.col("id").alias("y"), "s"), "y").select("group", F.explode("s").alias("token")).distinct()
     seen = bounding.join(sets.select("id", "s"), "id").select("id", "n", "group", "least", F.explode("s").alias("token")).join(union, ["group", "token"]).groupBy("id", "n", "group", "least").agg(F.count(F.lit(1)).alias("common"))
     bounded = seen.filter(_enough(F.col("common"), F.col("n"), F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100)), percent))
-    bounded = materialize(bounded.select("id", "n", "group"))
+    bounded = materialize(bounded.select("id", "n", "group", "common"))
     near = 100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")
 
     # a query that links with one of a few members is done with its group; only the others meet all members
     pick = [F.min(F.struct(F.xxhash64(F.lit(i), "y").alias("h"), "y", "ny")).alias(f"l{i}") for i in range(TRIED)]
     some = opened_members.join(bounded.select("group").distinct(), "group", "left_semi").groupBy("group").agg(*pick)
     some = some.select("group", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.y"), F.col(f"l{i}.ny")) for i in range(TRIED)]))).alias("l")).select("group", "l.y", "l.ny")
-    tried = bounded.join(some, "group").filter(near).select(F.col("id").alias("a"), F.col("y").alias("b"), "group")
+    # a member has no more in common with the query than its group has, so it must be small enough for that
+    fits = near & _enough(F.col("common"), F.col("n"), F.col("ny"), percent)
+    tried = bounded.join(some, "group").filter(fits).select(F.col("id").alias("a"), F.col("y").alias("b"), "group")
     early = materialize(_verified(materialize(tried), sets, percent, "group"))
     done = early.select(F.col("a").alias("id"), "group").distinct()
-    opened = queries.filter("members = 1").select("id", "n", "group").unionByName(bounded.join(done, ["id", "group"], "left_anti"))
-    second = materialize(opened.join(opened_members, "group").filter(near).select(F.col("id").alias("a"), F.col("y").alias("b")))
+    opened = queries.filter("members = 1").select("id", "n", "group", F.least("n", "least").alias("common")).unionByName(bounded.join(done, ["id", "group"], "left_anti"))
+    second = materialize(opened.join(opened_members, "group").filter(fits).select(F.col("id").alias("a"), F.col("y").alias("b")))
     more = early.select("a", "b").unionByName(_verified(second, sets, percent))
 
     found = connected_components(links.unionByName(more), "a", "b")
-    named = classes.select("id", "fa", "fb", "n").join(found, "id", "left").select("fa", "fb", "n", F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("id", "n", "fa", "fb").join(named, ["fa", "fb", "n"], "left")
+    named = materialize(classes.select("id", "fa", "fb", "n", "copies").join(found, "id", "left").select("fa", "fb", "n", "copies", F.coalesce("component", "id").alias("component_id")))
+    out = join_counted(rows.select("id", "n", "fa", "fb"), named, ["fa", "fb", "n"], "copies", "id", "left")
     empty = F.when(F.col("n") == 0, F.col("id"))
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", empty).alias("component_id"))
 
@@ -273,16 +282,18 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Where ids are not null and not repeated, they are the rows' keys. Otherwise each row is numbered, and written with its number before use.
     """
-    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    inner, names = set_apart(docs)
+    doc_id, text = names["doc_id"], names["text"]
+    several = inner.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(doc_id).isNull())
     told_apart = several.isEmpty()
-    rows = docs.withColumn("__row", F.col("doc_id")) if told_apart else materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = jaccard_components(rows.select("__row", "text"), "__row", width=5, percent=80)
+    rows = inner.withColumn("row", F.col(doc_id)) if told_apart else materialize(inner.withColumn("row", F.monotonically_increasing_id()))
+    found = jaccard_components(rows.select("row", text), "row", text, width=5, percent=80)
     if told_apart:
-        stay = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__row"))
+        stay = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("row"))
     else:
-        content = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
-        named = found.join(rows.select("__row", "doc_id", content.alias("content")), F.col("id") == F.col("__row"))
+        content = F.sha2(F.to_json(F.struct(*names.values()), {"ignoreNullFields": "false"}), 256)
+        named = found.join(rows.select("row", F.col(doc_id).alias("doc_id"), content.alias("content")), F.col("id") == F.col("row"))
         group = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.col("content")).otherwise(F.col("component_id").cast("string"))
-        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content", "__row"))
-        stay = named.groupBy(group).agg(first.alias("first")).select("first.__row")
-    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content", "row"))
+        stay = named.groupBy(group).agg(first.alias("first")).select("first.row")
+    return put_back(rows.join(stay, "row", "left_semi"), names)
