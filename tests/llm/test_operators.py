@@ -32,7 +32,7 @@ def empty(spark):
 
 def crowded(df):
     """With columns whose names the operators use themselves."""
-    names = ["n_lines", "n_dropped", "base", "owned", "kept", "failed", "n_words", "size", "target", "copies", "media", "codec", "keyframes", "shard", "slot", "rank", "id", "g", "n", "_row", "text2"]
+    names = ["__row", "__more", "__salt", "__arc", "__owner", "__part", "__text", "__k0", "__n", "__base", "__class", "caller__row", "n_lines", "n_dropped", "base", "owned", "kept", "failed", "n_words", "size", "target", "copies", "media", "codec", "keyframes", "shard", "slot", "rank", "id", "g", "n", "_row", "text2"]
     return df.select("*", *[F.lit(7).alias(n) for n in names])
 
 
@@ -103,6 +103,22 @@ def test_secret_spans(spark):
     assert got == {i: brute_secrets(t) for i, t in enumerate(texts)}
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
+    value = "Kj4" * 8
+    for n, live in ((2, 1), (3, 0)):
+        df = spark.createDataFrame([(i, f"see {value}", "one owner", f"l{i % n}") for i in range(6)], "doc_id int, text string, source string, lang string")
+        out = secrets.scan_secrets(df).collect()
+        assert {(r.n_live, r.n_example, len(r.owned), r.most_owners, r.most_repositories) for r in out} == {(live, 1 - live, live, 1, n)}
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(4)
+    words = [rng.choice(["x", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "token=abcdef12", "é"]) for _ in range(3000)]
+    text = " ".join(words)
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text, "s", "en")], "doc_id int, text string, source string, lang string")).first()
+    assert sorted((s.start, s.kind, s.end) for s in got.base) == brute_secrets(text)
+
+
 def test_widely_copied_values_are_examples(spark):
     shared, own = "Zx9" * 8, "Qw7" * 8
     rows = [(i, f"see {shared} and {own if i == 0 else 'none'}", f"s{i}", "en") for i in range(3)]
@@ -133,6 +149,17 @@ def test_rule_order_never_changes_the_verdict(spark):
     assert verdicts[0] == verdicts[1] == verdicts[2]
 
 
+def test_rules_are_ordered_by_rejections_for_their_cost(spark):
+    """A slow rule that rejects little comes last, a quick one that rejects much comes first; only so many texts are looked at."""
+    import time
+
+    slow = quality.Rule("slow", lambda t: time.sleep(0.002) or False)
+    quick = quality.Rule("quick", lambda t: t.n_words < 50)
+    docs = spark.range(2000).select(F.concat_ws(" ", F.lit("a b"), "id").alias("text")).repartition(6)
+    assert [r.name for r in quality.order_rules(docs, (slow, quick), sample=100)] == ["quick", "slow"]
+    assert quality.order_rules(docs.filter("false"), (slow, quick)) == (slow, quick)
+
+
 def test_measures_are_lazy():
     t = quality.Text("a b")
     assert quality.RULES[0].fails(t) and set(t._known) == {"words"}
@@ -152,6 +179,68 @@ def test_container_round_trip(size):
     assert all(payload[(k - 1) * 576 : k * 576] == data[a:b] for k, a, b in index["keyframes"])
 
 
+def test_tracks_are_read_from_their_own_boxes():
+    """A track without samples before one that has them; sizes that differ; 64-bit offsets; no sync table."""
+    payload = bytes(range(30))
+
+    def movie(first):
+        table = [
+            media._full(b"stsd", (1).to_bytes(4, "big"), media._box(b"mp4v", bytes(8))),
+            media._full(b"stts", b"".join(x.to_bytes(4, "big") for x in (2, 2, 10, 1, 5))),
+            media._full(b"stsc", b"".join(x.to_bytes(4, "big") for x in (2, 1, 2, 1, 2, 1, 1))),
+            media._full(b"stsz", b"".join(x.to_bytes(4, "big") for x in (0, 3, 7, 11, 12))),
+            media._full(b"co64", (2).to_bytes(4, "big"), *[(first + x).to_bytes(8, "big") for x in (0, 18)]),
+        ]
+        head = lambda scale: media._full(b"mdhd", b"".join(x.to_bytes(4, "big") for x in (0, 0, scale, 25)))
+        good = media._box(b"trak", media._box(b"mdia", head(50), media._box(b"minf", media._box(b"stbl", *table))))
+        bad = media._box(b"trak", media._box(b"mdia", head(7), media._box(b"minf", media._box(b"stbl", table[0]))))
+        return media._box(b"moov", bad, good)
+
+    data = media._box(b"mdat", payload) + movie(8)
+    index = media.read_index(data)
+    assert (index["codec"], index["timescale"], index["duration"]) == ("mp4v", 50, 25)
+    assert [data[a:b] for a, b in index["samples"]] == [payload[:7], payload[7:18], payload[18:30]]
+    assert [k[0] for k in index["keyframes"]] == [1, 2, 3]
+
+
+def test_movie_fragments():
+    """Tables without samples, then two fragments: sizes of their own with offsets, and sizes by default that follow the run before."""
+    word = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    full = lambda kind, *x, flags=0: media._full(kind, *x, flags=flags)
+    table = media._box(b"stbl", full(b"stsd", word(1), media._box(b"avc1", bytes(8))), full(b"stts", word(0)), full(b"stsc", word(0)), full(b"stsz", word(0, 0)), full(b"stco", word(0)))
+    track = media._box(b"trak", full(b"tkhd", word(0, 0, 5)), media._box(b"mdia", full(b"mdhd", word(0, 0, 90, 0)), media._box(b"minf", table)))
+    data = media._box(b"moov", track, media._box(b"mvex", full(b"trex", word(5, 1, 30, 4, 0x10000))))
+    first = len(data)
+
+    def fragment(offset):
+        run = full(b"trun", word(3, offset, 0), word(7, 2, 9), flags=0x205)
+        other = media._box(b"traf", full(b"tfhd", word(6)), full(b"trun", word(1, 0), flags=0x1))
+        return media._box(b"moof", other, media._box(b"traf", full(b"tfhd", word(5), flags=0x20000), run, full(b"trun", word(2))))
+
+    body = bytes(range(26))
+    data += fragment(len(fragment(0)) + 8) + media._box(b"mdat", body)
+    index = media.read_index(data)
+    assert (index["codec"], index["timescale"], index["duration"]) == ("avc1", 90, 150)
+    assert [data[a:b] for a, b in index["samples"]] == [body[:7], body[7:9], body[9:18], body[18:22], body[22:26]]
+    assert [k[0] for k in index["keyframes"]] == [1]
+    for cut in range(first, len(data), 7):
+        media.read_index(data[:cut])
+    huge = data.replace(word(2) + media._box(b"mdat", body)[:8], b"\xff\xff\xff\xff" + media._box(b"mdat", body)[:8])
+    assert huge != data and media.read_index(huge)["samples"] == []
+
+
+def test_counts_beyond_the_box_cost_nothing():
+    whole = media.write_media(media.padded("x" * 3000))
+    for kind in (b"stsz", b"stts", b"stss", b"stsc", b"stco"):
+        at = whole.index(kind) + 8 + (4 if kind == b"stsz" else 0)
+        broken = whole[:at] + b"\xff\xff\xff\xff" + whole[at + 4 :]
+        assert media.read_index(broken)["samples"] == []
+    deep = b""
+    for _ in range(5000):
+        deep = media._box(b"moov", deep)
+    assert media.read_index(deep)["samples"] == []
+
+
 def test_broken_containers():
     data = media.write_media(media.padded("x" * 3000))
     for cut in range(0, len(data), 37):
@@ -377,7 +466,24 @@ def test_mix_is_near_its_targets_and_agrees_with_itself(spark):
     assert (a["taken"] <= 2 * a["size"]).all() and (a["taken"] >= 0).all()
     source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").toPandas()
     for _, g in a.merge(source, on="doc_id").groupby("source"):
-        assert abs(g["taken"].sum() / g["target"].iloc[0] - 1) < 0.12 and g["size"].sum() == g["source_size"].iloc[0]
+        # a text more or less from each class of sizes: the larger the source, the nearer
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= max(0.03 * g["target"].iloc[0], 2 * g["size"].max()) and g["size"].sum() == g["source_size"].iloc[0]
+
+
+def test_copies_against_plain_systematic_sampling(spark):
+    """Copies are the integers that each row's part of the running sum crosses, in the order and from the offset of the source."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randrange(200)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, words bigint")
+    out = mixing.mix_sources(df, F.col("words")).collect()
+    h = {r.doc_id: (r.h, r.salt, r.offset, r.kind) for r in df.select("doc_id", F.floor(F.log2(F.col("words") + 1) * 4).alias("kind"), F.xxhash64(F.lit(7), "doc_id").alias("h"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(8)).alias("salt"), (F.pmod(F.xxhash64(F.lit(7), "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("offset")).collect()}
+    for source in ("a", "b", None):
+        mine = sorted((r for r in out if r.source == source), key=lambda r: (h[r.doc_id][3], h[r.doc_id][1], h[r.doc_id][0], r.doc_id))
+        rate, upto = min(mine[0].target / mine[0].source_size, 2.0), 0
+        for n, r in enumerate(mine, 1):
+            now = math.floor(n * rate + h[r.doc_id][2])
+            assert r.copies == now - upto and 0 <= r.copies <= 2
+            upto = now
 
 
 # 8
@@ -502,7 +608,42 @@ def test_shards(spark):
 def test_little_moves_when_a_shard_is_added(spark):
     df = spark.range(20_000).withColumnRenamed("id", "doc_id")
     before, after = (sharding.shard_rows(df, "doc_id", n).toPandas().set_index("doc_id")["shard"] for n in (40, 41))
-    assert (before != after.reindex(before.index)).mean() < 0.25
+    assert (before != after.reindex(before.index)).mean() < 0.06  # 1 / 41 is the least
+
+
+def brute_shards(keys, hashes, shards, nodes):
+    """Bounded loads by walking: keys of each arc in order, each to its own node or on clockwise to the next shard with room."""
+    points, owners = sharding.ring(shards, nodes)
+    total, room, arcs = len(keys), [], collections.defaultdict(list)
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    for k in keys:
+        arcs[int(np.searchsorted(points, hashes[k])) % len(points)].append(k)
+    counts, over = collections.Counter(), []
+    for arc in sorted(arcs):
+        owner = int(owners[arc])
+        taken = min(len(arcs[arc]), room[owner] - counts[owner])
+        counts[owner] += taken
+        over += [arc] * (len(arcs[arc]) - taken)
+    for at in over:
+        while counts[int(owners[at % len(owners)])] >= room[int(owners[at % len(owners)])]:
+            at += 1
+        counts[int(owners[at % len(owners)])] += 1
+    # how many keys of each arc its own shard keeps
+    return counts, {arc: len(arcs[arc]) for arc in arcs}
+
+
+def test_shards_against_a_walk(spark):
+    df = spark.range(700).withColumnRenamed("id", "doc_id")
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    out = {r.doc_id: r.shard for r in sharding.shard_rows(df, "doc_id", 7, 5).collect()}
+    counts, arcs = brute_shards(sorted(hashes), hashes, 7, 5)
+    assert collections.Counter(out.values()) == counts
+    points, owners = sharding.ring(7, 5)
+    moved = sum(out[k] != owners[np.searchsorted(points, hashes[k]) % 35] for k in out)
+    load = collections.Counter()
+    for arc, n in arcs.items():
+        load[int(owners[arc])] += n
+    assert moved == sum(max(0, n - 100) for n in load.values())  # only what is over the bound leaves its own shard
 
 
 def test_overflow_goes_on_clockwise():
@@ -535,6 +676,48 @@ def brute_components(docs, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_slices_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from hustings.llm.common import slices
+
+    texts = [None, "", "a" * 10, "b" * 300, "c" * 99, "d", None, "e" * 5, ""] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "t"])
+    parts = list(slices([batch, batch.slice(0, 0)], 1, 100))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()) < 400 for p in parts) and len(parts) > 7
+
+
+def near_family(rng, words, length, copies, most):
+    """A text and copies with up to ``most`` words changed."""
+    base = [rng.choice(words) for _ in range(length)]
+    out = [" ".join(base)]
+    for _ in range(copies):
+        text = list(base)
+        for _ in range(rng.randrange(1, most + 1)):
+            text[rng.randrange(length)] = f"n{rng.randrange(10**9)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_copies_of_one_text_group_around_it(spark):
+    """The text itself is among the leaders, so near copies link with it and do not meet each other by their tokens: rows stay near-linear."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = near_family(rng, words, 150, 600, 4)
+    rng.shuffle(texts)
+    docs = [(i, t) for i, t in enumerate(texts)]
+    met = []
+    verified = jaccard._verified
+    jaccard._verified = lambda pairs, *a: met.append(pairs.count()) or verified(pairs, *a)
+    try:
+        got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    finally:
+        jaccard._verified = verified
+    assert got == brute_components(docs, 4, 85)
+    assert sum(met) < 12 * len(docs)
+
+
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
 def test_components_against_brute_force(spark, width, percent):
     rng = random.Random(width)

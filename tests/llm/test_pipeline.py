@@ -3,8 +3,10 @@
 import collections
 
 import corpus_pipeline
+import pyspark.sql.functions as F
+import pytest
 from hustings.llm.common import materialize
-from test_operators import brute_components, brute_repeats, brute_targets
+from test_operators import SCHEMA, awkward, brute_components, brute_repeats, brute_targets, crowded, empty
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -62,3 +64,56 @@ def test_stages(spark):
             pieces = docs.toPandas()
             assert pieces[pieces["piece"] == 0]["doc_id"].value_counts().to_dict() == dict(repeats)
             assert (pieces.groupby("sequence_id")["length"].sum() <= 2048).all()
+
+
+STAGES = dict(corpus_pipeline.STAGES)
+PIECES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_of_awkward_rows(spark, name):
+    """Nulls, blanks, repeated rows and ties: what each stage keeps of them."""
+    docs = awkward(spark)
+    out = STAGES[name](spark, docs, SMALL)
+    rows = out.collect()
+    assert out.columns == (PIECES if name == "best-fit packing" else docs.columns)
+    ids = collections.Counter(r.doc_id for r in rows)
+    if name == "quality rules":
+        assert ids == {3: 1} or not ids  # all others have fewer than ten words
+    elif name == "line dedup":
+        assert len(rows) == 13 and ids[4] == 3 and ids[None] == 1 and {r.text for r in rows if r.doc_id == 0} == {""}
+    elif name == "n-gram Jaccard join":
+        assert ids[4] == 1 and ids[5] == 0 and ids[None] == 1 and all(ids[i] == 1 for i in (0, 1, 2, 3, 6, 7, 8, 9))
+    elif name == "mixing sources to target weights":
+        assert max(ids.values()) <= 6 and ids  # three rows of one id, twice each at most
+    else:
+        assert ids[4] == 3 and ids[0] == ids[None] == 1 and ids[3] > 1
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_of_empty_tables(spark, name):
+    out = STAGES[name](spark, empty(spark), SMALL)
+    assert out.count() == 0 and out.columns == (PIECES if name == "best-fit packing" else empty(spark).columns)
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_with_clashing_columns(spark, name):
+    """More columns, named as the operators name their own, come through as they were and change nothing."""
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"{words} x{i % 3}\nline {i}", "en", f"s{i % 2}", 0) for i in range(12)], SCHEMA)
+    more = crowded(docs).withColumns({n: F.lit(8) for n in ("row", "content", "__copy", "copies2", "doc0_doc_id")})
+    plain, out = (STAGES[name](spark, d, SMALL) for d in (docs, more))
+    same = [c for c in plain.columns if c not in ("sequence_id", "offset")]
+    assert sorted(map(str, out.select(*same).collect())) == sorted(map(str, plain.select(*same).collect()))
+    if name != "best-fit packing":
+        assert out.columns == more.columns
+        added = [c for c in more.columns if c not in docs.columns]
+        assert {tuple(r) for r in out.select(*added).collect()} <= {tuple(r) for r in more.select(*added).collect()}
+
+
+def test_a_blank_line_of_many_documents_is_no_link(spark):
+    """The whole pipeline on clean documents that share nothing keeps all of them up to mixing."""
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{k}" for k in range(40)) + "\n\n" + " ".join(f"more{i}x{k}" for k in range(20)), "en", "s", 0) for i in range(15)], SCHEMA)
+    for name in list(STAGES)[:3]:
+        docs = materialize(STAGES[name](spark, docs, SMALL))
+        assert docs.count() == 15, name
