@@ -92,7 +92,7 @@ def salt(parts: int, *columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
 
 
-def salts_for(rows: int, per_task: int = 100_000, least: int = 8) -> int:
+def salts_for(rows: int, per_task: int = 100_000, least: int = 64) -> int:
     """How many salts split a key that may hold all of ``rows`` into groups of about ``per_task``."""
     return max(least, -(-rows // per_task))
 

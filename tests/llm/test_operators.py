@@ -476,7 +476,7 @@ def test_copies_against_plain_systematic_sampling(spark):
     rows = [(i, rng.choice(["a", "b", None]), rng.randrange(200)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, words bigint")
     out = mixing.mix_sources(df, F.col("words")).collect()
-    h = {r.doc_id: (r.h, r.salt, r.offset, r.kind) for r in df.select("doc_id", F.floor(F.log2(F.col("words") + 1) * 4).alias("kind"), F.xxhash64(F.lit(7), "doc_id").alias("h"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(8)).alias("salt"), (F.pmod(F.xxhash64(F.lit(7), "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("offset")).collect()}
+    h = {r.doc_id: (r.h, r.salt, r.offset, r.kind) for r in df.select("doc_id", F.floor(F.log2(F.col("words") + 1) * 4).alias("kind"), F.xxhash64(F.lit(7), "doc_id").alias("h"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(64)).alias("salt"), (F.pmod(F.xxhash64(F.lit(7), "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("offset")).collect()}
     for source in ("a", "b", None):
         mine = sorted((r for r in out if r.source == source), key=lambda r: (h[r.doc_id][3], h[r.doc_id][1], h[r.doc_id][0], r.doc_id))
         rate, upto = min(mine[0].target / mine[0].source_size, 2.0), 0
