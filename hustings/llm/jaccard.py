@@ -228,8 +228,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     pairs = materialize(left.join(right, "token").filter((F.col("ga") < F.col("gb")) & (meets("a", "b") | meets("b", "a"))).select("ga", "gb").distinct())
 
     met_groups = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
-    inside = materialize(grouped.join(met_groups, "g", "left_semi"))
-    sizes = inside.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = materialize(sizes.join(met_groups, "g", "left_semi"))
+    inside = materialize(join_counted(grouped, sizes.select("g", "members"), ["g"], "members", "id").drop("members"))
     of = lambda g: sizes.select(F.col("g").alias(g), F.struct("members", "least", "most").alias(f"_{g}"))
     sided = pairs.join(of("ga"), "ga").join(of("gb"), "gb")
     swap = F.col("_ga.members") > F.col("_gb.members")
