@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extraction, jaccard, language_model, line_dedup, media, mixing, packing, quality, secrets, sharding
+from . import edit_embedding, html_extraction, jaccard, language_model, line_dedup, media, merkle, mixing, packing, quality, secrets, sharding, whitening
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_document_fingerprints": edit_embedding.op13_document_fingerprints,
 }
-SQL = {"op1_secret_scans": secrets.OP1_SQL, "op2_quality_rules": quality.OP2_SQL, "op5_line_dedup": line_dedup.OP5_SQL}
+SQL = {"op1_secret_scans": secrets.OP1_SQL, "op2_quality_rules": quality.OP2_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
