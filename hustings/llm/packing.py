@@ -64,12 +64,14 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def tokenize_pieces(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, special: dict[str, int] | None = None) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, special: dict[str, int] | None = None, vocabulary: str | None = None) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32): the pieces of each text's ids, closed by ``end_id``.
 
     A text of more than ``capacity`` ids is cut into pieces of that length, the first of which takes the rest. Null is the empty text: one piece.
     ``ranks`` is a byte-level BPE vocabulary file, ``pattern`` its word pattern. ``special`` has the added tokens: wherever such a string stands in
-    a text it is that one id, and what lies between is encoded part by part.
+    a text it is that one id, and what lies between is encoded part by part. The word pattern's engine gives up on runs of about a million white-space
+    characters; such a text is encoded by the tokenizers library from ``vocabulary``, the same vocabulary in its format, with the same ids. An
+    empty table gives no pieces.
     """
     kind = docs.schema[id_column].dataType
 
@@ -79,10 +81,24 @@ def tokenize_pieces(docs: DataFrame, ranks: str, pattern: str, id_column: str =
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=table, special_tokens=special or {})
+        slow = []
+
+        def encode(value: str) -> list[int]:
+            try:
+                return encoding.encode(value, allowed_special="all")
+            except ValueError:
+                if vocabulary is None:
+                    raise
+                if not slow:
+                    from tokenizers import Tokenizer
+
+                    slow.append(Tokenizer.from_file(vocabulary))
+                return slow[0].encode(value, add_special_tokens=False).ids
+
         for batch in slices(batches, 1):
             at, out = [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*encoding.encode(value or "", allowed_special="all"), end_id], dtype="<u4")
+                ids = np.array([*encode(value or ""), end_id], dtype="<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     at.append(row)
@@ -133,13 +149,15 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, pattern: str | Non
     The public vocabulary comes with its added tokens; one that is named has none. The result has a row for each piece, with the document's id and
     no other column of ``docs``. Null and empty texts are one piece of one id.
     """
-    special = None
+    special = vocabulary = None
     if ranks is None or pattern is None:
         import public_tokenizers
 
-        special = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if ranks is None else None
+        if ranks is None:
+            vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+            special = added_tokens(vocabulary)
         ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    return pack_pieces(materialize(tokenize_pieces(docs, ranks, pattern, special=special)))
+    return pack_pieces(materialize(tokenize_pieces(docs, ranks, pattern, special=special, vocabulary=vocabulary)))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

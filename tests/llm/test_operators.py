@@ -414,6 +414,19 @@ def test_ids_of_texts_with_an_added_token(spark):
         assert g["ids_crc32"].tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(g["start"], g["length"], strict=True)]
 
 
+def test_ids_of_very_long_white_space(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x" + " \t\n\r" * 300_000, "é <|endoftext|>" + "\u3000 " * 500_000 + "end", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    for doc, g in packing.pack_documents(docs).toPandas().sort_values("piece").groupby("doc_id"):
+        ids = np.array(tokenizer.encode(texts[doc], add_special_tokens=False).ids + [0], dtype="<u4")
+        assert g["length"].sum() == len(ids)
+        assert g["ids_crc32"].tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(g["start"], g["length"], strict=True)]
+
+
 def test_fullest_combination():
     rng = random.Random(3)
     for _ in range(100):
