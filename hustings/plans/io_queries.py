@@ -10,7 +10,7 @@ from hustings.operators.methods import TRANSFERS
 from hustings.plans.adapters import cell, located, precinct, sector, sql
 from hustings.plans.registry import query
 from hustings.plans.tally_queries import CERTAINTY_SQL, SV_SQL
-from hustings.shared import new_folder
+from hustings.shared import materialize, new_folder
 from hustings.sources import files
 from hustings.streaming import live
 
@@ -85,39 +85,61 @@ def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.require_columns(precinct(spark, sf_dir), ["Shape_ID", "County", "Area"], "precinct").select("Shape_ID", "County", "Area")
 
 
-#: When rows come: those declared up to each of these moments in one go, the last of all after them. A tenth comes late, a tenth comes twice.
-_ARRIVALS = ("1994-12-31", "1996-12-31", "9999-12-31")
+#: When rows come: all versions up to each of these moments in one go. The rows of a tenth all come after the others.
+_ARRIVALS = ("1996-12-31", "1999-06-30", "9999-12-31")
 _DELAY_DAYS = 30
-_IN_TIME = f"""came AS (SELECT * FROM located WHERE declared_at IS NOT NULL AND (Result_ID % 10 <> 1 OR declared_at > (SELECT max(declared_at) FROM located WHERE Result_ID % 10 <> 1) - INTERVAL {_DELAY_DAYS} DAY))"""
+#: Files of one arrival; a batch takes as many.
+_FILES = 4
+_LIVE = ["n_rows", "n_declared", "Electorate", "Turnout", "Spoil", *TRANSFERS, "undecided"]
+
+
+def _versions(rows: DataFrame) -> DataFrame:
+    """Each row as it was received, verified and declared, with ``at`` and ``status``; a third of the declared rows are corrected ten days later:
+    five more votes, and some of them belong to another seat."""
+    amended = F.col("Result_ID") % 3 == 0
+    kinds = [("received_at", "Verifying", 0), ("verified_at", "Counting", 0), ("declared_at", "Declared", 0), ("declared_at", "Declared", 10)]
+    made = [F.struct((F.col(c) + F.expr(f"INTERVAL {days} DAYS")).alias("at"), F.lit(s).alias("status"), F.lit(5 if days else 0).alias("more"), F.when(amended | (F.lit(days) == 0), True).alias("real")) for c, s, days in kinds]
+    each = rows.select("*", F.inline(F.array(*made))).filter("at is not null and real")
+    moved = (F.col("more") > 0) & (F.col("Result_ID") % 2 == 0)
+    return each.withColumns({"Left_Left": F.col("Left_Left") + F.col("more"), "Turnout": F.col("Turnout") + F.col("more"), "Constituency": F.when(moved, (F.col("Constituency") + 1) % 10).otherwise(F.col("Constituency"))}).drop("more", "real")
+
+
+_VERSIONS_SQL = f"""v AS (SELECT * REPLACE (Left_Left + more AS Left_Left, Turnout + more AS Turnout, CASE WHEN more > 0 AND Result_ID % 2 = 0 THEN (Constituency + 1) % 10 ELSE Constituency END AS Constituency) FROM (
+   SELECT *, received_at AS moment, 'Verifying' AS status, 0 AS more FROM located UNION ALL SELECT *, verified_at, 'Counting', 0 FROM located UNION ALL SELECT *, declared_at, 'Declared', 0 FROM located
+   UNION ALL SELECT *, declared_at + INTERVAL 10 DAY, 'Declared', 5 FROM located WHERE Result_ID % 3 = 0) WHERE moment IS NOT NULL),
+ came AS (SELECT * FROM v WHERE Result_ID % 10 <> 1 OR moment > (SELECT max(moment) FROM v WHERE Result_ID % 10 <> 1) - INTERVAL {_DELAY_DAYS} DAY),
+ lastv AS (SELECT * FROM came QUALIFY row_number() OVER (PARTITION BY Result_ID ORDER BY moment DESC) = 1)"""
 
 
 @query(
     "s175_live_tally",
     sql(
-        f"SELECT Constituency, n_rows, {', '.join(TRANSFERS)}, winner, stage, result_certain, certain_winner FROM certain",
+        f"SELECT Constituency, {', '.join(_LIVE)}, winner, stage, result_certain, certain_winner FROM certain",
         "located",
-        more=f"""{_IN_TIME}, tot AS (SELECT Constituency, sum(Electorate) AS e FROM located GROUP BY Constituency),
- sums AS (SELECT Constituency, count(*) AS n_rows, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in TRANSFERS)}, CAST(any_value(e) - sum(Electorate) AS BIGINT) AS undecided FROM came JOIN tot USING (Constituency) GROUP BY Constituency),
- {SV_SQL}, {CERTAINTY_SQL}""",
+        more=f"""{_VERSIONS_SQL}, tot AS (SELECT Constituency, sum(Electorate) AS e FROM located GROUP BY Constituency),
+ live AS (SELECT Constituency, count(*) AS n_rows, count(*) FILTER (status = 'Declared') AS n_declared, CAST(sum(Electorate) AS BIGINT) AS Electorate, CAST(coalesce(sum(Turnout) FILTER (status IN ('Counting', 'Declared')), 0) AS BIGINT) AS Turnout,
+   CAST(sum(CASE status WHEN 'Declared' THEN 0 WHEN 'Counting' THEN Turnout ELSE Electorate END) AS BIGINT) AS pool, {', '.join(f"CAST(coalesce(sum({c}) FILTER (status = 'Declared'), 0) AS BIGINT) AS {c}" for c in (*TRANSFERS, 'Spoil'))} FROM lastv GROUP BY Constituency),
+ sums AS (SELECT live.* EXCLUDE (pool), CAST(pool + greatest(0, e - Electorate) AS BIGINT) AS undecided FROM live JOIN tot USING (Constituency)), {SV_SQL}, {CERTAINTY_SQL}""",
     ),
 )
 def live_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows are tallied as they come, some twice and some too late; the last update of each seat is the tally of what came in time."""
+    """Rows come as received, counting, declared and corrected, some twice and some too late; the totals are the tally of each row's last version."""
     folder = new_folder(spark)
-    rows = located(spark, sf_dir).select("Result_ID", "Constituency", "Electorate", "Turnout", "Spoil", *TRANSFERS, "declared_at")
-    roster = rows.groupBy("Constituency").agg(F.sum("Electorate").alias("all_electorate"))
+    rows = materialize(_versions(located(spark, sf_dir).select("Result_ID", "Constituency", "Electorate", "Turnout", "Spoil", *TRANSFERS, "received_at", "verified_at", "declared_at")).drop("received_at", "verified_at", "declared_at"))
+    roster = materialize(located(spark, sf_dir).groupBy("Constituency").agg(F.sum("Electorate").alias("all_electorate"), F.count(F.lit(1)).alias("n")))
     late = F.col("Result_ID") % 10 == 1
     upto = "0001-01-01"
     for moment in (*_ARRIVALS, None):
         if moment is None:
             part = rows.filter(late)
         else:
-            fresh = rows.filter(~late & (F.col("declared_at") > F.lit(upto).cast("timestamp")) & (F.col("declared_at") <= F.lit(moment).cast("timestamp")))
+            fresh = rows.filter(~late & (F.col("at") > F.lit(upto).cast("timestamp")) & (F.col("at") <= F.lit(moment).cast("timestamp")))
             part, upto = fresh.unionByName(fresh.filter("Result_ID % 10 = 2")), moment
-        part.write.mode("append").parquet(f"{folder}/in")
-        stream = live.live_tally(live.read_rows(spark, f"{folder}/in", rows.schema), ["Constituency"], "Result_ID", delay=f"{_DELAY_DAYS} days")
-        out = live.run_available(stream, folder, lambda batch: live.decided(batch, roster, ["Constituency"]))
-    return live.latest(spark, out, ["Constituency"]).select("Constituency", "n_rows", *TRANSFERS, "winner", "stage", "result_certain", "certain_winner")
+        part.repartition(_FILES).write.mode("append").parquet(f"{folder}/in")
+    stream = live.read_rows(spark, f"{folder}/in", rows.schema, _FILES)
+    buckets = max(16, roster.agg(F.sum("n")).first()[0] // 500)
+    live.run_totals(live.deltas(stream, "Result_ID", ["Constituency"], live.seat_measures(), "at", f"{_DELAY_DAYS} days", buckets), folder, ["Constituency"])
+    return live.decided(live.totals(spark, folder), roster.drop("n"), ["Constituency"]).select("Constituency", *_LIVE, "winner", "stage", "result_certain", "certain_winner")
 
 
 @query("s176_streamed_declarations", sql("SELECT time_bucket(INTERVAL 1 DAY, declared_at) AS day, count(*) AS n FROM located WHERE declared_at IS NOT NULL GROUP BY 1", "located"))
