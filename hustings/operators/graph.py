@@ -89,36 +89,67 @@ def fallback_type(rows: DataFrame, valid: DataFrame, key: str, chain: list[str])
     return options.groupBy("id", key).agg(F.min_by("_v", order).alias("type"))
 
 
-def blend_round(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: DataFrame, weight: float, seed: str, round_number: int) -> DataFrame:
-    """Nodes (id, key, type, frozen) after one synchronous round of labels.
+def colour_rounds(nodes: DataFrame, edges: DataFrame, seed: str = "colours") -> DataFrame:
+    """Rows (id, colour): a colour from 0 for each node, so that no two neighbours have the same.
+
+    A number drawn by the seed and the id orders the nodes. In each round the open nodes that come before all of their open neighbours get the round's
+    number, at once; so the rounds are as many as the longest falling path of numbers, a logarithm of the nodes where degrees are bounded. Every round
+    is written to the shared folder; a node meets its neighbours only as partial minima.
+    """
+    from hustings.functions.numbers import keyed_uniform
+
+    order = nodes.select("id", keyed_uniform(seed, "id").alias("p")).distinct()
+    ends = order.select(F.col("id").alias("src"), F.struct("p", "id").alias("ps")), order.select(F.col("id").alias("dst"), F.struct("p", "id").alias("pd"))
+    left = materialize(both_ways(edges).filter("src <> dst").distinct().join(ends[0], "src").join(ends[1], "dst"))
+    open_, done, colour = materialize(order.select("id")), None, 0
+    while not open_.isEmpty():
+        behind = left.groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("pd") < F.col("ps")).alias("b")).filter("b")
+        first = materialize(open_.join(behind, "id", "left_anti"))
+        coloured = first.select("id", F.lit(colour).alias("colour"))
+        done = coloured if done is None else done.unionByName(coloured)
+        open_ = materialize(open_.join(first, "id", "left_anti"))
+        left = materialize(left.join(first.select(F.col("id").alias("src")), "src", "left_anti").join(first.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        colour += 1
+    return done if done is not None else open_.select("id", F.lit(0).alias("colour"))
+
+
+def blend_step(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: DataFrame, weight: float, seed: str, colour: int) -> DataFrame:
+    """Nodes (id, key, type, frozen, colour) after those of one colour have drawn a new label.
 
     A node's distribution is its key's prior blended with the average of what its neighbours' types lead to (``moves``: from_type, type, p),
-    ``weight`` of it; one type is drawn by a number that depends on the seed, the round and the node. Frozen nodes keep theirs.
+    ``weight`` of it; one type is drawn by a number that depends on the seed and the node. Frozen nodes keep theirs.
     """
     from hustings.functions.numbers import keyed_uniform
     from hustings.operators.windows import inverse_cdf
 
-    near = both_ways(edges).join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("from_type")), "dst")
+    mine = nodes.filter((F.col("colour") == colour) & ~F.col("frozen")).select("id", "key")
+    near = both_ways(edges).join(mine.select(F.col("id").alias("src")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("from_type")), "dst")
     counts = near.groupBy(F.col("src").alias("id"), "from_type").agg(F.count(F.lit(1)).alias("n"))
     pulled = counts.join(moves, "from_type").groupBy("id", "type").agg((F.sum(F.col("p") * F.col("n"))).alias("q"))
     total = counts.groupBy("id").agg(F.sum("n").alias("degree"))
-    options = nodes.select("id", "key").join(priors, "key").join(pulled, ["id", "type"], "left").join(total, "id", "left")
+    options = mine.join(priors, "key").join(pulled, ["id", "type"], "left").join(total, "id", "left")
     blended = F.when(F.col("degree").isNull(), F.col("p")).otherwise((1 - weight) * F.col("p") + weight * F.coalesce("q", F.lit(0.0)) / F.col("degree"))
-    drawn = inverse_cdf(options.withColumn("w", blended), ["id"], "type", "w", keyed_uniform(f"{seed}-{round_number}", "id"), "type").withColumnRenamed("type", "_new")
-    joined = nodes.join(drawn, "id", "left")
-    return joined.select("id", "key", F.when(F.col("frozen"), F.col("type")).otherwise(F.coalesce("_new", "type")).alias("type"), "frozen")
-
-
-def blend_labels(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: DataFrame, weight: float = 0.5, rounds: int = 3, stop_at: float = 0.0, seed: str = "labels") -> DataFrame:
-    """Rounds of blend_round, each written to the shared folder, until the share of changed labels is at most ``stop_at`` or rounds are over."""
-    now = materialize(nodes)
-    for k in range(rounds):
-        new = materialize(blend_round(now, edges, priors, moves, weight, seed, k))
-        change = now.select("id", F.col("type").alias("_t")).join(new, "id").agg(F.avg((F.col("_t") != F.col("type")).cast("double"))).first()[0]
-        now = new
+    drawn = inverse_cdf(options.withColumn("w", blended), ["id"], "type", "w", keyed_uniform(seed, "id"), "type").withColumnRenamed("type", "_new")
+    return nodes.join(drawn, "id", "left").select("id", "key", F.coalesce("_new", "type").alias("type"), "frozen", "colour")
+
+
+def blend_labels(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: DataFrame, weight: float = 0.5, sweeps: int = 3, stop_at: float = 0.0, seed: str = "labels") -> DataFrame:
+    """Nodes (id, key, type, frozen) with new types, after sweeps over all nodes, until a sweep changes at most a share ``stop_at`` of them.
+
+    A sweep goes through the colours of :func:`colour_rounds`. Nodes of a colour are no neighbours, so they draw at once (:func:`blend_step`), and those of
+    the next colour see what they drew, as in a sweep over one node after the other. Each step is written to the shared folder.
+    """
+    colours = materialize(colour_rounds(nodes, edges, seed))
+    last = colours.agg(F.max("colour")).first()[0]
+    now = materialize(nodes.select("id", "key", "type", "frozen").join(colours, "id"))
+    for k in range(sweeps):
+        before = now
+        for colour in range(0 if last is None else last + 1):
+            now = materialize(blend_step(now, edges, priors, moves, weight, f"{seed}-{k}", colour))
+        change = before.select("id", F.col("type").alias("_t")).join(now, "id").agg(F.avg((F.col("_t") != F.col("type")).cast("double"))).first()[0]
         if (change or 0.0) <= stop_at:
             break
-    return now
+    return now.drop("colour")
 
 
 def candidate_losses(areas: DataFrame, targets: DataFrame, candidates: list[float], density) -> DataFrame:

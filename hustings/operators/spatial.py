@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from hustings.functions import geometry as g
+from hustings.operators import grids
 from hustings.operators.graph import connected_components
 from hustings.shared import materialize
 
@@ -76,49 +77,124 @@ def weighted_centres(points: DataFrame, keys: list[str], weight: Column) -> Data
     return points.groupBy(*keys).agg((F.sum(F.col("x") * weight) / w).alias("cx"), (F.sum(F.col("y") * weight) / w).alias("cy"), F.count(F.lit(1)).alias("n"))
 
 
-def shape_cells(shapes: DataFrame, size: float) -> DataFrame:
-    """Each shape (id, rings) in every grid cell that its bounding box meets: columns _cx, _cy, and its box."""
-    boxed = shapes.withColumn("box", g.bbox(F.get("rings", F.lit(0)))).filter("box.x0 is not null")
-    span = lambda a, b: F.sequence(_cell(F.col(f"box.{a}"), size), _cell(F.col(f"box.{b}"), size))
-    return boxed.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+def segments(shapes: DataFrame, *columns: str) -> DataFrame:
+    """Rows (id, columns, ring, pos, x1, y1, x2, y2): the edges of all rings of shapes (id, rings), holes too; those of no length are left out."""
+    rings = shapes.select("id", *columns, F.posexplode("rings").alias("ring", "_r")).select("id", *columns, "ring", g.open_ring(F.col("_r")).alias("_r"))
+    ends = F.transform("_r", lambda p, i: F.struct(p.alias("p"), F.get(F.col("_r"), F.when(i + 1 < F.size("_r"), i + 1).otherwise(F.lit(0))).alias("q")))
+    each = rings.select("id", *columns, "ring", F.posexplode(ends).alias("pos", "_e"))
+    out = each.select("id", *columns, "ring", "pos", F.col("_e.p.x").alias("x1"), F.col("_e.p.y").alias("y1"), F.col("_e.q.x").alias("x2"), F.col("_e.q.y").alias("y2"))
+    return out.filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
-def candidate_pairs(shapes: DataFrame, size: float) -> DataFrame:
-    """Rows (a, b), a < b: shapes whose bounding boxes meet, each pair once.
+def candidate_pairs(shapes: DataFrame) -> DataFrame:
+    """Rows (a, b), a < b: shapes (id, rings) whose bounding boxes meet, each pair once.
 
-    A pair is reported only in the least cell that both boxes share, so there is nothing to make distinct afterwards.
+    A box lies in the few cells of the level of its own size, and looks for larger boxes in the cells of all larger levels that there are; so neither a
+    crowd of small boxes nor a very large one fills cells that it need not. A pair is reported only in the least cell that both boxes share, so
+    there is nothing to make distinct afterwards.
     """
-    cells = shape_cells(shapes, size)
-    left = cells.select(F.col("id").alias("a"), F.col("box").alias("ba"), "_cx", "_cy")
-    right = cells.select(F.col("id").alias("b"), F.col("box").alias("bb"), "_cx", "_cy")
+    boxed = shapes.select("id", g.bbox(F.flatten("rings")).alias("box")).filter("box.x0 is not null")
+    boxed = boxed.withColumn("own", grids.level_of(F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"))))
+    cells = F.inline(grids.box_cells(*[F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")], F.col("level")))
+    large = boxed.withColumn("level", F.col("own")).select(F.col("id").alias("a"), F.col("box").alias("ba"), "level", cells)
+    small = grids.at_levels(boxed, grids.levels_in(boxed, "own"), F.col("own")).select(F.col("id").alias("b"), F.col("box").alias("bb"), "own", "level", cells)
     meet = (F.col("ba.x0") <= F.col("bb.x1")) & (F.col("bb.x0") <= F.col("ba.x1")) & (F.col("ba.y0") <= F.col("bb.y1")) & (F.col("bb.y0") <= F.col("ba.y1"))
-    first = (F.col("_cx") == F.greatest(_cell(F.col("ba.x0"), size), _cell(F.col("bb.x0"), size))) & (F.col("_cy") == F.greatest(_cell(F.col("ba.y0"), size), _cell(F.col("bb.y0"), size)))
-    return left.join(right, ["_cx", "_cy"]).filter((F.col("a") < F.col("b")) & meet & first).select("a", "b")
+    at = lambda c: F.greatest(grids.cell_of(F.col(f"ba.{c}"), F.col("level")), grids.cell_of(F.col(f"bb.{c}"), F.col("level")))
+    once = (F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))
+    found = large.join(small, ["level", "cx", "cy"]).filter((F.col("a") != F.col("b")) & once & meet & (F.col("cx") == at("x0")) & (F.col("cy") == at("y0")))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def containing(points: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
-    """Rows (pid, id): the shapes that each point is inside of."""
-    p = points.withColumns({"_cx": _cell(F.col("px"), size), "_cy": _cell(F.col("py"), size)})
-    return p.join(shape_cells(shapes, size), ["_cx", "_cy"]).filter(g.inside(F.col("px"), F.col("py"), "rings")).select("pid", "id")
+def shape_index(shapes: DataFrame) -> DataFrame:
+    """Rows (id, level, cx, cy, base, edges): the cells of each shape (id, rings). Cells inside have no edges and base = true; cells on the border have
+    the edges that cross them, and in base whether the middle of their left side is inside (even-odd rule over all rings).
 
+    Cells are as wide as the shape divided by the root of its number of edges, so that a border cell has a few of them, however many the shape has. In
+    a row of cells, the middle line's crossings are counted from the left: that gives base, and which stretches between border cells are inside.
+    """
+    flat = F.flatten("rings")
+    box = g.bbox(flat)
+    extent = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    edge = segments(shapes.withColumn("level", grids.level_of(extent / F.sqrt(F.greatest(F.size(flat), F.lit(1))))), "level")
+    w, level = grids.width(F.col("level")), F.col("level")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    whole = F.struct("x1", "y1", "x2", "y2")
+    touched = F.transform(grids.line_cells(x1, y1, x2, y2, level), lambda c: F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), whole.alias("edge"), F.lit(0).alias("n")))
+    strips = F.sequence(grids.cell_of(F.least(y1, y2), level), grids.cell_of(F.greatest(y1, y2), level))
+    middle = lambda cy: (cy + 0.5) * w
+    crossed = F.filter(strips, lambda cy: (y1 > middle(cy)) != (y2 > middle(cy)))
+    # a crossing on a cell's left side is one left of its middle
+    at = lambda cy: (F.ceil(((x2 - x1) * (middle(cy) - y1) / (y2 - y1) + x1) / w) - 1).cast("long")
+    crossings = F.transform(crossed, lambda cy: F.struct(at(cy).alias("cx"), cy.alias("cy"), F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("edge"), F.lit(1).alias("n")))
+    cells = edge.select("id", "level", F.inline(F.concat(touched, crossings))).groupBy("id", "level", "cx", "cy").agg(F.collect_list("edge").alias("edges"), F.sum("n").alias("n"))
+    row = Window.partitionBy("id", "level", "cy").orderBy("cx")
+    placed = cells.withColumn("_upto", F.sum("n").over(row.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.lead("cx").over(row))
+    border = F.struct(F.col("cx").alias("cx"), ((F.col("_upto") - F.col("n")) % 2 == 1).alias("base"), F.col("edges").alias("edges"))
+    between = F.when((F.col("_upto") % 2 == 1) & (F.col("_next") > F.col("cx") + 1), F.sequence(F.col("cx") + 1, F.col("_next") - 1))
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    inner = F.transform(F.coalesce(between, F.array().cast("array<bigint>")), lambda cx: F.struct(cx.alias("cx"), F.lit(True).alias("base"), none.alias("edges")))
+    out = placed.select("id", "level", "cy", F.inline(F.concat(F.array(border), inner)))
+    return out.filter(F.col("base") | (F.size("edges") > 0)).select("id", "level", "cx", "cy", "base", "edges")
+
+
+def containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Rows (pid, id): the shapes that each point (pid, px, py) is inside of, by the even-odd rule over all rings.
+
+    A point meets the shapes of its cell in each level of the index (:func:`shape_index`). Inside cells need no test; in a border cell the point is on the
+    side of the middle of the cell's left side, changed by every edge between: those that cross the way left to that side, then along it.
+    """
+    index = materialize(shape_index(shapes))
+    level = F.col("level")
+    placed = grids.at_levels(points, grids.levels_in(index)).withColumns({"cx": grids.cell_of(F.col("px"), level), "cy": grids.cell_of(F.col("py"), level)})
+    met = placed.join(index, ["level", "cx", "cy"])
+    px, py, left, middle = F.col("px"), F.col("py"), F.col("cx") * grids.width(level), (F.col("cy") + 0.5) * grids.width(level)
+
+    def level_crossed(e: Column) -> Column:
+        x = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return ((e["y1"] > py) != (e["y2"] > py)) & (x > left) & (x <= px)
 
-def overlaps(shapes: DataFrame, size: float, least_inside: int = 2, least_crossings: int = 2) -> DataFrame:
-    """Rows (a, b, inside, crossings, label): pairs with more than so many corners inside the other, or proper crossings of their borders."""
-    ring = lambda c: g.open_ring(F.get(F.col(c), F.lit(0)))
-    named = lambda k: shapes.select(F.col("id").alias(k), F.col("rings").alias(f"r{k}"))
-    pairs = candidate_pairs(shapes, size).join(named("a"), "a").join(named("b"), "b")
-    n_in = lambda p, q: F.size(F.filter(ring(p), lambda v: g.inside(v["x"], v["y"], q)))
+    def side_crossed(e: Column) -> Column:
+        y = (e["y2"] - e["y1"]) * (left - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
+        return ((e["x1"] > left) != (e["x2"] > left)) & ((y > py) != (y > middle))
 
-    def segments(c: str) -> Column:
-        r = ring(c)
-        return F.transform(r, lambda p, i: F.struct(p.alias("p"), F.get(r, F.when(i + 1 < F.size(r), i + 1).otherwise(F.lit(0))).alias("q")))
+    count = lambda f: F.size(F.filter("edges", lambda e: F.coalesce(f(e), F.lit(False))))
+    return met.filter((F.col("base").cast("int") + count(level_crossed) + count(side_crossed)) % 2 == 1).select("pid", "id")
 
-    side = lambda p, q, v: (q["x"] - p["x"]) * (v["y"] - p["y"]) - (q["y"] - p["y"]) * (v["x"] - p["x"])
 
-    def cross(s: Column, t: Column) -> Column:
-        return (side(s["p"], s["q"], t["p"]) * side(s["p"], s["q"], t["q"]) < 0) & (side(t["p"], t["q"], s["p"]) * side(t["p"], t["q"], s["q"]) < 0)
+def crossings(shapes: DataFrame) -> DataFrame:
+    """Rows (a, b, crossings), a < b: how often edges of two shapes properly cross; touching is no crossing.
 
-    crossings = F.aggregate(segments("ra"), F.lit(0), lambda n, s: n + F.size(F.filter(segments("rb"), lambda t: cross(s, t))))
-    counted = pairs.select("a", "b", (n_in("ra", "rb") + n_in("rb", "ra")).alias("inside"), crossings.alias("crossings"))
-    label = F.when((F.col("inside") > least_inside) & (F.col("crossings") > least_crossings), "both").when(F.col("inside") > least_inside, "corners").otherwise("crossings")
-    return counted.filter((F.col("inside") > least_inside) | (F.col("crossings") > least_crossings)).withColumn("label", label)
+    Each edge lies in the few cells of its own level that it passes, and looks for longer ones in those of larger levels; two edges are counted in the
+    cell that holds the point where they cross, so once.
+    """
+    edge = materialize(segments(shapes).withColumn("own", grids.level_of(F.greatest(F.abs(F.col("x1") - F.col("x2")), F.abs(F.col("y1") - F.col("y2"))))))
+    names = ["x1", "y1", "x2", "y2"]
+    cells = F.inline(grids.line_cells(*[F.col(c) for c in names], F.col("level")))
+    long = edge.withColumn("level", F.col("own")).select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names], "level", cells)
+    short = grids.at_levels(edge, grids.levels_in(edge, "own"), F.col("own")).select(F.col("id").alias("b"), *names, "own", "level", cells)
+    p, q = (F.col("a_x1"), F.col("a_y1")), (F.col("a_x2"), F.col("a_y2"))
+    r, s = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
+    side = lambda p, q, v: (q[0] - p[0]) * (v[1] - p[1]) - (q[1] - p[1]) * (v[0] - p[0])
+    proper = (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
+    t = side(p, q, r) / (side(p, q, r) - side(p, q, s))
+    here = (grids.cell_of(r[0] + t * (s[0] - r[0]), F.col("level")) == F.col("cx")) & (grids.cell_of(r[1] + t * (s[1] - r[1]), F.col("level")) == F.col("cy"))
+    once = (F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))
+    found = long.join(short, ["level", "cx", "cy"]).filter((F.col("a") != F.col("b")) & once & proper).filter(here)
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("crossings"))
+
+
+def overlaps(shapes: DataFrame, least_inside: int = 2, least_crossings: int = 2) -> DataFrame:
+    """Rows (a, b, inside_a, inside_b, crossings, label), a < b: pairs where more than so many vertices of the one are inside the other, or more than so
+    many proper crossings of their borders. Holes count: their vertices and edges are vertices and edges, and what lies in one is outside.
+
+    Vertices are points that meet the clipped cells of shapes, edges meet edges in cells; nothing is held against a whole ring.
+    """
+    corner = shapes.select("id", F.explode("rings").alias("_r")).select("id", F.explode(g.open_ring(F.col("_r"))).alias("_p"))
+    points = corner.select(F.col("id").alias("pid"), F.col("_p.x").alias("px"), F.col("_p.y").alias("py"))
+    inside = containing(points, shapes).filter("pid <> id")
+    first = F.col("pid") < F.col("id")
+    counted = inside.groupBy(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).agg(F.count_if(first).alias("inside_a"), F.count_if(~first).alias("inside_b"), F.lit(0).cast("long").alias("crossings"))
+    crossed = crossings(shapes).select("a", "b", F.lit(0).cast("long").alias("inside_a"), F.lit(0).cast("long").alias("inside_b"), "crossings")
+    both = counted.unionByName(crossed).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("inside_a", "inside_b", "crossings")])
+    corners, cross = F.greatest("inside_a", "inside_b") > least_inside, F.col("crossings") > least_crossings
+    return both.filter(corners | cross).withColumn("label", F.when(corners & cross, "both").when(corners, "corners").otherwise("crossings"))

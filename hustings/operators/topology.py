@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from hustings.functions import geometry as g
+from hustings.operators import grids
 from hustings.operators.graph import connected_components
 from hustings.shared import materialize
 
@@ -48,8 +49,8 @@ def adjacency_by_edge(edge: DataFrame) -> DataFrame:
 def adjacency_by_overlap(shapes: DataFrame, size: float = 1.0, digits: int = 3, tolerance: float = 1e-9) -> DataFrame:
     """Rows (src, dst, length): also edges that lie on one line and overlap in part.
 
-    Edges meet where they lie on the same line (direction and offset, rounded) and, along it, in the same stretches of ``size``; a pair of
-    edges is measured in the first stretch that both have.
+    Edges meet where they lie on the same line (direction and offset, rounded) and, along it, in the same stretch of one of the levels there are, each
+    twice as long as the next, from ``size`` on; a pair of edges is measured in the first stretch that both have.
     """
     opened = shapes.select("id", F.posexplode("rings").alias("ring", "r")).select("id", g.open_ring(F.col("r")).alias("r"))
     n = F.size("r")
@@ -62,13 +63,17 @@ def adjacency_by_overlap(shapes: DataFrame, size: float = 1.0, digits: int = 3,
     ux, uy = turn * dx / F.col("l"), turn * dy / F.col("l")
     lined = each.select("id", F.round(ux, digits).alias("ux"), F.round(uy, digits).alias("uy"), F.round(ux * F.col("e.p.y") - uy * F.col("e.p.x"), digits).alias("off"), (ux * F.col("e.p.x") + uy * F.col("e.p.y")).alias("s"), (ux * F.col("e.q.x") + uy * F.col("e.q.y")).alias("t"))
     lined = lined.select("id", "ux", "uy", "off", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
-    cell = lambda c: F.floor(F.col(c) / size).cast("long")
-    spread = lined.withColumn("cell", F.explode(F.sequence(cell("s"), cell("t"))))
-    a = spread.select(F.col("id").alias("src"), "ux", "uy", "off", "cell", F.col("s").alias("s1"), F.col("t").alias("t1"))
-    b = spread.select(F.col("id").alias("dst"), "ux", "uy", "off", "cell", F.col("s").alias("s2"), F.col("t").alias("t2"))
-    both = a.join(b, ["ux", "uy", "off", "cell"]).filter((F.col("src") < F.col("dst")) & (F.col("cell") == F.greatest(cell("s1"), cell("s2"))))
+    # an edge lies in the stretches of the level of its own length, two at most, and looks for longer edges in those of larger levels
+    sized = lined.withColumn("own", grids.level_of(F.col("t") - F.col("s"), size))
+    stretch = lambda c: grids.cell_of(F.col(c), F.col("level"))
+    in_cells = lambda df: df.withColumn("cell", F.explode(F.sequence(stretch("s"), stretch("t"))))
+    line = ["ux", "uy", "off", "level", "cell"]
+    a = in_cells(sized.withColumn("level", F.col("own"))).select(F.col("id").alias("a"), *line, F.col("s").alias("s1"), F.col("t").alias("t1"))
+    b = in_cells(grids.at_levels(sized, grids.levels_in(sized, "own"), F.col("own"))).select(F.col("id").alias("b"), "own", *line, F.col("s").alias("s2"), F.col("t").alias("t2"))
+    once = (F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))
+    both = a.join(b, line).filter((F.col("a") != F.col("b")) & once & (F.col("cell") == F.greatest(stretch("s1"), stretch("s2"))))
     common = F.least("t1", "t2") - F.greatest("s1", "s2")
-    return both.withColumn("c", common).filter(F.col("c") > tolerance).groupBy("src", "dst").agg(F.sum("c").alias("length"))
+    return both.withColumn("c", common).filter(F.col("c") > tolerance).groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("c").alias("length"))
 
 
 def vertex_sharing(vertex: DataFrame) -> DataFrame:
@@ -165,26 +170,62 @@ def redundant_vertices(shapes: DataFrame, digits: int = 3) -> DataFrame:
     return counted.filter("n = 2 and line").select("key")
 
 
-def insertions(vertex: DataFrame, edge_points: DataFrame, size: float) -> DataFrame:
-    """Rows (id, pos, key, t): vertices of other shapes that lie inside a shape's edge, in order along it.
+#: Cells along an edge, at most twice as many.
+ALONG = 32
 
-    ``edge_points`` has (id, pos, x1, y1, x2, y2). Edges go to the grid cells of their bounding box, vertices to theirs.
+
+def insertions(vertex: DataFrame, edge_points: DataFrame, size: float, tolerance: float = 1e-9) -> DataFrame:
+    """Rows (id, pos, key, t): vertices of other shapes that lie on a shape's edge, up to ``tolerance`` beside it, in order along it; its ends are left out.
+
+    ``edge_points`` has (id, pos, x1, y1, x2, y2). An edge goes to the cells that it crosses, not to those of its box; cells are ``size`` wide, or as
+    much wider for a long edge that there are some ALONG of them. A vertex looks in its cell of each size that there is.
+    """
+    x1, y1, x2, y2, x, y = (F.col(c) for c in ("x1", "y1", "x2", "y2", "x", "y"))
+    dx, dy = x2 - x1, y2 - y1
+    sized = edge_points.filter((dx != 0) | (dy != 0)).withColumn("level", grids.level_of(F.greatest(F.abs(dx), F.abs(dy)) / ALONG, max(size, 4 * tolerance)))
+    e = sized.select("id", "pos", "x1", "y1", "x2", "y2", "level", F.inline(grids.line_cells(x1, y1, x2, y2, F.col("level"))))
+    points = grids.at_levels(vertex.select(F.col("id").alias("other"), "key", "x", "y"), grids.levels_in(sized))
+    # a vertex beside an edge may lie in the next cell
+    near = lambda v: F.array_distinct(F.array(grids.cell_of(v - tolerance, F.col("level")), grids.cell_of(v + tolerance, F.col("level"))))
+    v = points.withColumn("cx", F.explode(near(x))).withColumn("cy", F.explode(near(y)))
+    length = F.sqrt(dx * dx + dy * dy)
+    t = ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)
+    on = F.abs((x - x1) * dy - (y - y1) * dx) <= tolerance * length
+    inside = (t * length > tolerance) & ((1 - t) * length > tolerance)
+    return e.join(v, ["level", "cx", "cy"]).filter(F.col("id") != F.col("other")).withColumn("t", t).filter(on & inside).select("id", "pos", "key", F.round("t", 9).alias("t")).distinct()
+
+
+def snap(vertex: DataFrame, tolerance: float) -> DataFrame:
+    """Vertices (x, y) moved to the mean of their group: columns sx, sy. A group has a leader, and all others in it are nearer than ``tolerance`` to that
+    one in x and in y; vertices that are all near each other, and to no other, are one group, wherever cell borders lie.
+
+    Leaders are found in rounds: of the open places in a grid cell as wide as the tolerance, all near each other, the one with the least hash is a
+    candidate, and a candidate before all candidates near it leads. Open places near a leader follow the nearest one, and the rest go on. A place
+    meets one candidate or leader in each of nine cells, so a crowd costs no pairs.
     """
-    cell = lambda c: F.floor(c / size).cast("long")
-    span = lambda a, b: F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b)))
-    e = edge_points.withColumn("_cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("_cy", F.explode(span(F.col("y1"), F.col("y2"))))
-    v = vertex.select(F.col("id").alias("other"), "key", "x", "y", cell(F.col("x")).alias("_cx"), cell(F.col("y")).alias("_cy"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)
-    on = F.abs((F.col("x") - F.col("x1")) * dy - (F.col("y") - F.col("y1")) * dx) < 1e-9
-    return e.join(v, ["_cx", "_cy"]).filter(F.col("id") != F.col("other")).withColumn("t", t).filter(on & (F.col("t") > 1e-9) & (F.col("t") < 1 - 1e-9)).select("id", "pos", "key", F.round("t", 9).alias("t")).distinct()
-
-
-def snap(vertex: DataFrame, size: float) -> DataFrame:
-    """Vertices moved to the mean of those in their grid cell: columns sx, sy."""
-    keyed = vertex.withColumn("_k", F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")))
-    means = keyed.groupBy("_k").agg(F.avg("x").alias("sx"), F.avg("y").alias("sy"))
-    return keyed.join(means, "_k").drop("_k")
+    places = vertex.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("order", F.struct(F.xxhash64("x", "y").alias("h"), F.col("x").alias("x"), F.col("y").alias("y")))
+    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    open_ = materialize(places.filter("x is not null and y is not null").withColumns({"_cx": cell("x"), "_cy": cell("y")}))
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)]).cast("array<bigint>")
+    shifted = lambda c: F.explode(F.transform(steps, lambda d: F.col(c) + d)).alias(c)
+    spread = lambda df: df.select(F.col("order").alias("o"), shifted("_cx"), "_cy").select("o", "_cx", shifted("_cy"))
+    near = (F.abs(F.col("x") - F.col("o.x")) < tolerance) & (F.abs(F.col("y") - F.col("o.y")) < tolerance)
+    led = None
+    while not open_.isEmpty():
+        best = open_.groupBy("_cx", "_cy").agg(F.min("order").alias("order")).withColumns({"x": F.col("order.x"), "y": F.col("order.y")})
+        best = materialize(best)
+        behind = best.join(spread(best), ["_cx", "_cy"]).filter(near & (F.col("o") < F.col("order"))).select("order").distinct()
+        leaders = materialize(best.join(behind, "order", "left_anti"))
+        far = (F.col("x") - F.col("o.x")) ** 2 + (F.col("y") - F.col("o.y")) ** 2
+        found = open_.join(spread(leaders), ["_cx", "_cy"]).filter(near).groupBy("x", "y", "n").agg(F.min(F.struct(far.alias("d"), F.col("o")))["o"].alias("leader"))
+        found = materialize(found)
+        led = found if led is None else led.unionByName(found)
+        open_ = materialize(open_.join(found.select("x", "y"), ["x", "y"], "left_anti"))
+    if led is None:
+        return vertex.withColumns({"sx": F.col("x").cast("double"), "sy": F.col("y").cast("double")})
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"s{c}")
+    moved = led.join(led.groupBy("leader").agg(mean("x"), mean("y")), "leader").select("x", "y", "sx", "sy")
+    return vertex.join(moved, ["x", "y"], "left").select(*vertex.columns, "sx", "sy")
 
 
 def dissolve(shapes: DataFrame, keys: list[str], sums: list[str], firsts: list[str], order: str) -> DataFrame:

@@ -6,9 +6,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from hustings.functions import geometry as g
+from hustings.functions import numbers as num
 from hustings.operators import graph, spatial, topology
 from hustings.plans.adapters import brick, cell, plot, point, sql, table
 from hustings.plans.registry import query
+from hustings.shared import materialize
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,32 +121,52 @@ def adjacency_by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s044_candidate_pairs", sql("SELECT a.id AS a, b.id AS b FROM cell a JOIN cell b ON a.id < b.id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1", "cell"))
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.candidate_pairs(shapes(spark, sf_dir), 2.0)
+    return spatial.candidate_pairs(shapes(spark, sf_dir))
+
+
+_BORDER = 200
 
 
 def _overlaps_sql() -> str:
-    """Rectangles: corners of each inside the other, and sides of each that cross sides of the other."""
-    inside = " + ".join(f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {q}.y0 < {p}.{y} AND {p}.{y} < {q}.y1)::INT" for p, q in (("a", "b"), ("b", "a")) for x in ("x0", "x1") for y in ("y0", "y1"))
+    """Rectangles: corners of each inside the other, and sides of each that cross sides of the other; the outline is such a rectangle, with
+    vertices along its sides that make no difference, and a hole that is a rectangle too."""
+    hit = lambda p, q, x, y: f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {q}.y0 < {p}.{y} AND {p}.{y} < {q}.y1)::INT"
+    inside = lambda p, q: " + ".join(hit(p, q, x, y) for x in ("x0", "x1") for y in ("y0", "y1"))
     cross = " + ".join(f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {p}.y0 < {q}.{y} AND {q}.{y} < {p}.y1)::INT" for p, q in (("a", "b"), ("b", "a")) for x in ("x0", "x1") for y in ("y0", "y1"))
     return sql(
-        f"SELECT a, b, inside, crossings, CASE WHEN inside > 2 AND crossings > 2 THEN 'both' WHEN inside > 2 THEN 'corners' ELSE 'crossings' END AS label FROM (SELECT a.id AS a, b.id AS b, {inside} AS inside, {cross} AS crossings FROM box a JOIN box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) WHERE inside > 2 OR crossings > 2",
+        f"SELECT a, b, inside_a, inside_b, crossings, CASE WHEN greatest(inside_a, inside_b) > 2 AND crossings > 2 THEN 'both' WHEN greatest(inside_a, inside_b) > 2 THEN 'corners' ELSE 'crossings' END AS label FROM ("
+        f"SELECT a.id AS a, b.id AS b, {inside('a', 'b')} AS inside_a, {inside('b', 'a')} AS inside_b, {cross} AS crossings FROM box a JOIN box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 "
+        f"UNION ALL SELECT -1, id, 0, {inside('box', 'o')} - ({inside('box', 'h')}), 0 FROM box, (SELECT -3.0 AS x0, -3.0 AS y0, 30.0 AS x1, 4003.0 AS y1) o, (SELECT 4.4 AS x0, -2.6 AS y0, 9.6 AS x1, 4000.4 AS y1) h"
+        ") WHERE greatest(inside_a, inside_b) > 2 OR crossings > 2",
         "cell",
-        more="box AS (SELECT id, i - s AS x0, i + 1 + 5 * s AS x1, j - s AS y0, j + 1 + 5 * s AS y1 FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 0.25::DOUBLE ELSE 0 END AS s FROM cell))",
+        more="box AS (SELECT id, i - s AS x0, i + 1 + 5 * s AS x1, j - s AS y0, j + 1 + 5 * s AS y1 FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 0.25::DOUBLE ELSE 0 END AS s FROM cell WHERE NOT (id % 7 = 0 AND i BETWEEN 1 AND 10)))",
     )
 
 
 @query("s045_overlaps", _overlaps_sql())
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh square is moved and made larger, so that it covers corners of others."""
-    grown = F.transform(F.col("rings"), lambda r: F.transform(r, lambda p: g.point(p["x"] * 1.0 + F.when(F.col("id") % 7 == 0, (p["x"] - F.col("id") % 20) * 1.5 - 0.25).otherwise(0.0), p["y"] + F.when(F.col("id") % 7 == 0, (p["y"] - F.floor(F.col("id") / 20)) * 1.5 - 0.25).otherwise(0.0))))
-    return spatial.overlaps(shapes(spark, sf_dir).select("id", grown.alias("rings")), 2.0)
+    """Every seventh square is moved and made larger, so that it covers corners of others; those of ten columns are left out, since the hole of an outline
+    around the layer, with hundreds of vertices, ends there."""
+    k = F.col("id")
+    grown = F.transform(F.col("rings"), lambda r: F.transform(r, lambda p: g.point(p["x"] * 1.0 + F.when(k % 7 == 0, (p["x"] - k % 20) * 1.5 - 0.25).otherwise(0.0), p["y"] + F.when(k % 7 == 0, (p["y"] - F.floor(k / 20)) * 1.5 - 0.25).otherwise(0.0))))
+    rows = shapes(spark, sf_dir).filter(~((k % 7 == 0) & (k % 20).between(1, 10))).select("id", grown.alias("rings"))
+    steps = F.sequence(F.lit(0), F.lit(_BORDER - 1))
+
+    def rectangle(x0: float, y0: float, x1: float, y1: float):
+        corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        side = lambda a, b: F.transform(steps, lambda i: g.point(F.lit(a[0]) + (b[0] - a[0]) * i / _BORDER, F.lit(a[1]) + (b[1] - a[1]) * i / _BORDER))
+        return F.concat(*[side(a, b) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)])
+
+    hole = F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in ((4.4, -2.6), (4.4, 4000.4), (9.6, 4000.4), (9.6, -2.6))])
+    outline = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit(-1).cast("long").alias("id"), F.array(rectangle(-3.0, -3.0, 30.0, 4003.0), hole).alias("rings"))
+    return spatial.overlaps(rows.select(k.cast("long").alias("id"), "rings").unionByName(outline))
 
 
 @query("s046_point_in_shape", sql("SELECT c_custkey AS pid, p_partkey AS id FROM customer JOIN part ON p_partkey = (c_custkey * 3 % 20) + 20 * (c_custkey * 7 % 60)"))
 def point_in_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     points = table(spark, sf_dir, "customer").select(k.alias("pid"), (k * 3 % 20 + 0.5).alias("px"), (k * 7 % 60 + 0.25).alias("py"))
-    return spatial.containing(points, shapes(spark, sf_dir), 2.0)
+    return spatial.containing(points, shapes(spark, sf_dir))
 
 
 @query("s047_nearest_vertex", sql("SELECT id, rid, d AS distance FROM (SELECT id, rid, round(d, 6) AS d, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS n FROM (SELECT id, rid, sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry)) AS d FROM point, act) WHERE d <= 5) WHERE n = 1", "point", more=_ACTIVITY))
@@ -206,14 +228,41 @@ def fallback_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fallback_type(rows, priors(spark, sf_dir)[1], "key", _TYPES)
 
 
-@query("s153_blended_labels")
+_MOVES = f"moves AS (SELECT from_type, type, w / sum(w) OVER (PARTITION BY from_type) AS p FROM (SELECT f AS from_type, t AS type, CAST((i * 3 + o * 2) % 7 + 1 AS DOUBLE) AS w FROM (SELECT unnest({_TYPES}) AS f, unnest([1, 2, 3, 4]) AS i), (SELECT unnest({_TYPES}) AS t, unnest([1, 2, 3, 4]) AS o)))"
+#: One sweep: colours by the longest falling path of drawn numbers, then a step for each colour that sees the steps before.
+_SWEEP = f"""{_ADJ}, {_PRIOR}, {_MOVES},
+ good AS (SELECT ok.key, ok.type, CASE WHEN sum(p) OVER w > 0 THEN p / sum(p) OVER w ELSE 1 / count(*) OVER w END AS p FROM ok JOIN prior ON ok.key = prior.key AND ok.type = prior.type WINDOW w AS (PARTITION BY ok.key)),
+ both_ AS (SELECT src, dst FROM adj UNION ALL SELECT dst, src FROM adj),
+ drawn_ AS (SELECT id, {num.keyed_uniform_sql('labels', 'id')} AS u, {num.keyed_uniform_sql('labels-0', 'id')} AS draw FROM cell),
+ fall AS (SELECT b.src, b.dst FROM both_ b JOIN drawn_ s ON s.id = b.src JOIN drawn_ d ON d.id = b.dst WHERE s.u < d.u OR s.u = d.u AND s.id < d.id),
+ walk AS (SELECT id, 0 AS depth FROM cell UNION SELECT fall.dst, depth + 1 FROM walk JOIN fall ON fall.src = walk.id),
+ colour AS (SELECT id, max(depth) AS c FROM walk GROUP BY id),
+ state AS (
+  SELECT 0 AS step, id, 'C' || (id % 4 + 1) AS type FROM cell
+  UNION ALL
+  SELECT s.step + 1, s.id, coalesce(n.type, s.type) FROM state s LEFT JOIN (
+    SELECT id, min(type) AS type FROM (
+      SELECT id, type, draw, sum(w) OVER (PARTITION BY id ORDER BY type) AS upto, sum(w) OVER (PARTITION BY id) AS whole FROM (
+        SELECT c.id, g.type, d.draw, CASE WHEN k.degree IS NULL THEN g.p ELSE 0.5 * g.p + 0.5 * coalesce(q.q, 0) / k.degree END AS w
+        FROM colour c JOIN good g ON g.key = c.id JOIN drawn_ d ON d.id = c.id
+        LEFT JOIN (SELECT b.src AS id, count(*) AS degree FROM both_ b GROUP BY b.src) k ON k.id = c.id
+        LEFT JOIN (SELECT b.src AS id, m.type, sum(m.p) AS q FROM both_ b JOIN state t ON t.id = b.dst JOIN moves m ON m.from_type = t.type GROUP BY b.src, m.type) q ON q.id = c.id AND q.type = g.type
+        WHERE c.c = (SELECT max(step) FROM state) AND c.id % 10 <> 0))
+    WHERE whole > 0 AND draw * whole < upto GROUP BY id) n ON n.id = s.id
+  WHERE s.step <= (SELECT max(c) FROM colour))"""
+
+
+@query("s153_blended_labels", "WITH RECURSIVE " + sql("SELECT id, id AS key, type, id % 10 = 0 AS frozen FROM state WHERE step = (SELECT max(c) + 1 FROM colour)", "corner", more=_SWEEP)[5:])
 def blended_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of squares after three rounds; every tenth is an anchor and keeps its own."""
+    """Labels of squares after a sweep, by what each neighbour's type leads to; every tenth is an anchor and keeps its own."""
     p, valid = priors(spark, sf_dir)
-    good = graph.valid_priors(p, valid, ["key"])
+    good = materialize(graph.valid_priors(p, valid, ["key"]))
     nodes = cell(spark, sf_dir).select("id", F.col("id").alias("key"), F.concat(F.lit("C"), (F.col("id") % 4 + 1).cast("string")).alias("type"), (F.col("id") % 10 == 0).alias("frozen"))
-    moves = good.filter("key = 1").select(F.explode(F.array(*[F.lit(t) for t in _TYPES])).alias("from_type"), "type", "p")
-    return graph.blend_labels(nodes, adjacent(spark, sf_dir), good, moves)
+    weights = [(f, t, float((i * 3 + o * 2) % 7 + 1)) for i, f in enumerate(_TYPES, 1) for o, t in enumerate(_TYPES, 1)]
+    sums = {f: sum(w for g_, _, w in weights if g_ == f) for f in _TYPES}
+    # the transition table of four types, four by four
+    moves = table(spark, sf_dir, "region").limit(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("from_type"), F.lit(t).alias("type"), F.lit(w / sums[f]).alias("p")) for f, t, w in weights])))
+    return graph.blend_labels(nodes, materialize(adjacent(spark, sf_dir)), good, moves, sweeps=1)
 
 
 @query("s156_candidate_losses", sql("SELECT c AS candidate, round(avg(((s - t) / t) * ((s - t) / t)), 6) AS loss FROM (SELECT c, grp, sum(c * sqrt(area) * area) AS s, count(*) * 1000.0 AS t FROM (SELECT p_brand AS grp, CAST(p_size AS DOUBLE) AS area FROM part), (SELECT unnest([1.0, 2.0, 3.0, 5.0]::DOUBLE[]) AS c) GROUP BY c, grp) GROUP BY c"))
@@ -321,11 +370,15 @@ def insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.insertions(v, long_side, 4.0)
 
 
-@query("s167_snap", sql("SELECT CAST(p_partkey AS BIGINT) AS id, round(avg(vx) OVER w, 6) AS sx, round(avg(vy) OVER w, 6) AS sy FROM (SELECT p_partkey, p_partkey % 20 + (p_partkey % 3) * 0.01::DOUBLE + 0.1 AS vx, p_partkey // 20 % 10 + 0.1::DOUBLE AS vy FROM part) WINDOW w AS (PARTITION BY floor(vx / 0.5), floor(vy / 0.5))"))
+_NEAR = 0.05
+
+
+@query("s167_snap", f"WITH v AS (SELECT p_partkey AS id, p_partkey % 20 + (p_partkey % 3 - 1) * 0.01::DOUBLE + CASE WHEN p_partkey % 7 = 0 THEN 0.3 ELSE 0 END AS x, p_partkey // 20 % 10 + (p_partkey % 5 - 2) * 0.008::DOUBLE AS y FROM part) SELECT CAST(a.id AS BIGINT) AS id, round(avg(b.x), 6) AS sx, round(avg(b.y), 6) AS sy FROM v a JOIN v b ON abs(a.x - b.x) < {_NEAR} AND abs(a.y - b.y) < {_NEAR} GROUP BY a.id")
 def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices lie around whole numbers, on both sides of the borders of any cells that begin there; some are apart from them."""
     k = F.col("p_partkey")
-    v = table(spark, sf_dir, "part").select(k.alias("id"), (k % 20 + (k % 3) * 0.01 + 0.1).alias("x"), (F.floor(k / 20) % 10 + 0.1).alias("y"))
-    return topology.snap(v, 0.5).select("id", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
+    v = table(spark, sf_dir, "part").select(k.cast("long").alias("id"), (k % 20 + (k % 3 - 1) * 0.01 + F.when(k % 7 == 0, 0.3).otherwise(0.0)).alias("x"), (F.floor(k / 20) % 10 + (k % 5 - 2) * 0.008).alias("y"))
+    return topology.snap(v, _NEAR).select("id", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
 
 
 @query("s168_dissolve", sql("SELECT grp, CAST(count(*) AS DOUBLE) AS area, CAST(sum(id) AS BIGINT) AS population, min(id) AS first_id, round(avg(i + 0.5), 6) AS cx, round(avg(j + 0.5), 6) AS cy FROM cell GROUP BY grp", "cell"))

@@ -24,7 +24,7 @@ def deltas(rows: DataFrame, row_id: str, keys: list[str], measures: dict[str, Co
     """A streaming table (keys, measures) of what each batch adds to the sums of ``measures`` and takes back from them.
 
     A row is known by ``row_id``; each time that it comes it is a new version, and only its last one counts: the one with the latest ``event_time``,
-    of equals the one with the greater measures. What the version before had given is taken back, also from other keys if it has moved. A version
+    of equals the one with the greater measures, then keys. What the version before had given is taken back, also from other keys if it has moved. A version
     that comes twice, or after a later one, changes nothing; versions older than the watermark, which is the latest event of the batches before
     less the ``delay``, are left out. Rows without an id or a time are left out; a null measure counts 0.
 
@@ -40,7 +40,7 @@ def deltas(rows: DataFrame, row_id: str, keys: list[str], measures: dict[str, Co
         new = pd.concat(frames).drop(columns=["_bucket", "_when"])
         new = new[new["_at"] > state.getCurrentWatermarkMs() * 1000]
         old = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else new.iloc[:0]
-        last = pd.concat([old, new], ignore_index=True).sort_values(["_id", "_at", *names]).drop_duplicates("_id", keep="last")
+        last = pd.concat([old, new], ignore_index=True).sort_values(["_id", "_at", *names, *keys]).drop_duplicates("_id", keep="last")
         table = pa.Table.from_pandas(last, preserve_index=False)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as writer:
