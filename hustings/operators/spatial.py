@@ -41,10 +41,62 @@ def tier_counts(points: DataFrame, activities: DataFrame, radii: list[float], un
     return pairs.withColumn("_t", tier).groupBy("id", "kind").agg(*[F.count_if(F.col("_t") == i).alias(f"tier_{i}") for i in range(len(radii))])
 
 
+def _box(x: str, y: str) -> list[Column]:
+    return [F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1")]
+
+
+#: Levels that a step down the tree of cells takes: four children a side.
+STEP = 2
+#: Groups with so many centres or fewer are compared with all of them at once.
+FEW = 16
+
+
+def _tree(points: DataFrame, keys: list[str], x: str, y: str) -> list[DataFrame]:
+    """Tables (keys, cx, cy, x0, y0, x1, y1) of the cells of ``points`` and the boxes of what is in them, from one to four cells for each ``keys`` down to
+    cells with a single place each; cells of one table are STEP levels above those of the next. The number of tables is the logarithm of how
+    much wider the points lie apart than the nearest two."""
+    boxes = points.groupBy(*keys).agg(*_box(x, y))
+    top = boxes.select(*keys, grids.level_of(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("_top"))
+    placed = materialize(points.select(*keys, x, y).distinct().join(top, keys))
+    tables = []
+    while True:
+        level = F.col("_top") - STEP * len(tables)
+        cells = placed.groupBy(*keys, "_top", grids.cell_of(F.col(x), level).alias("cx"), grids.cell_of(F.col(y), level).alias("cy")).agg(*_box(x, y))
+        tables.append(materialize(cells.drop("_top")))
+        if tables[-1].filter((F.col("x0") < F.col("x1")) | (F.col("y0") < F.col("y1"))).isEmpty():
+            return tables
+
+
+def _gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    return F.greatest(F.lit(0.0), b0 - a1, a0 - b1)
+
+
 def nearest_centre(points: DataFrame, centres: DataFrame, group: str) -> DataFrame:
-    """Each point with the distance to the nearest centre of its group; groups have few centres, which are broadcast when small."""
-    d = g.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
-    return points.join(centres, group).groupBy("id", group).agg(F.min(d).alias("distance"))
+    """Each point (id, group, x, y) with the distance to the nearest centre (group, cx, cy) of its group; points of groups without one are left out.
+
+    Groups with a few centres are compared with all. In larger ones a point goes down a tree of cells of the centres, and at each level keeps those
+    whose nearest corner is not farther than the farthest corner of another: a few cells, however many centres there are. Each level is a
+    join on the cell and partial minima by point. ``points`` should have distinct (id, group).
+    """
+    centres = materialize(centres.filter(F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col(group).isNotNull()).select(group, F.col("cx").alias("_x"), F.col("cy").alias("_y")).distinct())
+    sizes = centres.groupBy(group).agg((F.count(F.lit(1)) > FEW).alias("_many"))
+    marked = points.select("id", group, "x", "y").join(sizes, group)
+    d = g.distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
+    few = marked.filter(~F.col("_many")).join(centres, group).groupBy("id", group).agg(F.min(d).alias("distance"))
+    many = centres.join(sizes.filter("_many"), group)
+    if many.isEmpty():
+        return few
+    x, y = F.col("x"), F.col("y")
+    near = F.sqrt(_gap(x, x, F.col("x0"), F.col("x1")) ** 2 + _gap(y, y, F.col("y0"), F.col("y1")) ** 2)
+    far = F.sqrt(F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1"))) ** 2 + F.greatest(F.abs(y - F.col("y0")), F.abs(y - F.col("y1"))) ** 2)
+    front = marked.filter("_many").select("id", group, "x", "y")
+    for depth, table in enumerate(_tree(many, [group], "_x", "_y")):
+        cell = table.withColumns({"_px": F.shiftright("cx", STEP), "_py": F.shiftright("cy", STEP)})
+        met = front.join(cell, group if depth == 0 else [group, "_px", "_py"])
+        kept = met.groupBy("id", group, "x", "y").agg(F.min(far).alias("_best"), F.collect_list(F.struct(near.alias("d"), F.col("cx").alias("_px"), F.col("cy").alias("_py"))).alias("_cells"))
+        kept = kept.withColumn("_cells", F.filter("_cells", lambda c: c["d"] <= F.col("_best") * (1 + 1e-12)))
+        front = materialize(kept.select("id", group, "x", "y", "_best", F.inline("_cells"))).drop("d")
+    return few.unionByName(front.groupBy("id", group).agg(F.min("_best").alias("distance")))
 
 
 def nearest_within(points: DataFrame, vertices: DataFrame, tolerance: float) -> DataFrame:
@@ -57,17 +109,44 @@ def dense_clusters(points: DataFrame, eps: float, group: str | None = None) -> D
     """Rows (id, cluster): density clusters with two points as the least: components of points up to ``eps`` apart. A lone point has none.
 
     The cluster is its smallest id. With a ``group``, only points of one group join. All points of a cell of eps / sqrt(2) are within eps of each
-    other, so they are one cluster from the start, and only points of different cells are held against each other.
+    other, so they are one cluster from the start. For two cells, one close pair is enough: their parts are held against each other by
+    their boxes, and two parts that are near enough in all of their points link the cells, two that are too far apart in all are done with;
+    only what is left is cut finer. So a crowd in neighbouring cells is settled by a few boxes, and no points are paired.
     """
-    small = eps / 2**0.5 * (1 - 1e-9)
     keys = [*([group] if group else []), "_i", "_j"]
-    placed = points.withColumns({"_i": _cell(F.col("x"), small), "_j": _cell(F.col("y"), small)})
-    cells = placed.groupBy(*keys).agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    named = materialize(placed.join(cells, keys).select("id", "x", "y", *([group] if group else []), "_first", "_n"))
-    other = named.select(F.col("_first").alias("_other"), F.col("x").alias("rx"), F.col("y").alias("ry"), *([F.col(group).alias("_g")] if group else []))
-    pairs = within(named, other, eps).filter(F.col("_first") < F.col("_other"))
-    pairs = pairs.filter(F.col(group) == F.col("_g")) if group else pairs
-    found = connected_components(pairs.select("_first", "_other").distinct(), "_first", "_other").withColumnRenamed("id", "_first")
+    small = eps / 2**0.5 * (1 - 1e-9)
+    placed = materialize(points.select("id", "x", "y", *([group] if group else [])).withColumns({"_i": _cell(F.col("x"), small), "_j": _cell(F.col("y"), small)}))
+    cells = materialize(placed.groupBy(*keys).agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n"), *_box("x", "y")))
+    names = ["x0", "y0", "x1", "y1"]
+    gap = [_gap(F.col(f"a.{c}0"), F.col(f"a.{c}1"), F.col(f"b.{c}0"), F.col(f"b.{c}1")) for c in "xy"]
+    span = [F.greatest(F.col(f"a.{c}1"), F.col(f"b.{c}1")) - F.least(F.col(f"a.{c}0"), F.col(f"b.{c}0")) for c in "xy"]
+    nearest, farthest = F.sqrt(gap[0] ** 2 + gap[1] ** 2), F.sqrt(span[0] ** 2 + span[1] ** 2)
+    # the pairs of cells up to two apart, each once
+    offsets = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
+    part = F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"), *names)
+    one = cells.select(*[k for k in keys if k not in ("_i", "_j")], F.col("_first").alias("p"), part.alias("a"), F.explode(offsets).alias("_o"), "_i", "_j")
+    one = one.withColumns({"_i": F.col("_i") + F.col("_o.i"), "_j": F.col("_j") + F.col("_o.j")}).drop("_o")
+    front = materialize(one.join(cells.select(*keys, F.col("_first").alias("q"), part.alias("b")), keys).select("p", "q", "a", "b").withColumns({"near": nearest, "far": farthest}).filter(F.col("near") <= eps))
+    named = placed.join(cells.select(*keys, "_first", "_n"), keys)
+    links, depth = None, 0
+    while True:
+        found = front.filter(F.col("far") <= eps).select("p", "q").distinct()
+        links = materialize(found if links is None else links.unionByName(found))
+        rest = materialize(front.filter(F.col("far") > eps).select("p", "q", "a", "b").join(links, ["p", "q"], "left_anti"))
+        if rest.isEmpty():
+            break
+        depth += 1
+        size = small / 2.0 ** (STEP * depth)
+        open_ = rest.select(F.explode(F.array("p", "q")).alias("_first")).distinct()
+        parts = named.join(open_, "_first").groupBy("_first", _cell(F.col("x"), size).alias("u"), _cell(F.col("y"), size).alias("v")).agg(*_box("x", "y"))
+        above = [F.col("_first")] if depth == 1 else [F.col("_first"), F.shiftright("u", STEP).alias("_u"), F.shiftright("v", STEP).alias("_v")]
+        parts = materialize(parts.select(*above, F.struct("u", "v", *names).alias("part")))
+        for side, cell in (("a", "p"), ("b", "q")):
+            below = parts.withColumnRenamed("_first", cell)
+            rest = rest.join(below, cell) if depth == 1 else rest.withColumns({"_u": F.col(f"{side}.u"), "_v": F.col(f"{side}.v")}).join(below, [cell, "_u", "_v"])
+            rest = rest.withColumn(side, F.col("part")).select("p", "q", "a", "b")
+        front = materialize(rest.withColumns({"near": nearest, "far": farthest}).filter(F.col("near") <= eps))
+    found = connected_components(links, "p", "q").withColumnRenamed("id", "_first")
     alone = F.when(F.col("_n") > 1, F.col("_first"))
     return named.join(found, "_first", "left").select("id", F.coalesce("component", alone).alias("cluster"))
 

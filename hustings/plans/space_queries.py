@@ -95,6 +95,14 @@ def nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_centre(point(spark, sf_dir), centres, "grp").select("id", "grp", F.round("distance", 6).alias("distance"))
 
 
+@query("s041_nearest_of_many", sql("SELECT id, grp, round(min(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))), 6) AS distance FROM point JOIN (SELECT p_partkey % 25 AS grp, CAST(p_partkey * 7 % 97 AS DOUBLE) + p_size / 64.0 AS cx, CAST(p_partkey * 11 % 89 AS DOUBLE) AS cy FROM part) USING (grp) GROUP BY id, grp", "point"))
+def nearest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are the centres of their group, a twenty-fifth of them in each."""
+    k = F.col("p_partkey")
+    centres = table(spark, sf_dir, "part").select((k % 25).alias("grp"), ((k * 7 % 97).cast("double") + F.col("p_size") / 64.0).alias("cx"), (k * 11 % 89).cast("double").alias("cy"))
+    return spatial.nearest_centre(point(spark, sf_dir), centres, "grp").select("id", "grp", F.round("distance", 6).alias("distance"))
+
+
 _ADJ = "adj AS (SELECT a.id AS src, b.id AS dst, count(*) AS shared FROM corner a JOIN corner b ON a.x = b.x AND a.y = b.y AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 

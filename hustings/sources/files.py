@@ -3,26 +3,103 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import types as T
 
 from hustings.operators.checks import require_columns
+from hustings.shared import materialize
 
 
-#: One record of a text: cells outside of quotes up to a newline, quoted parts whole; an open quote runs to the end.
-_RECORD = r'(?:[^"\n]++|"[^"]*+(?:"|\z))*+\n|(?:[^"\n]++|"[^"]*+(?:"|\z))++\z'
+def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Rows (record): the records of text files but for the first of each file, cut where a line ends outside of quotes; an open quote runs to the end.
+
+    Spark deals a file's lines in splits, which it names in the lines' metadata. First the quotes of each split are counted, and summed along the file:
+    that tells which splits begin inside of quotes. Then each split cuts its own lines into records, in order. What began in a split before, or goes
+    on in the next, is put together at the end: two pieces a split, so a file of any size is many tasks, and a record may be longer than a split.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    split = F.xxhash64("file", "start")
+    if multi_line:
+        counts = lines.groupBy("file", "start").agg(F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("n"))
+        before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+        found = sorted((h, bool(odd)) for h, odd in counts.select(split, F.coalesce(F.sum("n").over(before), F.lit(0)) % 2 == 1).collect())
+        known = spark.sparkContext.broadcast((np.array([h for h, _ in found], dtype=np.int64), np.array([odd for _, odd in found], dtype=bool)))
+
+    def inside(h: int) -> bool:
+        if not multi_line:
+            return False
+        keys, odd = known.value
+        at = int(np.searchsorted(keys, h))
+        if at == len(keys) or keys[at] != h:
+            raise ValueError("the file was split otherwise when its quotes were counted; read it again")
+        return bool(odd[at])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("record", pa.string()), ("file", pa.string()), ("start", pa.int64()), ("kind", pa.string())])
+        now, open_, pending, head, first, place = None, False, [], False, False, None
+
+        def close(last: bool) -> tuple | None:
+            """The record that is pending, as a row; none for a file's first."""
+            row = None
+            if pending or head:
+                kind = "head" if head else "tail" if last and open_ else None
+                if first and kind is None:
+                    return None
+                row = ("\n".join(pending), *(place if kind else (None, None)), "first" if first and kind == "tail" else kind)
+            return row
+
+        for batch in batches:
+            rows = []
+            values, splits = batch.column(0), batch.column(3).to_numpy(zero_copy_only=False)
+            quotes = pc.count_substring(values, '"').to_numpy(zero_copy_only=False) % 2 if multi_line else np.zeros(len(values), dtype=np.int64)
+            for i, (text, h) in enumerate(zip(values.to_pylist(), splits.tolist(), strict=True)):
+                if h != now:
+                    rows.append(close(True))
+                    now, place = h, (batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+                    open_ = head = inside(h)
+                    pending, first, fresh = [], place[1] == 0, True
+                    if open_:
+                        first = fresh = False
+                else:
+                    fresh = False
+                if not open_ and not fresh:
+                    rows.append(close(False))
+                    pending, head, first = [], False, False
+                pending.append(text)
+                open_ ^= bool(quotes[i])
+            rows = [r for r in rows if r is not None]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        row = close(True)
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, schema.types, strict=True)], schema=schema)
+
+    made = lines.withColumn("split", split).mapInArrow(cut, "record string, file string, start long, kind string")
+    if not multi_line:
+        return made.select("record")
+    # pieces of records that lie in several splits: a tail, then the heads of the splits that follow
+    made = materialize(made)
+    order = Window.partitionBy("file").orderBy("start", F.col("kind") != "head")
+    pieces = made.filter("kind is not null").withColumn("n", F.sum((F.col("kind") != "head").cast("int")).over(order))
+    whole = pieces.groupBy("file", "n").agg(F.sort_array(F.collect_list(F.struct("start", "record"))).alias("p"), F.bool_or(F.col("kind") == "first").alias("first"))
+    joined = whole.filter(~F.col("first")).select(F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record"))
+    return made.filter("kind is null").select("record").unionByName(joined)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, required: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """A table with a header: quoted cells may hold commas, newlines and doubled quotes; lines end in LF or CRLF; a BOM is skipped.
 
     Without a schema all columns are text. Short rows are filled with nulls, empty cells are null, and a blank row stays as a row of nulls (only
-    the end of the last line makes no row). Missing ``required`` columns are an error.
+    the end of the last line makes no row). Missing ``required`` columns are an error. The first record of each file is its header.
 
-    With ``multi_line`` a file is read by one task, since a newline may stand in a cell. Without it, where no cell holds a newline, a large file is
-    split among tasks; there a row that repeats the header's text counts as a header.
+    Large files are split among tasks. With ``multi_line`` their quotes are counted first, to know which splits begin inside of a cell, so files are read
+    twice, and records written once; without it every line is a record.
     """
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
     names = [c.lstrip("\ufeff").rstrip("\r").strip() for c in spark.read.options(**options).option("header", True).option("multiLine", multi_line).csv(path).columns]
@@ -30,15 +107,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if multi_line:
-        found = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(_RECORD), F.lit(0))).alias("n", "record")).filter("n > 0").select("record")
-    else:
-        lines = spark.read.text(path)
-        head = lines.first()
-        found = lines.select(F.col("value").alias("record")).filter(F.col("record") != (head[0] if head else ""))
     record = F.regexp_replace("record", "\r?\n?\\z", "")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    rows = found.select(F.from_csv(record, ddl, options).alias("r")).select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields])
+    rows = _records(spark, path, multi_line).select(F.from_csv(record, ddl, options).alias("r")).select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields])
     return require_columns(rows, required or [], path)
 
 

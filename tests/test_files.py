@@ -1,5 +1,9 @@
 """Text files with the quirks that exports have."""
 
+import csv
+import io
+import random
+
 import pytest
 
 from hustings.sources import files
@@ -68,3 +72,40 @@ def test_directory(spark, tmp_path):
     for n in ("x", "y"):
         (tmp_path / f"{n}.csv").write_text("id\n1\n2\n")
     assert {k: v.count() for k, v in files.read_directory(spark, str(tmp_path)).items()} == {"x": 2, "y": 2}
+
+
+@pytest.mark.parametrize("size", ["300b", "5k", "1m"])
+def test_one_file_of_many_splits(spark, tmp_path, size):
+    """Cells with newlines, commas and quotes, blank rows, a cell longer than several splits, a header cell with a newline, CRLF; the same rows whatever the splits."""
+    rng = random.Random(8)
+    rows = [["id", "no\nte", "more"]]
+    for i in range(400):
+        cell = rng.choice(["plain", 'a "quoted"\ntext', "\n\n", "x,y\r\nz", "", 'end"', "é \U0001f600\n" * rng.randint(1, 40)])
+        rows.append([str(i), cell, rng.choice(["", "last"])])
+    rows[200][1] = "long\n\"line\"\n" * 300
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\r\n").writerows(rows)
+    lines = out.getvalue()
+    half = lines.index("\r\n300,") + 2
+    (tmp_path / "one.csv").write_bytes((lines[:half] + "\n" + lines[half:]).encode())
+    (tmp_path / "two.csv").write_bytes(b'id,"no\nte",more\r\n1000,two,"open to\nthe end')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        df = files.read_csv(spark, str(tmp_path))
+        got = [(r[0], r[1], r[2]) for r in df.collect()]
+        if size == "300b":
+            assert spark.read.text(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(a, b or None, c or None) for a, b, c in rows[1:]] + [(None, None, None), ("1000", "two", "open to\nthe end")]
+    key = lambda r: str(r).replace("\\r", "")
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_a_row_like_the_header_stays(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\nx,y\n")
+    for multi_line in (True, False):
+        assert sorted(map(tuple, files.read_csv(spark, str(tmp_path), multi_line=multi_line).collect())) == [("1", "2"), ("x", "y")]

@@ -133,3 +133,50 @@ def test_colours_of_neighbours_differ(spark):
     colour = {x.id: x.colour for x in graph.colour_rounds(nodes, spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
     assert set(colour) == set(range(203)) and all(colour[a] != colour[b] for a, b in edges)
     assert colour[202] == 0 and graph.colour_rounds(nodes, spark.createDataFrame([], "src long, dst long")).filter("colour <> 0").count() == 0
+
+
+def test_nearest_of_many_centres(spark):
+    r = random.Random(7)
+    centres = [(g, r.gauss(0, 1) if g else r.uniform(-100, 100), r.gauss(0, 1)) for g in (0, 1) for _ in range(300)] + [(2, 5.0, 5.0)] * 40 + [(3, 1.0, 1.0), (3, 2.0, 2.0)] + [(4, None, 1.0)]
+    points = [(i, i % 6, r.uniform(-150, 150), r.choice([0.0, r.uniform(-90, 90)])) for i in range(600)]
+    out = spatial.nearest_centre(spark.createDataFrame(points, "id int, grp int, x double, y double"), spark.createDataFrame(centres, "grp int, cx double, cy double"), "grp")
+    want = {i: min(math.hypot(x - cx, y - cy) for g, cx, cy in centres if g == k and cx is not None) for i, k, x, y in points if k < 4}
+    got = {x.id: x.distance for x in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def clusters(points, eps):
+    parent = {i: i for i, *_ in points}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    lone = set(parent)
+    for k, (i, x, y) in enumerate(points):
+        for j, u, v in points[k + 1 :]:
+            if math.hypot(x - u, y - v) <= eps:
+                lone -= {i, j}
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: None if i in lone else find(i) for i in parent}
+
+
+def test_clusters_of_crowds_and_chains(spark):
+    r = random.Random(8)
+    points = [(i, r.gauss(0, 0.4), r.gauss(0, 0.4)) for i in range(700)] + [(1000 + i, 10 + i * 0.99, 3.0) for i in range(30)] + [(2000 + i, 10.0 + i * 1.01, -30.0) for i in range(10)]
+    points += [(3000 + i, r.uniform(-20, 20), r.uniform(-20, 20)) for i in range(150)] + [(4000 + i, 0.705 if i % 2 else 1.72, 50.0) for i in range(6)]
+    got = {x.id: x.cluster for x in spatial.dense_clusters(spark.createDataFrame(points, "id int, x double, y double"), 1.0).collect()}
+    assert got == clusters(points, 1.0)
+
+
+def test_two_crowds_in_neighbouring_cells_make_few_rows(spark, monkeypatch):
+    seen = []
+    kept = spatial.materialize
+    monkeypatch.setattr(spatial, "materialize", lambda df: seen.append(kept(df)) or seen[-1])
+    r = random.Random(9)
+    crowd = [(i, r.uniform(0, 0.7) + 0.72 * (i % 2), r.uniform(0, 0.7)) for i in range(20000)]
+    out = spatial.dense_clusters(spark.createDataFrame(crowd, "id int, x double, y double"), 1.0)
+    assert out.filter("cluster = 0").count() == 20000
+    assert sum(t.count() for t in seen if "p" in t.columns) < 2000
