@@ -33,7 +33,8 @@ def with_rates(
 ) -> DataFrame:
     """``base`` with the rate columns of its key, renamed by ``prefix``; optionally of the rows of one type.
 
-    ``on_missing``: "error" raises MissingRates where a key has no rate, as one small anti join tells before; "zero" gives 0.
+    ``on_missing``: "error" raises MissingRates where a key has no rate, as one small anti join tells before; "raise" looks in the join itself, and the
+    job that reads such a row fails; "zero" gives 0.
     """
     if type_column is not None and type_value is not None:
         rates = rates.filter(F.col(type_column) == type_value)
@@ -41,6 +42,10 @@ def with_rates(
     if on_missing == "error" and (lost := missing_keys(base, rates, on, keys).limit(20).collect()):
         raise MissingRates(f"no rate for {[r.asDict() for r in lost]}")
     slim = rates.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(v).alias(f"{prefix}{v}") for v in values])
+    if on_missing == "raise":
+        joined = base.join(slim.withColumn("_hit", F.lit(True)), [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(on)], "left")
+        lost = F.raise_error(F.concat(F.lit("no rate for "), F.to_json(F.struct(*on))))
+        return joined.select(*base.columns, *[F.when(F.col("_hit").isNull(), lost).otherwise(F.col(f"{prefix}{v}")).alias(f"{prefix}{v}") for v in values])
     joined = base.join(slim, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(on)], "left").drop(*[f"_k{i}" for i in range(len(keys))])
     if on_missing != "zero":
         return joined

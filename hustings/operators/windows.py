@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
@@ -110,21 +114,31 @@ def free_ids(used: DataFrame, group: str, number: str, wanted: DataFrame, count:
 def earliest_free_slot(rows: DataFrame, keys: list[str], order: str, ready: Column, duration: Column, slots: Column) -> DataFrame:
     """Rows (keys, order, slot, done): in order, each row takes the slot of its group that is free first (the first of equals), not before it is ready.
 
-    Times are seconds. A group is one array, so it must fit in a task: it stands for one place that counts, with a few slots.
+    Times are seconds. The slots of a group are the most that a row of it names. Rows come sorted by group and order, and a task holds one heap of slots
+    while they pass; so a group costs its rows times the logarithm of its slots, and is in no place as a whole.
     """
-    items = rows.select(*keys, F.struct(F.col(order).alias("o"), ready.cast("double").alias("r"), duration.cast("double").alias("d")).alias("x"), slots.cast("int").alias("s"))
-    groups = items.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("xs"), F.max("s").alias("s"))
-    none = F.array().cast("array<struct<o:bigint,slot:int,done:double>>")
-    start = F.struct(F.array_repeat(F.lit(0.0), F.col("s")).alias("free"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["free"], F.array_min(acc["free"])).cast("int") - 1
-        end = F.greatest(F.array_min(acc["free"]), x["r"]) + x["d"]
-        free = F.transform(acc["free"], lambda f, i: F.when(i == at, end).otherwise(f))
-        return F.struct(free.alias("free"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), at.alias("slot"), end.alias("done")))).alias("out"))
-
-    done = groups.select(*keys, F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("e"))
-    return done.select(*keys, F.col("e.o").alias(order), "e.slot", "e.done")
+    most = rows.groupBy(*keys).agg(F.max(slots).cast("int").alias("_s"))
+    items = rows.select(*keys, F.col(order), ready.cast("double").alias("_r"), duration.cast("double").alias("_d")).join(most, keys)
+    kinds = dict(rows.select(*keys, order).dtypes)
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heap = None, []
+        for batch in batches:
+            group = list(zip(*[batch.column(i).to_pylist() for i in range(n)], strict=True))
+            taken, done = [], []
+            for key, at, takes, s in zip(group, *[batch.column(n + i).to_pylist() for i in (1, 2, 3)], strict=True):
+                if key != now:
+                    now, heap = key, [(0.0, i) for i in range(s)]
+                free, slot = heap[0]
+                end = max(free, at) + takes
+                heapq.heapreplace(heap, (end, slot))
+                taken.append(slot)
+                done.append(end)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(taken, pa.int32()), pa.array(done, pa.float64())], names=[*keys, order, "slot", "done"])
+
+    ordered = items.select(*keys, order, "_r", "_d", "_s").repartition(*keys).sortWithinPartitions(*keys, order)
+    return ordered.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in (*keys, order)], "slot int, done double"]))
 
 
 def runs_by_region(rows: DataFrame, order: str, region: str, group: list[str]) -> DataFrame:

@@ -272,14 +272,47 @@ def residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark, sf_dir).withColumn("d", done).select("Area_ID", F.col("d")[0].alias("a"), F.col("d")[1].alias("b"), F.col("d")[2].alias("c"))
 
 
-@query("s142_vote_chain")
+_PEOPLE = ("S", "A1", "A2")
+
+
+def _chain_sql() -> str:
+    """The chain of draws, a table for each stage; the same keys give the same numbers."""
+    stage = ["base AS (SELECT Area_ID, " + ", ".join(f"c.{k} * 100 AS {k}, coalesce(r.{k}, 0) AS rate_{k}" for k in _PEOPLE) + " FROM cluster c LEFT JOIN rate r ON c.Sub_Region = r.Sub_Region)"]
+    electorate, turnout, votes = [], [], []
+    for k in _PEOPLE:
+        mean = f"({k} * rate_{k} / 100)"
+        draws = ", ".join(num.keyed_normal_sql("chain", mean, f"{mean} * 0.1", "Area_ID", f"'{k}'", str(i)) for i in range(1, 6))
+        electorate.append(f"floor(greatest(0, least((SELECT coalesce(list_filter(d, lambda x: {k} = 0 OR x / {k} BETWEEN 0.45 AND 0.975)[1], d[5]) FROM (SELECT [{draws}] AS d)), {k}))) AS electorate_{k}")
+        e = f"electorate_{k}"
+        drawn = num.keyed_normal_sql("chain-turnout", f"({e} * 0.6)", f"{e} * 0.06", "Area_ID", f"'{k}'")
+        turnout.append(f"floor(greatest(0, least({drawn}, {e}))) AS turnout_{k}")
+        valid = f"(turnout_{k} - spoilt_{k})"
+        three = [f"CAST(floor(greatest(0, least({num.keyed_normal_sql(f'chain-{s}', f'({valid} / 3)', f'{valid} * 0.05', 'Area_ID', f'{chr(39)}{k}{chr(39)}')}, {valid}))) AS BIGINT)" for s in ("L", "MR", "R")]
+        votes.append(f"list_sort([{', '.join(f'{{v: {v}, i: {i}}}' for i, v in enumerate(three))}]) AS o_{k}, CAST({valid} AS BIGINT) AS valid_{k}")
+    stage += [f"e_ AS (SELECT *, {', '.join(electorate)} FROM base)", f"t_ AS (SELECT *, {', '.join(turnout)} FROM e_)", f"s_ AS (SELECT *, {', '.join(f'floor(turnout_{k} * 0.01) AS spoilt_{k}' for k in _PEOPLE)} FROM t_)"]
+    stage += [f"v_ AS (SELECT *, {', '.join(votes)} FROM s_)", f"w_ AS (SELECT *, {', '.join(f'least(o_{k}[1].v, valid_{k}) AS p1_{k}, least(o_{k}[2].v, valid_{k} - least(o_{k}[1].v, valid_{k})) AS p2_{k}' for k in _PEOPLE)} FROM v_)"]
+    out = []
+    for k in _PEOPLE:
+        out += [f"CAST({c}_{k} AS BIGINT) AS {c}_{k}" for c in ("electorate", "turnout", "spoilt")]
+        out += [f"CASE {i} WHEN o_{k}[1].i THEN p1_{k} WHEN o_{k}[2].i THEN p2_{k} ELSE valid_{k} - p1_{k} - p2_{k} END AS votes_{k}_{s}" for i, s in enumerate(("L", "MR", "R"))]
+    return sql(f"SELECT Area_ID, {', '.join(out)} FROM w_", "cluster", "rate", more=", ".join(stage))
+
+
+@query("s142_vote_chain", _chain_sql())
 def vote_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """People to votes for three clusters of each area; rows hold the invariants, tested as such."""
-    out = sampling.vote_chain(cluster(spark, sf_dir).select("Area_ID", "Sub_Region", *[(F.col(c) * 100).alias(c) for c in ("S", "A1", "A2")]), "Area_ID", ["S", "A1", "A2"], rate(spark, sf_dir), ["Sub_Region"])
-    return out.select("Area_ID", *[c for k in ("S", "A1", "A2") for c in (f"electorate_{k}", f"turnout_{k}", f"spoilt_{k}", f"votes_{k}")])
+    """People to electorate, turnout, spoilt and three sides' votes, for three clusters of each area."""
+    out = sampling.vote_chain(cluster(spark, sf_dir).select("Area_ID", "Sub_Region", *[(F.col(c) * 100).alias(c) for c in _PEOPLE]), "Area_ID", list(_PEOPLE), rate(spark, sf_dir), ["Sub_Region"])
+    numbers = [F.col(f"{c}_{k}").cast("long").alias(f"{c}_{k}") for k in _PEOPLE for c in ("electorate", "turnout", "spoilt")]
+    return out.select("Area_ID", *numbers, *[F.col(f"votes_{k}")[i].alias(f"votes_{k}_{s}") for k in _PEOPLE for i, s in enumerate(("L", "MR", "R"))])
 
 
-@query("s143_referendum_builder")
+def _referendum_sql() -> str:
+    draw = lambda s: f"floor(greatest(0, least({num.keyed_normal_sql(s, '(turnout / 2)', 'turnout * 0.05', 'Area_ID')}, turnout - spoilt)))"
+    drawn = f"SELECT *, CAST({draw('yes')} AS BIGINT) AS y, CAST({draw('no')} AS BIGINT) AS n FROM (SELECT Area_ID, CAST(A1 * 50 AS BIGINT) AS turnout, CAST(floor(A1 / 2) AS BIGINT) AS spoilt FROM cluster)"
+    return sql(f"SELECT Area_ID, turnout, spoilt, CASE WHEN y >= n THEN turnout - n - spoilt ELSE y END AS yes, CASE WHEN y >= n THEN n ELSE turnout - y - spoilt END AS no FROM ({drawn})", "cluster")
+
+
+@query("s143_referendum_builder", _referendum_sql())
 def referendum_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yes and no of each area drawn around halves and reconciled to the turnout less the spoilt."""
     rows = cluster(spark, sf_dir).select("Area_ID", (F.col("A1") * 50).cast("long").alias("turnout"), F.floor(F.col("A1") / 2).alias("spoilt"))

@@ -336,7 +336,15 @@ def winner_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark, sf_dir).withColumn("r", r).select("Area_ID", F.col("r")[0]["side"].alias("winner"), F.col("r")[1]["side"].alias("second"), F.col("r")[2]["side"].alias("third"), (F.col("r")[0]["votes"] - F.col("r")[1]["votes"]).alias("margin"))
 
 
-@query("s086_earliest_free_slot")
+_SLOTS = """items AS (SELECT Ward, Result_ID, epoch(received_at)::DOUBLE AS r, ceil(Turnout * 1.8 / 7500 * 60 / 15) * 15 / 60 * 3600 AS d,
+   CASE WHEN count(*) OVER (PARTITION BY Ward) > 18 THEN 5 ELSE 2 END AS s, row_number() OVER (PARTITION BY Ward ORDER BY Result_ID) AS n FROM located),
+ walk AS (SELECT DISTINCT Ward, 0::BIGINT AS n, list_transform(range(s), lambda x: 0.0::DOUBLE) AS free, 0::BIGINT AS Result_ID, 0::INTEGER AS slot, 0.0::DOUBLE AS done FROM items
+   UNION ALL
+   SELECT Ward, n, list_transform(free, lambda f, j: CASE WHEN j = slot + 1 THEN done ELSE f END), Result_ID, slot, done FROM (
+     SELECT i.Ward, i.n, w.free, i.Result_ID, (list_position(w.free, list_min(w.free)) - 1)::INTEGER AS slot, greatest(list_min(w.free), i.r) + i.d AS done FROM walk w JOIN items i ON i.Ward = w.Ward AND i.n = w.n + 1))"""
+
+
+@query("s086_earliest_free_slot", "WITH RECURSIVE " + sql("SELECT Ward, Result_ID, slot, done FROM walk WHERE n > 0", "located", more=_SLOTS)[5:])
 def earliest_free_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wards count their results at two tables, large wards at five."""
     rows = result(spark, sf_dir).join(precinct(spark, sf_dir).select("Shape_ID", "Ward"), "Shape_ID")
@@ -390,10 +398,11 @@ def leader_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark, sf_dir).select("Area_ID", ordered[0]["s"].alias("first"), ordered[1]["s"].alias("next"))
 
 
-@query("s093_union_all", sql("SELECT Shape_ID, Population, NULL::DOUBLE AS Area FROM precinct WHERE Zone = 0 UNION ALL SELECT Shape_ID, NULL, Area FROM precinct WHERE Zone = 1", "precinct"))
+@query("s093_union_all", sql("SELECT Shape_ID, Population, NULL::DOUBLE AS Area FROM precinct WHERE Zone % 2 = 0 UNION ALL SELECT Shape_ID, NULL, Area FROM precinct WHERE Zone % 2 = 1", "precinct"))
 def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All precincts: those of even zones come with their population, the others with their area."""
     rows = precinct(spark, sf_dir)
-    return reshape.union_all([rows.filter("Zone = 0").select("Shape_ID", "Population"), rows.filter("Zone = 1").select("Shape_ID", "Area")])
+    return reshape.union_all([rows.filter("Zone % 2 = 0").select("Shape_ID", "Population"), rows.filter("Zone % 2 = 1").select("Shape_ID", "Area")])
 
 
 @query("s094_set_difference", sql("SELECT Shape_ID, 'only roster' AS part FROM (SELECT Shape_ID FROM precinct EXCEPT SELECT Shape_ID FROM result WHERE Spoil < 3) UNION ALL SELECT Shape_ID, 'both' FROM (SELECT Shape_ID FROM precinct INTERSECT SELECT Shape_ID FROM result WHERE Spoil < 3)", "precinct", "result"))
