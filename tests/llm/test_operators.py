@@ -270,8 +270,8 @@ def test_page_text_against_plain_reading(spark):
 
 def test_what_is_left_out():
     page = "<header>top</header><div class='side bar'>no</div><article><h1>T</h1><p>One <i>two</i><p>3 &amp; 4&nbsp;5<form><p>f</form><div id=comments><p>c</div><aside>a</aside><script>var t='<p>x</p>'</script></article><footer>f</footer>"
-    for wrapper, by in ((None, False), (html_extraction.infer_wrapper([page]), True)):
-        assert html_extraction.main_text(page, wrapper) == ("T\nOne two\n3 & 4 5", by)
+    for wrapper in (None, html_extraction.infer_wrapper([page])):
+        assert html_extraction.main_text(page, wrapper) == ("T\nOne two\n3 & 4 5", False)
     assert html_extraction.main_text("<div class='no-sidebar x'><p>kept</div><div class='x-sidebar'>gone</div>")[0] == "kept"
 
 
@@ -304,7 +304,7 @@ def test_two_templates_on_one_host(spark):
     df = spark.createDataFrame(rows, "page_id int, url string, html string")
     for parts in (1, 7):
         out = {r.page_id: r for r in html_extraction.extract_text(df.repartition(parts)).collect()}
-        assert all(r.by_wrapper for r in out.values())
+        assert {i for i, r in out.items() if r.by_wrapper} == {303, 304, 305, 306}
         assert [out[i].text for i in (0, 299, 300, 302)] == ["story 0", "story 299", "page 0", "page 2"]
         assert [out[303 + i].text for i in range(4)] == [f"Item {i}\n{'long ' * i}tale" for i in range(4)]
     # the same by host instead of broadcast
@@ -325,6 +325,46 @@ def test_constants_only_go_where_the_template_has_them():
     assert html_extraction.main_text(pages[0], html_extraction.infer_wrapper(pages[:2]))[0] == "Logo\nx one\nLogo\ntwo 1Contact"
 
 
+def test_depth_does_not_decide():
+    for depth in (3, 57, 58, 119, 120, 400):
+        pages = [f"<body><div>Site banner</div>{'<div>' * depth}<article><p>story {k}</p><div class=ad>buy</div></article>{'</div>' * depth}<div>Imprint</div>" for k in range(6)]
+        assert html_extraction.main_text(pages[0], html_extraction.infer_wrapper(pages)) == ("story 0", False)
+
+
+@pytest.mark.parametrize("name", ["skip-list", "menu-recipes", "ad-hoc-analysis", "social-history", "notice", "related-work", "header-file", "masthead-history", "side"])
+def test_articles_in_elements_with_doubtful_words(name):
+    pages = [f'<nav>menu</nav><article><h1>T {k}</h1><div class="{name}"><p>body text number {k} goes on here and on</p><p>and more</p></div><div class="ad">buy {k} now</div></article>' for k in range(6)]
+    for wrapper in (None, html_extraction.infer_wrapper(pages)):
+        assert html_extraction.main_text(pages[0], wrapper)[0] == "T 0\nbody text number 0 goes on here and on\nand more"
+    only = f'<article><div class="{name}"><p>all of it</p></div></article>'
+    assert html_extraction.main_text(only, html_extraction.infer_wrapper([only] * 6))[0] == "all of it"
+
+
+def test_the_wrapper_knows_what_a_page_alone_does_not():
+    """A box with the template's own text in articles; a short story beside a long advert; a teaser that is an article; pages without articles."""
+    boxed = [f"<article><h1>T {k}</h1><p>body {k}</p><div class=boxy>Subscribe to our letter</div></article>" for k in range(6)]
+    assert html_extraction.main_text(boxed[0])[0] == "T 0\nbody 0\nSubscribe to our letter"
+    assert html_extraction.main_text(boxed[0], html_extraction.infer_wrapper(boxed)) == ("T 0\nbody 0", True)
+    for few in (boxed[:4], [*boxed, "<article><h1>T</h1><p>body</p></article>"]):
+        assert html_extraction.main_text(boxed[0], html_extraction.infer_wrapper(few)) == ("T 0\nbody 0\nSubscribe to our letter", False)
+    short = [f"<article><p>{'words of the story ' * (40 if k else 1)}{k}</p><div class=promo>{'buy this now ' * 20}{k}</div></article>" for k in range(6)]
+    assert "buy" in html_extraction.main_text(short[0])[0]
+    assert html_extraction.main_text(short[0], html_extraction.infer_wrapper(short)) == ("words of the story 0", True)
+    teaser = "<article><p>story</p></article><div class=related><article>teaser</article></div>"
+    assert html_extraction.main_text(teaser, html_extraction.infer_wrapper([teaser])) == ("story", False)
+    copies = ["<article><h1>Same</h1><div>all pages are copies</div></article>"] * 8
+    assert html_extraction.main_text(copies[0], html_extraction.infer_wrapper(copies)) == ("Same\nall pages are copies", False)
+
+
+def test_stray_tags_cost_no_search():
+    import time
+
+    began = time.perf_counter()
+    html_extraction.Page("<span>" * 100_000 + "</b>" * 100_000)
+    html_extraction.Page("<p><table>" + "<h1>" * 50_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_wide_and_deep_pages_take_bounded_time():
     import time
 
