@@ -44,13 +44,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all that this process has written into the shared folder so far, and return how many folders that were.
+def written() -> int:
+    """How many folders this process has written so far and not released: a mark for :func:`release`."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete what this process has written into the shared folder since a mark, all by default, but for the last ``keep`` folders; return how many that were.
 
     Results that are still to be read depend on these tables: write or collect them first.
     """
     jvm, done = spark.sparkContext._jvm, 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return done
