@@ -15,6 +15,7 @@ from hustings.llm.line_dedup import dedup_lines
 from hustings.llm.mixing import mixing_stage
 from hustings.llm.packing import packing_stage
 from hustings.llm.quality import quality_stage
+from hustings.shared import release, written
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +37,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table. What a stage has written for itself, and its predecessor's rows, go once its own rows are written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = materialize(docs)
+            release(spark, mark, keep=1)
     return docs
