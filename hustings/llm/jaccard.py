@@ -177,6 +177,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     n - ceil(2t / (1 + t) n) + 1, of which one is common to any two sets that similar. Large groups of copies cost a few comparisons for each
     member, not one for each pair, because members of one group never meet; copies too far from the text to link with it have more changed, hence
     rare, tokens in front than their places leave room for. The result has no other columns of ``docs``.
+
+    An empty table gives an empty one; a very long text is one set, held whole where its shingles are made.
     """
     rows = materialize(describe(docs, count_cells(docs, text, width), id_column, text, width, percent))
     # equal sets have equal values in all but the id
@@ -282,6 +284,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     with nothing, so all of them stay, but rows alike in all columns with an id stay once.
 
     Where ids are not null and not repeated, they are the rows' keys. Otherwise each row is numbered, and written with its number before use.
+
+    An empty table gives an empty one.
     """
     inner, names = set_apart(docs)
     doc_id, text = names["doc_id"], names["text"]

@@ -34,6 +34,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_documents: int = 10, mi
     Only hashes are exploded and shuffled, and counted in part before the shuffle, so a line in every document costs one row a task. Documents
     meet the places of their dropped lines by 128 bits of hashes of the whole row, not by an id that might repeat; rows that are equal in all
     columns lose the same lines, so they may share it.
+
+    An empty table gives an empty one; a very long text is one row whose lines' hashes are exploded.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n", -1)

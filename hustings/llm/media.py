@@ -176,6 +176,8 @@ def read_index(data: bytes) -> dict:
     runs of movie fragments, which follow the tables' samples. Each track is read from its own boxes; one that lacks a table, or whose tables point
     outside of the bytes, is passed over. Bytes that are no container, or have no such track, give an index without samples. No table is taken
     to be longer than the box that holds it, so broken counts cost nothing.
+
+    Boxes nested deeper than DEPTH levels are not walked.
     """
     tracks: list[dict[bytes, tuple[int, int]]] = []
     fragments: list[tuple[int, list[tuple[bytes, int, int]]]] = []
@@ -231,7 +233,10 @@ def padded(text: str | None) -> bytes:
 
 
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``media``: each text as a container. Null is stored as empty; equal texts give equal bytes. No shuffle."""
+    """``docs`` with ``media``: each text as a container. Null is stored as empty; equal texts give equal bytes. No shuffle.
+
+    An empty table gives an empty one; columns with the names of results are replaced, others pass through.
+    """
     return _mapped(docs, text, [pa.field("media", pa.binary())], "media binary", lambda t: (write_media(padded(t)),))
 
 
@@ -239,6 +244,8 @@ def index_media(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with ``codec``, ``timescale``, ``duration``, ``n_samples`` and ``keyframes`` (sample, first byte, byte after the last) of each container.
 
     Only boxes and tables are read. Null, empty or broken containers give a null codec or no samples, never an error. No shuffle.
+
+    An empty table gives an empty one; columns with the names of results are replaced, others pass through.
     """
     key = pa.list_(pa.struct([("sample", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
     more = [pa.field("codec", pa.string()), pa.field("timescale", pa.int64()), pa.field("duration", pa.int64()), pa.field("n_samples", pa.int64()), pa.field("keyframes", key)]

@@ -84,6 +84,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Sources that the weights favour double at most, others shrink. A row without words has its source's rate like any other. Rows with a null
     source are a source; repeated rows are sampled one by one.
+
+    An empty table gives an empty one.
     """
     inner, names = set_apart(docs)
     mixed = mix_sources(inner, n_words(F.col(names["text"])), names["source"], (names["doc_id"],))

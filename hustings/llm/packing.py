@@ -166,5 +166,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows as pieces in sequences of 2048 tokens; a row that comes twice, by mixing, is packed twice. Null texts are one id each."""
+    """All rows as pieces in sequences of 2048 tokens; a row that comes twice, by mixing, is packed twice. Null texts are one id each.
+
+    An empty table gives no pieces.
+    """
     return pack_documents(docs)

@@ -127,6 +127,8 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
 
     ``kept`` does not depend on the order of ``rules``, ``failed`` does. Without ``measures`` a text costs only the rules up to its first failure. A null text is empty and fails too_few_words. Repeated rows are
     judged alike. Columns of these names in ``docs`` are replaced. No shuffle.
+
+    An empty table gives an empty one; a long text is read whole, rule by rule.
     """
     made = [*(MEASURES if measures else ()), "kept", "failed"]
     passed = [c for c in docs.columns if c not in made]
@@ -156,7 +158,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that fail no rule, as they are. Rows with a null text, or fewer than ten words, go; repeated rows are judged alike."""
+    """The rows that fail no rule, as they are. Rows with a null text, or fewer than ten words, go; repeated rows are judged alike.
+
+    An empty table gives an empty one.
+    """
     inner, names = set_apart(docs)
     return put_back(apply_rules(inner, order_rules(docs), names["text"]).filter("kept"), names)
 

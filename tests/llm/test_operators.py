@@ -801,3 +801,61 @@ def test_stage_keeps_rows_that_ids_do_not_tell_apart(spark):
     plain = docs.filter("doc_id >= 8 OR doc_id = 6")
     assert {r.doc_id for r in jaccard.jaccard_stage(spark, plain, SMALL).collect()} == {6, 8, 9}
     assert jaccard.jaccard_stage(spark, empty(spark), SMALL).count() == 0
+
+
+# values on awkward rows
+
+
+def texts_of(rows):
+    return collections.Counter((r.doc_id, r.text) for r in rows)
+
+
+def test_values_of_awkward_rows(spark):
+    """Null ids, sources and texts, repeated rows and a long text: every row is there once, and what it gets is what a plain reading gives."""
+    docs = awkward(spark)
+    rows = docs.collect()
+    words = lambda t: len((t or "").encode().split())
+
+    placed = sharding.shard_rows(docs, "doc_id", shards=5).collect()
+    assert texts_of(placed) == texts_of(rows)
+    by = collections.defaultdict(list)
+    for r in placed:
+        by[r.shard].append(r.slot)
+    assert set(by) <= set(range(5)) and max(map(len, by.values())) - len(rows) // 5 <= 1
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by.values())
+
+    mixed = mixing.mix_sources(docs, mixing.n_words(F.col("text"))).collect()
+    assert texts_of(mixed) == texts_of(rows)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.source] += words(r.text)
+    for r in mixed:
+        assert (r.size, r.source_size) == (words(r.text), sizes[r.source]) and 0 <= r.copies <= 2 and r.target <= 2 * r.source_size + 1e-9
+    assert abs(sum({r.source: r.target for r in mixed}.values()) - min(1.5, 2) * sum(sizes.values())) < 1e-6
+
+    pieces = packing.pack_documents(docs).collect()
+    per_text = collections.defaultdict(list)
+    for p in pieces:
+        per_text[p.doc_id].append(p.length)
+    assert [sorted(per_text[i]) for i in (0, 1)] == [[1], [1]] and len(per_text[4]) == 3 and set(per_text[4]) == {4}
+    bins = collections.defaultdict(list)
+    for p in pieces:
+        bins[p.sequence_id].append((p.offset, p.length))
+    for content in bins.values():
+        ends = 0
+        for offset, length in sorted(content):
+            assert offset == ends
+            ends += length
+        assert ends <= 2048
+
+    scored = language_model.score_documents(docs, F.col("doc_id") % 3 == 2).collect()
+    want = collections.Counter((r.doc_id, words(r.text) + 1, bool(r.doc_id is not None and r.doc_id % 3 == 2)) for r in rows)
+    assert collections.Counter((r.doc_id, r.n_tokens, bool(r.held_out)) for r in scored) == want
+    assert {r.train_tokens for r in scored} == {sum(words(r.text) + 1 for r in rows if r.doc_id is None or r.doc_id % 3 != 2)}
+    assert all(math.isfinite(r.score) and r.score < 0 for r in scored)
+
+    stored = media.store_texts(docs).collect()
+    assert texts_of(stored) == texts_of(rows)
+    for r in stored:
+        data = bytes(r.media)
+        assert b"".join(data[a:b] for a, b in media.read_index(data)["samples"]) == media.padded(r.text)
