@@ -104,11 +104,11 @@ def colour_rounds(nodes: DataFrame, edges: DataFrame, seed: str = "colours") ->
     open_, done, colour = materialize(order.select("id")), None, 0
     while not open_.isEmpty():
         behind = left.groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("pd") < F.col("ps")).alias("b")).filter("b")
-        first = materialize(open_.join(behind, "id", "left_anti"))
-        coloured = first.select("id", F.lit(colour).alias("colour"))
+        told = materialize(open_.join(behind, "id", "left").select("id", F.col("b").isNull().alias("first")))
+        first, open_ = told.filter("first").select("id"), told.filter("not first").select("id")
+        coloured = first.withColumn("colour", F.lit(colour))
         done = coloured if done is None else done.unionByName(coloured)
-        open_ = materialize(open_.join(first, "id", "left_anti"))
-        left = materialize(left.join(first.select(F.col("id").alias("src")), "src", "left_anti").join(first.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        left = materialize(left.join(first.withColumnRenamed("id", "src"), "src", "left_anti").join(first.withColumnRenamed("id", "dst"), "dst", "left_anti"))
         colour += 1
     return done if done is not None else open_.select("id", F.lit(0).alias("colour"))
 
