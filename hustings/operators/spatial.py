@@ -47,7 +47,7 @@ def _box(x: str, y: str) -> list[Column]:
 
 #: Levels that a step down the tree of cells takes: four children a side.
 STEP = 2
-#: Groups with so many centres or fewer are compared with all of them at once.
+#: So many centres of a group or edges of a shape are compared with at once, and so many pairs of points of two cells.
 FEW = 16
 
 
@@ -124,15 +124,21 @@ def dense_clusters(points: DataFrame, eps: float, group: str | None = None) -> D
     # the pairs of cells up to two apart, each once
     offsets = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
     part = F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"), *names)
-    one = cells.select(*[k for k in keys if k not in ("_i", "_j")], F.col("_first").alias("p"), part.alias("a"), F.explode(offsets).alias("_o"), "_i", "_j")
+    one = cells.select(*[k for k in keys if k not in ("_i", "_j")], F.col("_first").alias("p"), F.col("_n").alias("np"), part.alias("a"), F.explode(offsets).alias("_o"), "_i", "_j")
     one = one.withColumns({"_i": F.col("_i") + F.col("_o.i"), "_j": F.col("_j") + F.col("_o.j")}).drop("_o")
-    front = materialize(one.join(cells.select(*keys, F.col("_first").alias("q"), part.alias("b")), keys).select("p", "q", "a", "b").withColumns({"near": nearest, "far": farthest}).filter(F.col("near") <= eps))
+    front = materialize(one.join(cells.select(*keys, F.col("_first").alias("q"), F.col("_n").alias("nq"), part.alias("b")), keys).select("p", "q", "a", "b", (F.col("np") * F.col("nq") <= FEW).alias("few")).withColumns({"near": nearest, "far": farthest}).filter(F.col("near") <= eps))
     named = placed.join(cells.select(*keys, "_first", "_n"), keys)
     links, depth = None, 0
     while True:
         found = front.filter(F.col("far") <= eps).select("p", "q").distinct()
         links = materialize(found if links is None else links.unionByName(found))
-        rest = materialize(front.filter(F.col("far") > eps).select("p", "q", "a", "b").join(links, ["p", "q"], "left_anti"))
+        rest = front.filter(F.col("far") > eps)
+        if depth == 0:  # cells with a few points: these are compared at once
+            at = lambda side, cell: named.select(F.col("_first").alias(cell), F.struct("x", "y").alias(f"_{side}"))
+            close = g.distance(F.col("_a.x"), F.col("_a.y"), F.col("_b.x"), F.col("_b.y")) <= eps
+            met = rest.filter("few").select("p", "q").join(at("a", "p"), "p").join(at("b", "q"), "q").filter(close).select("p", "q").distinct()
+            links, rest = materialize(links.unionByName(met)), rest.filter("not few")
+        rest = materialize(rest.select("p", "q", "a", "b").join(links, ["p", "q"], "left_anti"))
         if rest.isEmpty():
             break
         depth += 1
@@ -188,13 +194,13 @@ def shape_index(shapes: DataFrame) -> DataFrame:
     """Rows (id, level, cx, cy, base, edges): the cells of each shape (id, rings). Cells inside have no edges and base = true; cells on the border have
     the edges that cross them, and in base whether the middle of their left side is inside (even-odd rule over all rings).
 
-    Cells are as wide as the shape divided by the root of its number of edges, so that a border cell has a few of them, however many the shape has. In
+    Cells are as wide as the shape divided by the root of its number of edges (as the shape where these are few), so that a border cell has a few of them, however many there are. In
     a row of cells, the middle line's crossings are counted from the left: that gives base, and which stretches between border cells are inside.
     """
     flat = F.flatten("rings")
     box = g.bbox(flat)
     extent = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
-    edge = segments(shapes.withColumn("level", grids.level_of(extent / F.sqrt(F.greatest(F.size(flat), F.lit(1))))), "level")
+    edge = segments(shapes.withColumn("level", grids.level_of(extent / F.when(F.size(flat) > FEW, F.sqrt(F.size(flat))).otherwise(1.0))), "level")
     w, level = grids.width(F.col("level")), F.col("level")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     whole = F.struct("x1", "y1", "x2", "y2")

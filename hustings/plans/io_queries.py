@@ -126,7 +126,8 @@ def live_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows come as received, counting, declared and corrected, some twice and some too late; the totals are the tally of each row's last version."""
     folder = new_folder(spark)
     rows = materialize(_versions(located(spark, sf_dir).select("Result_ID", "Constituency", "Electorate", "Turnout", "Spoil", *TRANSFERS, "received_at", "verified_at", "declared_at")).drop("received_at", "verified_at", "declared_at"))
-    roster = materialize(located(spark, sf_dir).groupBy("Constituency").agg(F.sum("Electorate").alias("all_electorate"), F.count(F.lit(1)).alias("n")))
+    # every row is received, and then in the seat where it belongs at first
+    roster = materialize(rows.filter("status = 'Verifying'").groupBy("Constituency").agg(F.sum("Electorate").alias("all_electorate"), F.count(F.lit(1)).alias("n")))
     late = F.col("Result_ID") % 10 == 1
     upto = "0001-01-01"
     for moment in (*_ARRIVALS, None):
