@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from hustings.operators.graph import connected_components
 
-from .common import documents, join_counted, materialize, put_back, set_apart, slices
+from .common import SHARE, documents, join_counted, materialize, put_back, set_apart, slices
 from .shingles import shingle_sets, stir
 
 #: Counting cells for shingles: what the driver collects and sends out is this many numbers, whatever the data.
@@ -23,6 +23,9 @@ CELL_BITS = 18
 HASHES, LEADERS, SKETCH, COMPARED = 3, 4, 32, 2
 #: Members of a group that a query tries before it meets all; parts in which a set's hashes are counted.
 TRIED, PARTS = 16, 512
+#: Bits of a set that go with each of its first tokens, in words of 64, and their columns.
+BIT_WORDS = 4
+BITS = [f"b{i}" for i in range(BIT_WORDS)]
 #: Up to so many ids a table of ids is sent to all executors (16 bytes each); a larger one is joined by shuffles.
 BROADCAST_IDS = 500_000
 
@@ -32,8 +35,9 @@ def _enough(common: Column, x: Column, y: Column, percent: int) -> Column:
     return (100 + percent) * common >= percent * (x + y)
 
 
-def count_cells(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """How often shingles fall into each cell (their hash's first bits), as places in ascending order: rare cells first."""
+def count_cells(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each cell (the first bits of shingles' hashes) in ascending order of how many shingles fall into it, rare cells first; and
+    the counts in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, dtype=np.int64)
@@ -49,13 +53,14 @@ def count_cells(docs: DataFrame, text: str, width: int) -> np.ndarray:
     rows = docs.select(text).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     places = np.empty(1 << CELL_BITS, dtype=np.uint64)
-    places[np.argsort(counts, kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint64)
-    return places
+    order = np.argsort(counts, kind="stable")
+    places[order] = np.arange(1 << CELL_BITS, dtype=np.uint64)
+    return places, counts[order]
 
 
 def describe(docs: DataFrame, places: np.ndarray, id_column: str, text: str, width: int, percent: int) -> DataFrame:
-    """Rows (id, n, fa, fb, m, sketch, typical, prefix): set size, fingerprint, min-hashes, least hashes, the mean place of the set's tokens, and
-    its first tokens, rarest first.
+    """Rows (id, n, fa, fb, m, sketch, typical, prefix, b0, b1, ...): set size, fingerprint, min-hashes, least hashes, the mean place of the set's
+    tokens, its first tokens, rarest first, and a bit for each of 64 * BIT_WORDS parts of all hashes: whether it has an odd number of the set's.
 
     The prefix is as long as it must be for any partner at ``percent`` or more to share one of its tokens. Of near copies of one text, the text
     itself has the greatest mean place: what a copy changed is rare.
@@ -91,6 +96,9 @@ def describe(docs: DataFrame, places: np.ndarray, id_column: str, text: str, wid
             offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
             np.cumsum(lengths, out=offsets[1:])
             tokens = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
+            part = np.repeat(np.arange(len(sizes)), sizes) * 64 * BIT_WORDS + (stirred >> np.uint64(32)).astype(np.int64) % (64 * BIT_WORDS)
+            odd = np.bincount(part, minlength=len(sizes) * 64 * BIT_WORDS).astype(np.uint8) & 1
+            bits = np.packbits(odd).view(np.int64).reshape(-1, BIT_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -101,12 +109,13 @@ def describe(docs: DataFrame, places: np.ndarray, id_column: str, text: str, wid
                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32), sketch.astype(np.uint32).view(np.int32)),
                     pa.array(typical),
                     pa.ListArray.from_arrays(offsets, tokens),
+                    *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(BIT_WORDS)],
                 ],
-                names=["id", "n", "fa", "fb", "m", "sketch", "typical", "prefix"],
+                names=["id", "n", "fa", "fb", "m", "sketch", "typical", "prefix", *BITS],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), text).mapInArrow(run, f"id {kind}, n bigint, fa bigint, fb bigint, m array<bigint>, sketch array<int>, typical bigint, prefix array<bigint>")
+    return docs.select(F.col(id_column).alias("id"), text).mapInArrow(run, f"id {kind}, n bigint, fa bigint, fb bigint, m array<bigint>, sketch array<int>, typical bigint, prefix array<bigint>, {', '.join(f'{b} bigint' for b in BITS)}")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
@@ -154,6 +163,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> Da
     return full.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b", *more)
 
 
+def meeting_groups(tokens: DataFrame, percent: int, limit: int | None = None) -> DataFrame:
+    """Rows (ga, gb), ga < gb, pairs of groups that meet at a token of the matrix; a pair may come more than once.
+
+    ``tokens`` has rows (id, n, g, i, token, bits) of first tokens; a class without a group (``g`` is null) is its own row of the matrix, a group
+    has one row for each token, the extremes of its members. With ``limit`` a token with more rows than that is dealt to several tasks, of
+    ``limit`` rows each, which all get the other side's rows of that token.
+
+    Bits: a part with an odd number of hashes in one set and an even one in the other has a hash that only one of them has, so there are no fewer
+    of these than bits that differ.
+    """
+    rest, indexed = F.col("n") - F.col("i") - 1, F.col("i") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    small = [F.min(F.when(indexed, F.col("n"))).alias("least"), F.max(F.when(indexed, F.col("n"))).alias("most"), F.max(F.when(indexed, rest)).alias("rest")]
+    large = [F.min("n").alias("x_least"), F.max("n").alias("x_most"), F.max(rest).alias("x_rest")]
+    extremes = ["x_least", "x_most", "x_rest", "least", "most", "rest"]
+    alone = tokens.filter("g is null").select("token", F.col("id").alias("g"), "n", "i", *BITS)
+    several = tokens.filter("g is not null").groupBy("token", "g").agg(*large, *small).select("token", "g", F.struct(*extremes).alias("members"))
+    matrix = alone.unionByName(several, allowMissingColumns=True)
+
+    def side(m: str) -> DataFrame:
+        return matrix.select("token", *[F.col(c).alias(f"{m}_{c}") for c in ("g", "n", "i", *BITS, "members")])
+
+    def of(m: str, name: str) -> Column:
+        """An extreme of a group's members, or of a class that is alone."""
+        n, i = F.col(f"{m}_n"), F.col(f"{m}_i")
+        value = n - i - 1 if name.endswith("rest") else n
+        own = value if name.startswith("x_") else F.when(i <= n - F.ceil(2 * percent * n / (100 + percent)), value)
+        return F.when(n.isNotNull(), own).otherwise(F.col(f"{m}_members.{name}"))
+
+    def meets(p: str, q: str) -> Column:
+        """A set of group p can be the larger of a pair, one of group q the smaller."""
+        x = F.greatest(of(p, "x_least"), of(q, "least"))  # the least sizes that can match: of the larger set, then of the smaller
+        y = F.greatest(of(q, "least"), F.ceil(percent * x / 100))
+        return (of(q, "least") <= of(p, "x_most")) & (100 * of(q, "most") >= percent * of(p, "x_least")) & _enough(1 + F.least(of(p, "x_rest"), of(q, "rest")), x, y, percent)
+
+    differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
+    near = F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n")), F.lit(True))
+    left, right, keys = side("a"), side("b"), ["token"]  # both sides have the same columns, so that one exchange serves both
+    if limit is not None:
+        hot = materialize(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("token", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+        left = left.join(F.broadcast(hot), "token", "left").withColumn("part", F.pmod(F.xxhash64("a_g"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        right = right.join(F.broadcast(hot), "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        keys = ["token", "part"]
+    return left.join(right, keys).filter((F.col("a_g") < F.col("b_g")) & near & (meets("a", "b") | meets("b", "a"))).select(F.col("a_g").alias("ga"), F.col("b_g").alias("gb"))
+
+
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """Rows (id, n_shingles, component_id), one for each row of ``docs``: the components of the graph of documents at ``percent`` or more.
 
@@ -168,7 +222,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
        own.
     3. Token-group matrix: for each token the groups that have it in the union of their members' first tokens, with the members' sizes. Two
        groups meet where they share such a token and the sizes and places leave room for enough overlap. Tokens come rarest first, by counts in
-       a fixed number of cells over all documents, so tokens of common passages seldom serve.
+       a fixed number of cells over all documents, so tokens of common passages seldom serve. Of two classes that are alone in their groups the
+       bits must leave room too: documents put together from common passages share tokens, but differ in more bits than similar ones could.
     4. Of two groups that meet, each member of the smaller is a query against the other. If that has several members, the query's whole set is
        counted against the union of their whole sets: only where that bound is enough is the group opened. The pairs with its members are
        verified exactly, first with a few of them, then with all if none of the few links; the links are added to those of step 2.
@@ -180,7 +235,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
     An empty table gives an empty one; a very long text is one set, held whole where its shingles are made.
     """
-    rows = materialize(describe(docs, count_cells(docs, text, width), id_column, text, width, percent))
+    places, counts = count_cells(docs, text, width)
+    rows = materialize(describe(docs, places, id_column, text, width, percent))
     # equal sets have equal values in all but the id
     classes = materialize(rows.filter("n > 0").groupBy("fa", "fb", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("sketch").alias("sketch"), F.first("typical").alias("typical"), F.count(F.lit(1)).alias("copies")).filter("id is not null"))
 
@@ -207,27 +263,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     member = classes.select("id", "n", "fa", "fb").join(groups, "id", "left").select("id", "n", "fa", "fb", F.col("component").alias("g"))
     member = materialize(member)
     grouped = member.select("id", "n", F.coalesce("g", "id").alias("g"))
-    tokens = rows.select("id", "n", "fa", "fb", "prefix").join(member, ["id", "n", "fa", "fb"]).select("id", "n", "g", F.posexplode("prefix").alias("i", "token"))
-    rest, indexed = F.col("n") - F.col("i") - 1, F.col("i") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
-    small = [F.when(indexed, c).alias(a) for a, c in (("least", F.col("n")), ("most", F.col("n")), ("rest", rest))]
-    large = [c.alias(a) for a, c in (("x_least", F.col("n")), ("x_most", F.col("n")), ("x_rest", rest))]
-    # a class that is alone in its group is its own row of the matrix; only groups of several need sums
-    alone = tokens.filter("g is null").select("token", F.col("id").alias("g"), *large, *small)
-    sums = [F.min("x_least").alias("x_least"), F.max("x_most").alias("x_most"), F.max("x_rest").alias("x_rest"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("rest").alias("rest")]
-    several = tokens.filter("g is not null").select("token", "g", *large, *small).groupBy("token", "g").agg(*sums)
-    matrix = alone.unionByName(several)
-    columns = ["x_least", "x_most", "x_rest", "least", "most", "rest"]
-    left, right = (matrix.select("token", F.col("g").alias(f"g{m}"), *[F.col(c).alias(f"{m}_{c}") for c in columns]) for m in "ab")
-
-    def meets(p: str, q: str) -> Column:
-        """A set of group p can be the larger of a pair, one of group q the smaller."""
-        c = lambda m, name: F.col(f"{m}_{name}")
-        x = F.greatest(c(p, "x_least"), c(q, "least"))  # the least sizes that can match: of the larger set, then of the smaller
-        y = F.greatest(c(q, "least"), F.ceil(percent * x / 100))
-        return (c(q, "least") <= c(p, "x_most")) & (100 * c(q, "most") >= percent * c(p, "x_least")) & _enough(1 + F.least(c(p, "x_rest"), c(q, "rest")), x, y, percent)
-
-    # both sides have the same columns, so that one exchange serves both
-    pairs = materialize(left.join(right, "token").filter((F.col("ga") < F.col("gb")) & (meets("a", "b") | meets("b", "a"))).select("ga", "gb").distinct())
+    tokens = rows.select("id", "n", "fa", "fb", "prefix", *BITS).join(member, ["id", "n", "fa", "fb"]).select("id", "n", "g", *BITS, F.posexplode("prefix").alias("i", "token"))
+    first_tokens = rows.agg(F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).first()[0] or 0
+    often = int(np.searchsorted(counts, max(1, first_tokens // SHARE), side="right"))  # a token with more than its share has a place from here on
+    frequent = F.shiftrightunsigned("token", 64 - CELL_BITS) >= often
+    pairs = materialize(meeting_groups(tokens.filter(~frequent), percent).unionByName(meeting_groups(tokens.filter(frequent), percent, max(1, first_tokens // SHARE))).distinct())
 
     met_groups = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
     sizes = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))

@@ -771,6 +771,34 @@ def test_copies_of_one_text_group_around_it(spark):
     assert sum(met) < 12 * len(docs)
 
 
+def test_documents_of_common_passages_hardly_meet(spark, monkeypatch):
+    """Texts put together from few passages share first tokens, however rare; their bits tell that they are too far apart. Near copies are found."""
+    rng = random.Random(23)
+    passages = [" ".join(f"p{i}x{rng.randrange(10**6)}" for _ in range(rng.randrange(25, 36))) for i in range(30)]
+    met, plain = [], jaccard.meeting_groups
+    monkeypatch.setattr(jaccard, "meeting_groups", lambda *a: met.append(plain(*a)) or met[-1])
+    for many in (200, 400):
+        texts = [" ".join(rng.sample(passages, 8)) for _ in range(many)]
+        for i in range(0, many, 20):
+            cut = texts[i].split()
+            cut[rng.randrange(len(cut))] = "other"
+            texts.append(" ".join(reversed(cut)) if i % 40 else " ".join(cut))
+        docs = list(enumerate(texts))
+        met.clear()
+        got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+        assert got == brute_components(docs, 4, 85)
+        assert sum(x.count() for x in met) < many
+
+
+def test_hot_tokens_meet_in_parts(spark):
+    """A token with more rows than the limit is dealt to several tasks; pairs are the same."""
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(20, 40), None if i % 4 else i % 3, rng.randrange(6), t, *[rng.getrandbits(20) for _ in jaccard.BITS]) for i in range(60) for t in (1, 1 + i % 7)]
+    tokens = spark.createDataFrame(rows, "id bigint, n bigint, g bigint, i int, token bigint, " + ", ".join(f"{b} bigint" for b in jaccard.BITS))
+    plain = {tuple(r) for r in jaccard.meeting_groups(tokens, 50).collect()}
+    assert plain and {tuple(r) for r in jaccard.meeting_groups(tokens, 50, 7).collect()} == plain
+
+
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
 def test_components_against_brute_force(spark, width, percent):
     rng = random.Random(width)
