@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from hustings.functions import geometry as g
 from hustings.operators import grids
 from hustings.operators.graph import connected_components
-from hustings.shared import materialize
+from hustings.shared import by_shuffle, materialize
 
 
 def vertices(shapes: DataFrame, digits: int = 3) -> DataFrame:
@@ -64,14 +64,14 @@ def adjacency_by_overlap(shapes: DataFrame, size: float = 1.0, digits: int = 3,
     lined = each.select("id", F.round(ux, digits).alias("ux"), F.round(uy, digits).alias("uy"), F.round(ux * F.col("e.p.y") - uy * F.col("e.p.x"), digits).alias("off"), (ux * F.col("e.p.x") + uy * F.col("e.p.y")).alias("s"), (ux * F.col("e.q.x") + uy * F.col("e.q.y")).alias("t"))
     lined = lined.select("id", "ux", "uy", "off", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
     # an edge lies in the stretches of the level of its own length, two at most, and looks for longer edges in those of larger levels
-    sized = lined.withColumn("own", grids.level_of(F.col("t") - F.col("s"), size))
+    sized = materialize(lined.withColumn("own", grids.level_of(F.col("t") - F.col("s"), size)))
     stretch = lambda c: grids.cell_of(F.col(c), F.col("level"))
     in_cells = lambda df: df.withColumn("cell", F.explode(F.sequence(stretch("s"), stretch("t"))))
     line = ["ux", "uy", "off", "level", "cell"]
     a = in_cells(sized.withColumn("level", F.col("own"))).select(F.col("id").alias("a"), *line, F.col("s").alias("s1"), F.col("t").alias("t1"))
     b = in_cells(grids.at_levels(sized, grids.levels_in(sized, "own"), F.col("own"))).select(F.col("id").alias("b"), "own", *line, F.col("s").alias("s2"), F.col("t").alias("t2"))
     once = (F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))
-    both = a.join(b, line).filter((F.col("a") != F.col("b")) & once & (F.col("cell") == F.greatest(stretch("s1"), stretch("s2"))))
+    both = a.join(by_shuffle(b), line).filter((F.col("a") != F.col("b")) & once & (F.col("cell") == F.greatest(stretch("s1"), stretch("s2"))))
     common = F.least("t1", "t2") - F.greatest("s1", "s2")
     return both.withColumn("c", common).filter(F.col("c") > tolerance).groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("c").alias("length"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hustings.operators.joins import CLUSTERS
 from hustings.operators.methods import SIDES, TRANSFERS
+from hustings.shared import spread
 
 NOW_MID, NOW_LATE = "1998-07-01 00:00:00", "2002-01-01 00:00:00"
 PARTIES = {"1-URGENT": "L1", "2-HIGH": "L1", "3-MEDIUM": "L2", "4-NOT SPECIFIED": "L3", "5-LOW": "L4"}
@@ -93,7 +94,7 @@ def point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as unit squares on a grid of 20 columns, as WKT; brands are groups."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
     i, j = (F.col("p_partkey") % 20).cast("string"), F.floor(F.col("p_partkey") / 20).cast("string")
     i1, j1 = (F.col("p_partkey") % 20 + 1).cast("string"), (F.floor(F.col("p_partkey") / 20) + 1).cast("string")
     at = lambda x, y: F.concat_ws(" ", x, y)
@@ -110,7 +111,7 @@ def plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     holed = F.concat(at((zero, zero), (w, zero), (w, h), (zero, h)), F.lit(", "), at((half, half), (half, one), (one, one), (one, half)))
     forms = [holed, at((zero, zero), (zero, h), (w, h + 1), (w, one)), at((zero, zero), (w, zero), (w, one), (one, one), (one, h), (zero, h)), at((zero, zero), (w, zero), (zero, h))]
     body = F.when(k % 4 == 0, forms[0]).when(k % 4 == 1, forms[1]).when(k % 4 == 2, forms[2]).otherwise(forms[3])
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("POLYGON ("), body, F.lit(")")).alias("geometry"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("id"), F.concat(F.lit("POLYGON ("), body, F.lit(")")).alias("geometry"))
 
 
 def brick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ def brick(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.floor(k / 20)
     x = (k % 20) * 2 + j % 2
     at = lambda *points: F.concat_ws(", ", *[F.concat_ws(" ", (x + a).cast("string"), (j + b).cast("string")) for a, b in points])
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("POLYGON (("), at((0, 0), (2, 0), (2, 1), (0, 1), (0, 0)), F.lit("))")).alias("geometry"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("id"), F.concat(F.lit("POLYGON (("), at((0, 0), (2, 0), (2, 1), (0, 1), (0, 0)), F.lit("))")).alias("geometry"))
 
 
 def _votes_sql(a: str, b: str) -> str:

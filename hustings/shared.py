@@ -44,6 +44,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` to be joined by shuffles, never by sending it out whole.
+
+    Spark takes rows made by ``explode`` or text that is made in the plan for as few bytes as the columns of the file that they come from, and files for
+    as large as they are compressed: what it then sends out fills the driver. Use it where both sides of a join grow with the input.
+    """
+    return df.hint("merge")
+
+
+def spread(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
+    """``df`` dealt by ``key`` to a task for every so many rows. A file of a few narrow columns is one split, however much work its rows make."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def written() -> int:
     """How many folders this process has written so far and not released: a mark for :func:`release`."""
     return len(_written)
