@@ -192,7 +192,7 @@ def insertions(vertex: DataFrame, edge_points: DataFrame, size: float, tolerance
     t = ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)
     on = F.abs((x - x1) * dy - (y - y1) * dx) <= tolerance * length
     inside = (t * length > tolerance) & ((1 - t) * length > tolerance)
-    return e.join(v, ["level", "cx", "cy"]).filter(F.col("id") != F.col("other")).withColumn("t", t).filter(on & inside).select("id", "pos", "key", F.round("t", 9).alias("t")).distinct()
+    return e.join(by_shuffle(v), ["level", "cx", "cy"]).filter(F.col("id") != F.col("other")).withColumn("t", t).filter(on & inside).select("id", "pos", "key", F.round("t", 9).alias("t")).distinct()
 
 
 def snap(vertex: DataFrame, tolerance: float) -> DataFrame:

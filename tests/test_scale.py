@@ -7,7 +7,7 @@ from hustings.plans import registry
 
 QUERIES = registry.queries()
 #: Queries whose joins have two sides that grow: neither may be sent out whole.
-NOT_SENT = ["s043_adjacency_by_overlap"]
+NOT_SENT = ["s043_adjacency_by_overlap", "s166_insertions"]
 
 
 @pytest.mark.parametrize("name", NOT_SENT)
