@@ -137,17 +137,23 @@ _BORDER = 200
 
 def _overlaps_sql() -> str:
     """Rectangles: corners of each inside the other, and sides of each that cross sides of the other; the outline is such a rectangle, with
-    vertices along its sides that make no difference, and a hole that is a rectangle too."""
-    hit = lambda p, q, x, y: f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {q}.y0 < {p}.{y} AND {p}.{y} < {q}.y1)::INT"
+    vertices along its sides, and a hole that is a rectangle too. Layers of more than 80,000 parts go on above the outline: squares there cross its sides
+    and its hole's, and hold vertices of them. By the even-odd rule a rectangle has
+    its left and lower side, and not the others."""
+    hit = lambda p, q, x, y: f"({q}.x0 <= {p}.{x} AND {p}.{x} < {q}.x1 AND {q}.y0 <= {p}.{y} AND {p}.{y} < {q}.y1)::INT"
     inside = lambda p, q: " + ".join(hit(p, q, x, y) for x in ("x0", "x1") for y in ("y0", "y1"))
     cross = " + ".join(f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {p}.y0 < {q}.{y} AND {q}.{y} < {p}.y1)::INT" for p, q in (("a", "b"), ("b", "a")) for x in ("x0", "x1") for y in ("y0", "y1"))
     return sql(
         f"SELECT a, b, inside_a, inside_b, crossings, CASE WHEN greatest(inside_a, inside_b) > 2 AND crossings > 2 THEN 'both' WHEN greatest(inside_a, inside_b) > 2 THEN 'corners' ELSE 'crossings' END AS label FROM ("
-        f"SELECT a.id AS a, b.id AS b, {inside('a', 'b')} AS inside_a, {inside('b', 'a')} AS inside_b, {cross} AS crossings FROM box a JOIN box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 "
-        f"UNION ALL SELECT -1, id, 0, {inside('box', 'o')} - ({inside('box', 'h')}), 0 FROM box, (SELECT -3.0 AS x0, -3.0 AS y0, 30.0 AS x1, 4003.0 AS y1) o, (SELECT 4.4 AS x0, -2.6 AS y0, 9.6 AS x1, 4000.4 AS y1) h"
+        f"SELECT a.id AS a, b.id AS b, {inside('a', 'b')} AS inside_a, {inside('b', 'a')} AS inside_b, {cross('a', 'b')} AS crossings FROM box a JOIN box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 "
+        f"UNION ALL SELECT -1, id, coalesce(n, 0), {inside('box', 'o')} - ({inside('box', 'h')}), {cross('box', 'o')} + {cross('box', 'h')} FROM box LEFT JOIN held USING (id), (SELECT -3.0 AS x0, -3.0 AS y0, 30.0 AS x1, 4003.0 AS y1) o, (SELECT 4.4 AS x0, -2.6 AS y0, 9.6 AS x1, 4000.4 AS y1) h"
         ") WHERE greatest(inside_a, inside_b) > 2 OR crossings > 2",
         "cell",
-        more="box AS (SELECT id, i - s AS x0, i + 1 + 5 * s AS x1, j - s AS y0, j + 1 + 5 * s AS y1 FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 0.25::DOUBLE ELSE 0 END AS s FROM cell WHERE NOT (id % 7 = 0 AND i BETWEEN 1 AND 10)))",
+        more="box AS (SELECT id, i - s AS x0, i + 1 + 5 * s AS x1, j - s AS y0, j + 1 + 5 * s AS y1 FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 0.25::DOUBLE ELSE 0 END AS s FROM cell WHERE NOT (id % 7 = 0 AND i BETWEEN 1 AND 10))), "
+        # the outline's vertices, and how many of them are in each box
+        f"side_ AS (SELECT ax::DOUBLE + (bx - ax)::DOUBLE * k / {_BORDER} AS x, ay::DOUBLE + (by_ - ay)::DOUBLE * k / {_BORDER} AS y FROM (VALUES (-3, -3, 30, -3), (30, -3, 30, 4003), (30, 4003, -3, 4003), (-3, 4003, -3, -3)) s(ax, ay, bx, by_), (SELECT unnest(range({_BORDER})) AS k) "
+        "UNION ALL SELECT x::DOUBLE, y::DOUBLE FROM (VALUES (4.4, -2.6), (4.4, 4000.4), (9.6, 4000.4), (9.6, -2.6)) h(x, y)), "
+        "held AS (SELECT id, count(*) AS n FROM box JOIN side_ v ON x0 <= v.x AND v.x < x1 AND y0 <= v.y AND v.y < y1 GROUP BY id)",
     )
 
 

@@ -1,11 +1,14 @@
 """Plans and steps that must stay as they are when tables grow."""
 
+import os
+
 import pytest
 
+from comparing import assert_same
 from hustings.operators import spatial
 from hustings.plans import registry
 
-QUERIES = registry.queries()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries whose joins have two sides that grow: neither may be sent out whole.
 NOT_SENT = ["s043_adjacency_by_overlap", "s166_insertions"]
 
@@ -38,3 +41,12 @@ def test_tier_counts_of_crowds_pair_places(spark, monkeypatch):
     want = {(0, "a"): (50, 50), (0, "b"): (50, 0), (1, "a"): (50, 0), (1, "b"): (0, 50)}
     assert len(rows) == 400 and n <= 16
     assert all((r.tier_0, r.tier_1) == want[r.id % 2, r.kind] for r in rows)
+
+
+def test_overlaps_where_the_layer_goes_on_above_the_outline(spark, sf, tmp_path):
+    for name in os.listdir(sf):
+        if name != "part.parquet":
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey + 79940 AS p_partkey", "* EXCEPT (p_partkey)").coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "part.parquet")
+    assert_same(QUERIES["s045_overlaps"](spark, str(tmp_path)), SQL["s045_overlaps"], str(tmp_path))
