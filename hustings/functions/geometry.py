@@ -56,10 +56,14 @@ def round_ring(ring: Column, digits: int) -> Column:
     return F.transform(ring, lambda p: point(F.round(p["x"], digits), F.round(p["y"], digits)))
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is made once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _neighbours(ring: Column, f) -> Column:
     """``f`` of each point of an open ring and the next."""
-    n = F.size(ring)
-    return F.transform(ring, lambda p, i: f(p, F.get(ring, F.when(i + 1 < n, i + 1).otherwise(F.lit(0)))))
+    return _once(ring, lambda r: F.zip_with(r, F.concat(F.slice(r, F.lit(2), F.size(r)), F.slice(r, 1, 1)), f))
 
 
 def simplify_ring(ring: Column) -> Column:
@@ -89,7 +93,7 @@ def is_clockwise(ring: Column) -> Column:
 def area(rings: Column | str) -> Column:
     """The outer ring's area less the holes'."""
     sizes = F.transform(col(rings), lambda r: F.abs(signed_area(r)))
-    return F.when(F.size(sizes) > 0, 2 * F.get(sizes, F.lit(0)) - _sum(sizes)).otherwise(0.0)
+    return _once(sizes, lambda s: F.when(F.size(s) > 0, 2 * F.get(s, F.lit(0)) - _sum(s)).otherwise(0.0))
 
 
 def perimeter(ring: Column) -> Column:
@@ -98,14 +102,16 @@ def perimeter(ring: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Of the area inside a ring; the mean of its points where that is 0."""
-    ring = open_ring(ring)
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
-    a6 = signed_area(ring) * 6
-    x = _sum(_neighbours(ring, lambda p, q: (p["x"] + q["x"]) * cross(p, q)))
-    y = _sum(_neighbours(ring, lambda p, q: (p["y"] + q["y"]) * cross(p, q)))
-    n = F.size(ring)
-    mean = point(_sum(F.transform(ring, lambda p: p["x"])) / n, _sum(F.transform(ring, lambda p: p["y"])) / n)
-    return F.when(a6 != 0, point(x / a6, y / a6)).otherwise(mean)
+
+    def of(ring: Column) -> Column:
+        x = _sum(_neighbours(ring, lambda p, q: (p["x"] + q["x"]) * cross(p, q)))
+        y = _sum(_neighbours(ring, lambda p, q: (p["y"] + q["y"]) * cross(p, q)))
+        n = F.size(ring)
+        mean = point(_sum(F.transform(ring, lambda p: p["x"])) / n, _sum(F.transform(ring, lambda p: p["y"])) / n)
+        return _once(signed_area(ring) * 6, lambda a6: F.when(a6 != 0, point(x / a6, y / a6)).otherwise(mean))
+
+    return _once(open_ring(ring), of)
 
 
 def bbox(ring: Column) -> Column:
