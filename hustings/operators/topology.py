@@ -43,7 +43,7 @@ def adjacency(vertex: DataFrame, least: int = 2) -> DataFrame:
 def adjacency_by_edge(edge: DataFrame) -> DataFrame:
     """Rows (src, dst, length), src < dst: shapes with whole edges in common, and how long these are together."""
     a, b = edge.select(F.col("id").alias("src"), "k1", "k2", "length"), edge.select(F.col("id").alias("dst"), "k1", "k2")
-    return a.join(b, ["k1", "k2"]).filter("src < dst").groupBy("src", "dst").agg(F.sum("length").alias("length"))
+    return a.join(by_shuffle(b), ["k1", "k2"]).filter("src < dst").groupBy("src", "dst").agg(F.sum("length").alias("length"))
 
 
 def adjacency_by_overlap(shapes: DataFrame, size: float = 1.0, digits: int = 3, tolerance: float = 1e-9) -> DataFrame:
