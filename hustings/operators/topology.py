@@ -84,9 +84,9 @@ def vertex_sharing(vertex: DataFrame) -> DataFrame:
 
 def vertex_classes(vertex: DataFrame, groups: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """Rows (key, class): fixed on the outline, else cross (several groups meet), same (several shapes of one group), or ordinary."""
-    counts = vertex.join(groups, "id").groupBy("key").agg(F.count_distinct("id").alias("n"), F.count_distinct("grp").alias("g"))
+    counts = vertex.join(by_shuffle(groups), "id").groupBy("key").agg(F.count_distinct("id").alias("n"), F.count_distinct("grp").alias("g"))
     if outline is not None:
-        counts = counts.join(outline.select("key").distinct().withColumn("_fixed", F.lit(True)), "key", "left")
+        counts = counts.join(by_shuffle(outline.select("key").distinct().withColumn("_fixed", F.lit(True))), "key", "left")
     else:
         counts = counts.withColumn("_fixed", F.lit(None).cast("boolean"))
     return counts.select("key", F.when(F.col("_fixed"), "fixed").when(F.col("g") > 1, "cross").when(F.col("n") > 1, "same").otherwise("ordinary").alias("class"))
