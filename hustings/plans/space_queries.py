@@ -10,7 +10,7 @@ from hustings.functions import numbers as num
 from hustings.operators import graph, spatial, topology
 from hustings.plans.adapters import brick, cell, plot, point, sql, table
 from hustings.plans.registry import query
-from hustings.shared import materialize
+from hustings.shared import by_shuffle, materialize, spread
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +226,7 @@ _PRIOR = f"prior AS (SELECT k AS key, t AS type, CAST((k * o) % 5 AS DOUBLE) AS
 
 def priors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(priors, valid types) of four types for each part."""
-    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("key"))
+    keys = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").cast("long").alias("key"))
     full = keys.select("key", F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(i).alias("o")) for i, t in enumerate(_TYPES, 1)])))
     return full.select("key", "type", ((F.col("key") * F.col("o")) % 5).cast("double").alias("p")), full.filter((F.col("key") + F.col("o")) % 3 != 0).select("key", "type")
 
@@ -316,7 +316,7 @@ def vertex_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s161_outer_boundary", sql("SELECT grp, count(*) AS n_edges FROM (SELECT grp, k1, k2 FROM edge GROUP BY grp, k1, k2 HAVING count(*) = 1) GROUP BY grp", "edge"))
 def outer_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shapes(spark, sf_dir)
-    edge = topology.edges(rows).join(rows.select("id", "grp"), "id")
+    edge = topology.edges(rows).join(by_shuffle(rows.select("id", "grp")), "id")
     return topology.outer_edges(edge, ["grp"]).groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
