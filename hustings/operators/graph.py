@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from hustings.shared import materialize
+from hustings.shared import by_shuffle, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -74,9 +74,9 @@ def smoothness(edges: DataFrame, values: DataFrame) -> DataFrame:
 
 def valid_priors(priors: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
     """Priors (keys, type, p) of the valid types of each key only, scaled to a sum of 1; a key whose valid types have none gets equal shares."""
-    kept = valid.join(priors, [*keys, "type"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    kept = valid.join(by_shuffle(priors), [*keys, "type"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     sums = kept.groupBy(*keys).agg(F.sum("p").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return kept.join(sums, keys).select(*keys, "type", F.when(F.col("_s") > 0, F.col("p") / F.col("_s")).otherwise(1 / F.col("_n")).alias("p"))
+    return kept.join(by_shuffle(sums), keys).select(*keys, "type", F.when(F.col("_s") > 0, F.col("p") / F.col("_s")).otherwise(1 / F.col("_n")).alias("p"))
 
 
 def fallback_type(rows: DataFrame, valid: DataFrame, key: str, chain: list[str]) -> DataFrame:
