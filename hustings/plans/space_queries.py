@@ -142,7 +142,7 @@ def _overlaps_sql() -> str:
     its left and lower side, and not the others."""
     hit = lambda p, q, x, y: f"({q}.x0 <= {p}.{x} AND {p}.{x} < {q}.x1 AND {q}.y0 <= {p}.{y} AND {p}.{y} < {q}.y1)::INT"
     inside = lambda p, q: " + ".join(hit(p, q, x, y) for x in ("x0", "x1") for y in ("y0", "y1"))
-    cross = " + ".join(f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {p}.y0 < {q}.{y} AND {q}.{y} < {p}.y1)::INT" for p, q in (("a", "b"), ("b", "a")) for x in ("x0", "x1") for y in ("y0", "y1"))
+    cross = lambda a, b: " + ".join(f"({q}.x0 < {p}.{x} AND {p}.{x} < {q}.x1 AND {p}.y0 < {q}.{y} AND {q}.{y} < {p}.y1)::INT" for p, q in ((a, b), (b, a)) for x in ("x0", "x1") for y in ("y0", "y1"))
     return sql(
         f"SELECT a, b, inside_a, inside_b, crossings, CASE WHEN greatest(inside_a, inside_b) > 2 AND crossings > 2 THEN 'both' WHEN greatest(inside_a, inside_b) > 2 THEN 'corners' ELSE 'crossings' END AS label FROM ("
         f"SELECT a.id AS a, b.id AS b, {inside('a', 'b')} AS inside_a, {inside('b', 'a')} AS inside_b, {cross('a', 'b')} AS crossings FROM box a JOIN box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 "
