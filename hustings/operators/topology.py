@@ -37,7 +37,7 @@ def adjacency(vertex: DataFrame, least: int = 2) -> DataFrame:
     """
     once = vertex.select("id", "key").distinct()
     a, b = once.select(F.col("id").alias("src"), "key"), once.select(F.col("id").alias("dst"), "key")
-    return a.join(b, "key").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    return a.join(by_shuffle(b), "key").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
 def adjacency_by_edge(edge: DataFrame) -> DataFrame:
@@ -128,27 +128,27 @@ def loops(edge: DataFrame) -> DataFrame:
     """
     edge = materialize(edge.withColumn("e", F.xxhash64("a", "b", "id", "ring", "pos")))
     here, after = edge.select("e", "b", "id"), edge.select(F.col("a").alias("b"), F.col("e").alias("f"), F.col("id").alias("_fid"))
-    next_ = here.join(after, "b").groupBy("e").agg(F.min(F.struct(F.col("id") != F.col("_fid"), "f"))["f"].alias("f"))
+    next_ = here.join(by_shuffle(after), "b").groupBy("e").agg(F.min(F.struct(F.col("id") != F.col("_fid"), "f"))["f"].alias("f"))
     next_ = materialize(next_.groupBy("f").agg(F.min("e").alias("e")))  # one comes before each
     found = connected_components(next_, "e", "f")
-    labelled = materialize(edge.select("e").join(found.withColumnRenamed("id", "e"), "e", "left").select("e", F.coalesce("component", "e").alias("loop")))
+    labelled = materialize(edge.select("e").join(by_shuffle(found.withColumnRenamed("id", "e")), "e", "left").select("e", F.coalesce("component", "e").alias("loop")))
     # pointers back, but for the loop's least edge, where its order begins
-    back = labelled.join(next_.select(F.col("f").alias("e"), F.col("e").alias("to")), "e", "left")
+    back = labelled.join(by_shuffle(next_.select(F.col("f").alias("e"), F.col("e").alias("to"))), "e", "left")
     start = F.col("e") == F.col("loop")
     ends = F.coalesce("to", "e")
     now = materialize(back.select("e", "loop", F.when(start, F.col("e")).otherwise(ends).alias("to"), F.when(start | F.col("to").isNull(), 0).otherwise(1).cast("long").alias("place")))
     moved = True
     while moved:
         up = now.select(F.col("e").alias("to"), F.col("to").alias("_to"), F.col("place").alias("_place"))
-        joined = materialize(now.join(up, "to").select("e", "loop", F.col("_to").alias("to"), (F.col("place") + F.col("_place")).alias("place"), (F.col("to") != F.col("_to")).alias("_moved")))
+        joined = materialize(now.join(by_shuffle(up), "to").select("e", "loop", F.col("_to").alias("to"), (F.col("place") + F.col("_place")).alias("place"), (F.col("to") != F.col("_to")).alias("_moved")))
         moved = not joined.filter("_moved").isEmpty()
         now = joined.drop("_moved")
-    rows = edge.join(now.select("e", "loop", "place", F.col("to").alias("_head")), "e")
+    rows = edge.join(by_shuffle(now.select("e", "loop", "place", F.col("to").alias("_head"))), "e")
     followed = next_.select("e").distinct().withColumn("_followed", F.lit(True))
-    rows = rows.join(followed, "e", "left")
+    rows = rows.join(by_shuffle(followed), "e", "left")
     closed = F.bool_and(F.coalesce("_followed", F.lit(False)) & (F.col("_head") == F.col("loop")))
     sums = rows.groupBy("loop").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("turn").alias("area"), closed.alias("closed"))
-    return rows.join(sums, "loop").select("loop", "place", *[c for c in edge.columns if c != "e"], "n_edges", "closed", "area")
+    return rows.join(by_shuffle(sums), "loop").select("loop", "place", *[c for c in edge.columns if c != "e"], "n_edges", "closed", "area")
 
 
 def gap_owner(gap_vertices: DataFrame, vertex: DataFrame) -> DataFrame:

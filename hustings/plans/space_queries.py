@@ -347,7 +347,7 @@ def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = ordered.filter("area > 0")
     # in order: the end of each edge is where the next one starts
     step = outer.select("loop", (F.col("place") - 1).alias("place"), F.col("a").alias("next_a"))
-    breaks = outer.join(step, ["loop", "place"], "left").groupBy("loop").agg(F.max("n_edges").alias("n_edges"), F.bool_and("closed").alias("closed"), F.max("area").alias("area"), F.count_if((F.col("place") < F.col("n_edges") - 1) & (F.col("b") != F.coalesce("next_a", F.lit("")))).cast("int").alias("n_breaks"))
+    breaks = outer.join(by_shuffle(step), ["loop", "place"], "left").groupBy("loop").agg(F.max("n_edges").alias("n_edges"), F.bool_and("closed").alias("closed"), F.max("area").alias("area"), F.count_if((F.col("place") < F.col("n_edges") - 1) & (F.col("b") != F.coalesce("next_a", F.lit("")))).cast("int").alias("n_breaks"))
     return breaks.select("n_edges", "closed", F.round("area", 6).alias("area"), "n_breaks")
 
 
