@@ -23,16 +23,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         parent = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p")))
         for _ in range(2):
             up = parent.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p").select("id", F.col("pp").alias("p"))
+            parent = parent.join(by_shuffle(up), "p").select("id", F.col("pp").alias("p"))
         parent = materialize(parent)
         if labels is None:
             labels = parent.select("id", F.col("p").alias("component"))
         else:
             up = parent.select(F.col("id").alias("component"), "p")
-            labels = labels.join(up, "component", "left").select("id", F.coalesce("p", "component").alias("component"))
+            labels = labels.join(by_shuffle(up), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
         labels = materialize(labels)
         pa, pb = parent.select(F.col("id").alias("a"), F.col("p").alias("pa")), parent.select(F.col("id").alias("b"), F.col("p").alias("pb"))
-        moved = left.join(pa, "a").join(pb, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        moved = left.join(by_shuffle(pa), "a").join(by_shuffle(pb), "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         left = materialize(moved)
     return labels if labels is not None else left.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
@@ -100,15 +100,15 @@ def colour_rounds(nodes: DataFrame, edges: DataFrame, seed: str = "colours") ->
 
     order = nodes.select("id", keyed_uniform(seed, "id").alias("p")).distinct()
     ends = order.select(F.col("id").alias("src"), F.struct("p", "id").alias("ps")), order.select(F.col("id").alias("dst"), F.struct("p", "id").alias("pd"))
-    left = materialize(both_ways(edges).filter("src <> dst").distinct().join(ends[0], "src").join(ends[1], "dst"))
+    left = materialize(both_ways(edges).filter("src <> dst").distinct().join(by_shuffle(ends[0]), "src").join(by_shuffle(ends[1]), "dst"))
     open_, done, colour = materialize(order.select("id")), None, 0
     while not open_.isEmpty():
         behind = left.groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("pd") < F.col("ps")).alias("b")).filter("b")
-        told = materialize(open_.join(behind, "id", "left").select("id", F.col("b").isNull().alias("first")))
+        told = materialize(open_.join(by_shuffle(behind), "id", "left").select("id", F.col("b").isNull().alias("first")))
         first, open_ = told.filter("first").select("id"), told.filter("not first").select("id")
         coloured = first.withColumn("colour", F.lit(colour))
         done = coloured if done is None else done.unionByName(coloured)
-        left = materialize(left.join(first.withColumnRenamed("id", "src"), "src", "left_anti").join(first.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        left = materialize(left.join(by_shuffle(first.withColumnRenamed("id", "src")), "src", "left_anti").join(by_shuffle(first.withColumnRenamed("id", "dst")), "dst", "left_anti"))
         colour += 1
     return done if done is not None else open_.select("id", F.lit(0).alias("colour"))
 
@@ -123,14 +123,14 @@ def blend_step(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: Dat
     from hustings.operators.windows import inverse_cdf
 
     mine = nodes.filter((F.col("colour") == colour) & ~F.col("frozen")).select("id", "key")
-    near = both_ways(edges).join(mine.select(F.col("id").alias("src")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("from_type")), "dst")
+    near = both_ways(edges).join(by_shuffle(mine.select(F.col("id").alias("src"))), "src").join(by_shuffle(nodes.select(F.col("id").alias("dst"), F.col("type").alias("from_type"))), "dst")
     counts = near.groupBy(F.col("src").alias("id"), "from_type").agg(F.count(F.lit(1)).alias("n"))
     pulled = counts.join(moves, "from_type").groupBy("id", "type").agg((F.sum(F.col("p") * F.col("n"))).alias("q"))
     total = counts.groupBy("id").agg(F.sum("n").alias("degree"))
-    options = mine.join(priors, "key").join(pulled, ["id", "type"], "left").join(total, "id", "left")
+    options = mine.join(by_shuffle(priors), "key").join(by_shuffle(pulled), ["id", "type"], "left").join(by_shuffle(total), "id", "left")
     blended = F.when(F.col("degree").isNull(), F.col("p")).otherwise((1 - weight) * F.col("p") + weight * F.coalesce("q", F.lit(0.0)) / F.col("degree"))
     drawn = inverse_cdf(options.withColumn("w", blended), ["id"], "type", "w", keyed_uniform(seed, "id"), "type").withColumnRenamed("type", "_new")
-    return nodes.join(drawn, "id", "left").select("id", "key", F.coalesce("_new", "type").alias("type"), "frozen", "colour")
+    return nodes.join(by_shuffle(drawn), "id", "left").select("id", "key", F.coalesce("_new", "type").alias("type"), "frozen", "colour")
 
 
 def blend_labels(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: DataFrame, weight: float = 0.5, sweeps: int = 3, stop_at: float = 0.0, seed: str = "labels") -> DataFrame:
@@ -141,12 +141,12 @@ def blend_labels(nodes: DataFrame, edges: DataFrame, priors: DataFrame, moves: D
     """
     colours = materialize(colour_rounds(nodes, edges, seed))
     last = colours.agg(F.max("colour")).first()[0]
-    now = materialize(nodes.select("id", "key", "type", "frozen").join(colours, "id"))
+    now = materialize(nodes.select("id", "key", "type", "frozen").join(by_shuffle(colours), "id"))
     for k in range(sweeps):
         before = now
         for colour in range(0 if last is None else last + 1):
             now = materialize(blend_step(now, edges, priors, moves, weight, f"{seed}-{k}", colour))
-        change = before.select("id", F.col("type").alias("_t")).join(now, "id").agg(F.avg((F.col("_t") != F.col("type")).cast("double"))).first()[0]
+        change = before.select("id", F.col("type").alias("_t")).join(by_shuffle(now), "id").agg(F.avg((F.col("_t") != F.col("type")).cast("double"))).first()[0]
         if (change or 0.0) <= stop_at:
             break
     return now.drop("colour")
