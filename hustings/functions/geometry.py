@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
-from .numbers import col
+from .numbers import col, once
 
 _DIGITS = r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?"
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -56,14 +56,9 @@ def round_ring(ring: Column, digits: int) -> Column:
     return F.transform(ring, lambda p: point(F.round(p["x"], digits), F.round(p["y"], digits)))
 
 
-def _once(value: Column, f) -> Column:
-    """``f`` of a value that is made once a row, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _neighbours(ring: Column, f) -> Column:
     """``f`` of each point of an open ring and the next."""
-    return _once(ring, lambda r: F.zip_with(r, F.concat(F.slice(r, F.lit(2), F.size(r)), F.slice(r, 1, 1)), f))
+    return once(ring, lambda r: F.zip_with(r, F.concat(F.slice(r, F.lit(2), F.size(r)), F.slice(r, 1, 1)), f))
 
 
 def simplify_ring(ring: Column) -> Column:
@@ -93,7 +88,7 @@ def is_clockwise(ring: Column) -> Column:
 def area(rings: Column | str) -> Column:
     """The outer ring's area less the holes'."""
     sizes = F.transform(col(rings), lambda r: F.abs(signed_area(r)))
-    return _once(sizes, lambda s: F.when(F.size(s) > 0, 2 * F.get(s, F.lit(0)) - _sum(s)).otherwise(0.0))
+    return once(sizes, lambda s: F.when(F.size(s) > 0, 2 * F.get(s, F.lit(0)) - _sum(s)).otherwise(0.0))
 
 
 def perimeter(ring: Column) -> Column:
@@ -109,9 +104,9 @@ def centroid(ring: Column) -> Column:
         y = _sum(_neighbours(ring, lambda p, q: (p["y"] + q["y"]) * cross(p, q)))
         n = F.size(ring)
         mean = point(_sum(F.transform(ring, lambda p: p["x"])) / n, _sum(F.transform(ring, lambda p: p["y"])) / n)
-        return _once(signed_area(ring) * 6, lambda a6: F.when(a6 != 0, point(x / a6, y / a6)).otherwise(mean))
+        return once(signed_area(ring) * 6, lambda a6: F.when(a6 != 0, point(x / a6, y / a6)).otherwise(mean))
 
-    return _once(open_ring(ring), of)
+    return once(open_ring(ring), of)
 
 
 def bbox(ring: Column) -> Column:

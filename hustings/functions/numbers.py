@@ -70,6 +70,11 @@ def iso_utc(moment: Column | str) -> Column:
     return F.date_format(col(moment), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is made once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def keyed_uniform(seed: str, *keys: Column | str) -> Column:
     """A number in (0, 1) that depends on the seed and the keys alone, whatever the partitions; SQL can compute the same."""
     text = F.concat_ws("|", F.lit(seed), *[col(k).cast("string") for k in keys])
@@ -120,8 +125,8 @@ def keyed_uniform_sql(seed: str, *keys: str) -> str:
 
 
 def keyed_normal(seed: str, mean: Column, sd: Column, *keys: Column | str) -> Column:
-    """A draw with this mean and deviation; a mean of 0 gives 0."""
-    return F.when(mean == 0, F.lit(0.0)).otherwise(mean + sd * normal_quantile(keyed_uniform(seed, *keys)))
+    """A draw with this mean and deviation; a mean of 0 gives 0. The hash of the keys is made once, the quantile names it some thirty times."""
+    return F.when(mean == 0, F.lit(0.0)).otherwise(mean + sd * once(keyed_uniform(seed, *keys), normal_quantile))
 
 
 def keyed_normal_sql(seed: str, mean: str, sd: str, *keys: str) -> str:

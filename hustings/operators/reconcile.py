@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
-from hustings.functions.numbers import keyed_normal
+from hustings.functions.numbers import keyed_normal, once
 
 
 def gated_draw(seed: str, mean: Column, sd: Column, keys: list[Column | str], low: float | None, high: float | None, attempts: int = 10, reference: Column | None = None) -> tuple[Column, Column]:
@@ -41,18 +41,20 @@ def reconcile_two(total: Column, other: Column, a: Column, b: Column) -> tuple[C
 
 def reconcile(values: Column, total: Column) -> Column:
     """An array of parts of a total that add up to it: in ascending order (ties by place) each keeps its draw or what is left; the last takes the rest."""
-    indexed = F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    ordered = F.array_sort(indexed)
-    n = F.size(values)
     none = F.array().cast("array<struct<i:int,v:bigint>>")
-    start = F.struct(total.cast("long").alias("left"), F.lit(0).alias("k"), none.alias("done"))
 
-    def step(acc: Column, x: Column) -> Column:
-        take = F.when(acc["k"] == n - 1, acc["left"]).otherwise(F.least(x["v"].cast("long"), acc["left"])).cast("long")
-        return F.struct((acc["left"] - take).alias("left"), (acc["k"] + 1).alias("k"), F.concat(acc["done"], F.array(F.struct(x["i"].alias("i"), take.alias("v")))).alias("done"))
+    def shared(vs: Column) -> Column:
+        ordered = F.array_sort(F.transform(vs, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+        start = F.struct(total.cast("long").alias("left"), F.size(vs).alias("k"), none.alias("done"))
 
-    done = F.aggregate(ordered, start, step, lambda acc: acc["done"])
-    return F.transform(F.array_sort(done), lambda x: x["v"])
+        def step(acc: Column, x: Column) -> Column:
+            take = F.when(acc["k"] == 1, acc["left"]).otherwise(F.least(x["v"].cast("long"), acc["left"])).cast("long")
+            return F.struct((acc["left"] - take).alias("left"), (acc["k"] - 1).alias("k"), F.concat(acc["done"], F.array(F.struct(x["i"].alias("i"), take.alias("v")))).alias("done"))
+
+        return F.transform(F.array_sort(F.aggregate(ordered, start, step, lambda acc: acc["done"])), lambda x: x["v"])
+
+    # the parts may be draws: they are made once
+    return once(values, shared)
 
 
 def residual_into_largest(values: Column, total: Column) -> Column:

@@ -24,7 +24,7 @@ def vote_chain(areas: DataFrame, key: str, people: list[str], rates: DataFrame,
 
     Electorate: people by rate, drawn and gated to 45 to 97.5 % of the people, never above them. Turnout: 60 % of it, drawn, within it. Spoilt:
     1 % of turnout. Three sides: drawn around thirds of the valid votes and reconciled to sum to them. Every stage is of whole numbers, so the
-    sums hold exactly; the plan has one broadcast join and no shuffle.
+    sums hold exactly; the plan has one broadcast join and no shuffle. A row is 15 draws or more: deal a table of few columns to tasks first (``shared.spread``).
     """
     based = joins.with_rates(areas, rates, rate_on, people, on_missing="zero")
     made = []

@@ -14,6 +14,7 @@ from hustings.operators.methods import first_preferences
 from hustings.plans.adapters import NOW_LATE, NOW_MID, cluster, located, precinct, rate, result, sector, sql, status_sql, table
 from hustings.plans.registry import query
 from hustings.plans.tally_queries import R1, STATUS_MID, UNITS_SQL
+from hustings.shared import spread
 
 
 @query("s099_distance_km", sql("SELECT id, round(sqrt((x - 48) * (x - 48) + (y - 44) * (y - 44)) / 8.01, 6) AS km, round(sqrt((x - 48) * (x - 48) + (y - 44) * (y - 44)) / 8.01 / 40, 6) AS hours FROM point", "point"))
@@ -301,7 +302,8 @@ def _chain_sql() -> str:
 @query("s142_vote_chain", _chain_sql())
 def vote_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People to electorate, turnout, spoilt and three sides' votes, for three clusters of each area."""
-    out = sampling.vote_chain(cluster(spark, sf_dir).select("Area_ID", "Sub_Region", *[(F.col(c) * 100).alias(c) for c in _PEOPLE]), "Area_ID", list(_PEOPLE), rate(spark, sf_dir), ["Sub_Region"])
+    areas = spread(cluster(spark, sf_dir), "Area_ID", 5_000)
+    out = sampling.vote_chain(areas.select("Area_ID", "Sub_Region", *[(F.col(c) * 100).alias(c) for c in _PEOPLE]), "Area_ID", list(_PEOPLE), rate(spark, sf_dir), ["Sub_Region"])
     numbers = [F.col(f"{c}_{k}").cast("long").alias(f"{c}_{k}") for k in _PEOPLE for c in ("electorate", "turnout", "spoilt")]
     return out.select("Area_ID", *numbers, *[F.col(f"votes_{k}")[i].alias(f"votes_{k}_{s}") for k in _PEOPLE for i, s in enumerate(("L", "MR", "R"))])
 

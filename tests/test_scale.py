@@ -84,3 +84,9 @@ def test_ring_functions_take_a_step_a_point(spark):
 def test_rows_are_dealt_by_their_number(spark):
     rows = spread(spark.range(1000).coalesce(1), "id", 100)
     assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
+
+
+def test_a_draw_hashes_its_keys_once(spark, sf):
+    """Three clusters of each area: a draw for the electorate, which attempts share, one for the turnout and one for each of three sides."""
+    plan = QUERIES["s142_vote_chain"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 3 * 5
