@@ -53,9 +53,9 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def spread(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
-    """``df`` dealt by ``key`` to a task for every so many rows. A file of a few narrow columns is one split, however much work its rows make."""
-    return df.repartition(max(1, -(-df.count() // rows)), key)
+def spread(df: DataFrame, key: str | list[str], rows: int = 50_000) -> DataFrame:
+    """``df`` dealt by ``key``, one column or several, to a task for every so many rows. A file of a few narrow columns is one split, however much work its rows make."""
+    return df.repartition(max(1, -(-df.count() // rows)), *([key] if isinstance(key, str) else key))
 
 
 def written() -> int:

@@ -90,3 +90,20 @@ def test_a_draw_hashes_its_keys_once(spark, sf):
     """Three clusters of each area: a draw for the electorate, which attempts share, one for the turnout and one for each of three sides."""
     plan = QUERIES["s142_vote_chain"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 3 * 5
+
+
+def test_nearest_centres_of_crowds_take_places(spark, monkeypatch):
+    """1,000 points of four places among 300 centres: the rows that are kept on the way are of places, and of few cells for each."""
+    kept, plain = [], spatial.materialize
+
+    def counted(df):
+        kept.append(plain(df))
+        return kept[-1]
+
+    monkeypatch.setattr(spatial, "materialize", counted)
+    points = [(i, 0, float(i % 2) * 7 + 0.3, float(i % 4) * 5) for i in range(1000)]
+    centres = [(0, i * 37 % 101 / 4.0, i * 53 % 89 / 4.0) for i in range(300)]
+    rows = spatial.nearest_centre(spark.createDataFrame(points, "id long, grp int, x double, y double"), spark.createDataFrame(centres, "grp int, cx double, cy double"), "grp").collect()
+    want = {(x, y): min(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for _, a, b in centres) for _, _, x, y in points}
+    assert len(rows) == 1000 and all(r.distance == pytest.approx(want[points[r.id][2:]]) for r in rows)
+    assert all(t.count() <= 4 for t in kept if "x" in t.columns)
