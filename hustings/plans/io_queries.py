@@ -138,7 +138,7 @@ def live_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
             part, upto = fresh.unionByName(fresh.filter("Result_ID % 10 = 2")), moment
         part.repartition(_FILES).write.mode("append").parquet(f"{folder}/in")
     stream = live.read_rows(spark, f"{folder}/in", rows.schema, _FILES)
-    buckets = max(16, roster.agg(F.sum("n")).first()[0] // 500)
+    buckets = max(16, roster.agg(F.sum("n")).first()[0] // 4000)
     live.run_totals(live.deltas(stream, "Result_ID", ["Constituency"], live.seat_measures(), "at", f"{_DELAY_DAYS} days", buckets), folder, ["Constituency"])
     return live.decided(live.totals(spark, folder), roster.drop("n"), ["Constituency"]).select("Constituency", *_LIVE, "winner", "stage", "result_certain", "certain_winner")
 

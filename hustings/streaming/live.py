@@ -29,7 +29,8 @@ def deltas(rows: DataFrame, row_id: str, keys: list[str], measures: dict[str, Co
     less the ``delay``, are left out. Rows without an id or a time are left out; a null measure counts 0.
 
     State is the last version of each row, for as long as the query runs, since a correction may come at any time. Rows are kept in ``buckets`` by a
-    hash of their id, and a batch reads and writes the buckets that it touches: take about a bucket for every 500 rows on the roster.
+    hash of their id, and a batch reads and writes the buckets that it touches: take about a bucket for every 4,000 rows on the
+    roster where batches touch most of it (calling Python for a bucket costs as much as some hundred rows), fewer rows where batches are small.
     """
     names = list(measures)
     known = rows.filter(F.col(event_time).isNotNull() & F.col(row_id).isNotNull()).withWatermark(event_time, delay)

@@ -4,7 +4,9 @@ import datetime
 import random
 
 import pyspark.sql.functions as F
+import pytest
 
+from hustings.plans import registry
 from hustings.streaming import live
 
 SCHEMA = "id long, seat string, at timestamp, votes long"
@@ -36,3 +38,18 @@ def test_versions_older_than_the_watermark_are_left_out(spark, tmp_path):
         stream = live.read_rows(spark, f"{folder}/in", SCHEMA)
         live.run_totals(live.deltas(stream, "id", ["seat"], {"votes": F.col("votes")}, "at", "10 days", buckets=2), folder, ["seat"])
     assert [tuple(x) for x in live.totals(spark, folder).collect()] == [("a", 12)]
+
+
+def test_buckets_hold_thousands_of_rows(spark, monkeypatch):
+    """A call of Python for each bucket and batch is what the live tally's time goes by."""
+
+    class Found(Exception):
+        pass
+
+    def stop(rows, row_id, keys, measures, event_time, delay, buckets):
+        raise Found(buckets)
+
+    monkeypatch.setattr(live, "deltas", stop)
+    with pytest.raises(Found) as found:
+        registry.queries()["s175_live_tally"](spark, "/root/testdata/sf0.01")
+    assert found.value.args[0] <= 16  # 15,000 rows
