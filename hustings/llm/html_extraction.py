@@ -47,6 +47,8 @@ DEPTH, KIDS = 120, 128
 AGREE = 5
 #: All wrappers together are sent to all executors up to so many bytes; beyond that pages meet them by host.
 BROADCAST_BYTES = 16_000_000
+#: So many forms of pages of a host are added up in a task before they are merged.
+FORMS = 64
 #: Wrappers of tasks are merged within so many parts of a host first.
 PARTS = 256
 
@@ -406,31 +408,48 @@ class Wrapper:
         self.of: dict[bool, Node | None] = {True: None, False: None}
         self.pages = {True: 0, False: 0}
         self.seen: set[int] = set()
+        self.again: dict[str, tuple[Node, list[int]]] = {}  # sums of pages by forms that were seen, and how many pages
         self._least: int | None = None
         self._tells: bool | None = None
 
     def add(self, page: Page) -> None:
-        """Merge a page in. Of marked pages with nothing to tell inside of their articles, those whose form was seen add nothing new."""
+        """Merge a page in. Marked pages with nothing to tell inside of their articles, whose form was seen, are alike node by node: they are added up before they are merged."""
         if page.marked and not page.telling:
-            form = hash(page.root.written())
-            if form in self.seen:
-                self.pages[True] += 1
+            form = page.root.written()
+            if form in self.again:
+                node, pages = self.again[form]
+                _add_up(node, page.root)
+                pages[0] += 1
                 return
-            self.seen.add(form)
+            if hash(form) in self.seen:
+                _without_spans(page.root)
+                self.again[form] = page.root, [1]
+                if len(self.again) > FORMS:
+                    self.settle()
+                return
+            self.seen.add(hash(form))
         _without_spans(page.root)
         self._take(page.marked, page.root, 1)
 
+    def settle(self) -> None:
+        """Merge in what was added up."""
+        for node, pages in self.again.values():
+            self._take(True, node, pages[0])
+        self.again.clear()
+
     def _take(self, marked: bool, node: Node, pages: int) -> None:
         here = self.of[marked]
         self.of[marked] = node if here is None else merge(here, node)
         self.pages[marked] += pages
 
     def take(self, other: Wrapper) -> None:
+        other.settle()
         for marked, node in other.of.items():
             if node is not None:
                 self._take(marked, node, other.pages[marked])
 
     def packed(self) -> str:
+        self.settle()
         return json.dumps([[None if n is None else n.packed(), self.pages[m]] for m, n in self.of.items()], separators=(",", ":"))
 
     @staticmethod
@@ -441,6 +460,7 @@ class Wrapper:
         return out
 
     def written(self) -> str:
+        self.settle()
         return " ; ".join(" ".join(k.written() for k in n.kids) for n in self.of.values() if n is not None)
 
     def finish(self) -> Wrapper:
@@ -450,6 +470,7 @@ class Wrapper:
         same text on all of AGREE pages or more. Without: the deepest element that has three fifths of the varying text; if that is
         none, all slots but those that had the same text on all of the host's pages of this form, three or more.
         """
+        self.settle()
         if (node := self.of[True]) is not None:
             _mark_articles(node)
             _prune(node, self.pages[True] >= AGREE)
@@ -492,6 +513,16 @@ def _without_spans(node: Node) -> None:
         _without_spans(kid)
 
 
+def _add_up(a: Node, b: Node) -> None:
+    """Add the sizes of a tree to those of one of the same form."""
+    a.size += b.size
+    if a.same != b.same:
+        a.same = None
+    a.doubtful = a.doubtful and b.doubtful
+    for x, y in zip(a.kids, b.kids, strict=True):
+        _add_up(x, y)
+
+
 def _mark_articles(node: Node) -> bool:
     """Whether there is a content node in or at ``node``, after marking."""
     if _tag(node.symbol) == "article":

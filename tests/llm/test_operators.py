@@ -887,3 +887,18 @@ def test_values_of_awkward_rows(spark):
     for r in stored:
         data = bytes(r.media)
         assert b"".join(data[a:b] for a, b in media.read_index(data)["samples"]) == media.padded(r.text)
+
+
+def test_doubtful_parts_are_held_against_the_text_of_all_pages():
+    plain = [f"<body><article><h1>T</h1><p>{'word ' * 3}number {i}</p></article></body>" for i in range(20)]
+    with_advert = f"<body><article><p>short</p><div class='ad'>{'buy ' * 15}</div></article></body>"
+    for pages in ([*plain, with_advert], [with_advert, *plain]):
+        wrapper = html_extraction.infer_wrapper(pages)
+        assert html_extraction.main_text(with_advert, wrapper)[0] == "short"
+    # what is added up before it is merged is all there
+    several = [p.replace("<h1>", "<b>x</b>" * (i % 3) + "<h1>") for i, p in enumerate(plain)]
+    out = html_extraction.Wrapper()
+    for p in several:
+        out.add(html_extraction.Page(p))
+    out.settle()
+    assert out.pages[True] == 20 and out.of[True].size == sum(html_extraction.Page(p).chars for p in several)
