@@ -24,14 +24,15 @@ def parse_centroid(c: Column | str) -> Column:
 def parse_wkt(c: Column | str) -> Column:
     """Rings of a POLYGON text, the outer first. Bad text gives no rings, never an error; points that are no numbers are left out."""
     body = F.regexp_extract(col(c), r"(?is)^\s*POLYGON\s*(?:Z\s*)?\(\s*\((.*)\)\s*\)\s*$", 1)
+    none = F.array().cast(RINGS)
 
     def points(ring: Column) -> Column:
         numbers = F.transform(F.split(ring, ","), lambda p: F.split(F.trim(p), r"\s+"))
         made = F.transform(numbers, lambda p: point(F.get(p, F.lit(0)).try_cast("double"), F.get(p, F.lit(1)).try_cast("double")))
         return F.filter(made, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
-    rings = F.filter(F.transform(F.split(body, r"\)\s*,\s*\("), points), lambda r: F.size(r) > 0)
-    return F.when(body == "", F.array().cast(RINGS)).otherwise(F.coalesce(rings, F.array().cast(RINGS)))
+    rings = lambda b: F.filter(F.transform(F.split(b, r"\)\s*,\s*\("), points), lambda r: F.size(r) > 0)
+    return once(body, lambda b: F.when(b == "", none).otherwise(F.coalesce(rings(b), none)))
 
 
 def to_wkt(rings: Column | str) -> Column:

@@ -107,3 +107,7 @@ def test_nearest_centres_of_crowds_take_places(spark, monkeypatch):
     want = {(x, y): min(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for _, a, b in centres) for _, _, x, y in points}
     assert len(rows) == 1000 and all(r.distance == pytest.approx(want[points[r.id][2:]]) for r in rows)
     assert all(t.count() <= 4 for t in kept if "x" in t.columns)
+
+
+def test_a_shape_is_read_once(spark, sf):
+    assert QUERIES["s168_dissolve"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
