@@ -132,7 +132,7 @@ def inside(x: Column, y: Column, rings: Column | str) -> Column:
 
 def compactness(area: Column, perimeter: Column) -> Column:
     """1 for a circle, less for longer shapes; 0 without a border."""
-    return F.when(perimeter > 0, 4 * F.pi() * area / (perimeter * perimeter)).otherwise(0.0)
+    return once(perimeter, lambda p: F.when(p > 0, 4 * F.pi() * area / (p * p)).otherwise(0.0))
 
 
 def distance(x0: Column, y0: Column, x1: Column, y1: Column, units: float = 1.0) -> Column:

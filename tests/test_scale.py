@@ -111,3 +111,7 @@ def test_nearest_centres_of_crowds_take_places(spark, monkeypatch):
 
 def test_a_shape_is_read_once(spark, sf):
     assert QUERIES["s168_dissolve"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+def test_compactness_goes_around_a_ring_once(spark, sf):
+    assert QUERIES["s098_compactness"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("SQRT(") == 1
