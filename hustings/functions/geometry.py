@@ -53,6 +53,12 @@ def open_ring(ring: Column) -> Column:
     return F.when((F.size(ring) > 1) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1)), F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
 
 
+def open_rings(rings: Column | str) -> Column:
+    """All rings opened, to be exploded as they are: of a plain column that is exploded Spark makes a filter, and takes it below where the rows are dealt to tasks,
+    so that one task of few reads all texts to find rows without rings."""
+    return F.transform(col(rings), open_ring)
+
+
 def round_ring(ring: Column, digits: int) -> Column:
     return F.transform(ring, lambda p: point(F.round(p["x"], digits), F.round(p["y"], digits)))
 

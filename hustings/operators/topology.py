@@ -13,7 +13,7 @@ from hustings.shared import by_shuffle, materialize
 
 def vertices(shapes: DataFrame, digits: int = 3) -> DataFrame:
     """Rows (id, ring, pos, x, y, key) of shapes (id, rings); the closing vertex is dropped, keys are rounded coordinates."""
-    rings = shapes.select("id", F.posexplode("rings").alias("ring", "r")).select("id", "ring", F.posexplode(g.open_ring(F.col("r"))).alias("pos", "p"))
+    rings = shapes.select("id", F.posexplode(g.open_rings("rings")).alias("ring", "r")).select("id", "ring", F.posexplode("r").alias("pos", "p"))
     key = F.concat_ws(",", F.round("p.x", digits).cast("string"), F.round("p.y", digits).cast("string"))
     return rings.select("id", "ring", "pos", "p.x", "p.y", key.alias("key"))
 
@@ -21,7 +21,7 @@ def vertices(shapes: DataFrame, digits: int = 3) -> DataFrame:
 def edges(shapes: DataFrame, digits: int = 3) -> DataFrame:
     """Rows (id, ring, pos, k1, k2, length), k1 < k2: each vertex with the next of its ring, by array, without a window."""
     key = lambda p: F.concat_ws(",", F.round(p["x"], digits).cast("string"), F.round(p["y"], digits).cast("string"))
-    opened = shapes.select("id", F.posexplode("rings").alias("ring", "r")).select("id", "ring", g.open_ring(F.col("r")).alias("r"))
+    opened = shapes.select("id", F.posexplode(g.open_rings("rings")).alias("ring", "r"))
     n = F.size("r")
     pairs = F.transform("r", lambda p, i: F.struct(p.alias("p"), F.get(F.col("r"), F.when(i + 1 < n, i + 1).otherwise(F.lit(0))).alias("q")))
     each = opened.select("id", "ring", F.posexplode(pairs).alias("pos", "e"))
@@ -52,7 +52,7 @@ def adjacency_by_overlap(shapes: DataFrame, size: float = 1.0, digits: int = 3,
     Edges meet where they lie on the same line (direction and offset, rounded) and, along it, in the same stretch of one of the levels there are, each
     twice as long as the next, from ``size`` on; a pair of edges is measured in the first stretch that both have.
     """
-    opened = shapes.select("id", F.posexplode("rings").alias("ring", "r")).select("id", g.open_ring(F.col("r")).alias("r"))
+    opened = shapes.select("id", F.explode(g.open_rings("rings")).alias("r"))
     n = F.size("r")
     pairs = F.transform("r", lambda p, i: F.struct(p.alias("p"), F.get(F.col("r"), F.when(i + 1 < n, i + 1).otherwise(F.lit(0))).alias("q")))
     each = opened.select("id", F.explode(pairs).alias("e"))
@@ -101,7 +101,7 @@ def directed_edges(shapes: DataFrame, digits: int = 3) -> DataFrame:
     """Rows (id, ring, pos, a, b, x, y, turn) of shapes (id, rings): each edge in the direction of its ring, from key ``a`` at (x, y) to key ``b``;
     the sum of ``turn`` over a ring is its signed area."""
     key = lambda p: F.concat_ws(",", F.round(p["x"], digits).cast("string"), F.round(p["y"], digits).cast("string"))
-    opened = shapes.select("id", F.posexplode("rings").alias("ring", "r")).select("id", "ring", g.open_ring(F.col("r")).alias("r"))
+    opened = shapes.select("id", F.posexplode(g.open_rings("rings")).alias("ring", "r"))
     n = F.size("r")
     pairs = F.transform("r", lambda p, i: F.struct(p.alias("p"), F.get(F.col("r"), F.when(i + 1 < n, i + 1).otherwise(F.lit(0))).alias("q")))
     each = opened.select("id", "ring", F.posexplode(pairs).alias("pos", "e"))
@@ -160,13 +160,15 @@ def gap_owner(gap_vertices: DataFrame, vertex: DataFrame) -> DataFrame:
 
 def redundant_vertices(shapes: DataFrame, digits: int = 3) -> DataFrame:
     """Rows (key): vertices with just two neighbours over all rings, in line with them, in rings of four vertices or more."""
-    opened = shapes.select("id", F.posexplode("rings").alias("ring", "r")).select("id", "ring", g.open_ring(F.col("r")).alias("r")).filter(F.size("r") >= 4)
+    opened = shapes.select("id", F.posexplode(g.open_rings("rings")).alias("ring", "r")).filter(F.size("r") >= 4)
     n = F.size("r")
     each = opened.select(F.explode(F.transform("r", lambda p, i: F.struct(p.alias("p"), F.get(F.col("r"), F.when(i > 0, i - 1).otherwise(n - 1)).alias("a"), F.get(F.col("r"), F.when(i + 1 < n, i + 1).otherwise(F.lit(0))).alias("b")))).alias("e"))
     key = lambda p: F.concat_ws(",", F.round(p["x"], digits).cast("string"), F.round(p["y"], digits).cast("string"))
     p, a, b = F.col("e.p"), F.col("e.a"), F.col("e.b")
     line = (p["x"] - a["x"]) * (b["y"] - p["y"]) == (p["y"] - a["y"]) * (b["x"] - p["x"])
-    counted = each.select(key(p).alias("key"), F.explode(F.array(key(a), key(b))).alias("near"), line.alias("line")).groupBy("key").agg(F.count_distinct("near").alias("n"), F.bool_and("line").alias("line"))
+    # a vertex that is a corner of one ring is none of these, whatever its neighbours there
+    near = F.explode(F.when(~line, F.array(F.lit(None).cast("string"))).otherwise(F.array(key(a), key(b))))
+    counted = each.select(key(p).alias("key"), near.alias("near"), line.alias("line")).groupBy("key").agg(F.count_distinct("near").alias("n"), F.bool_and("line").alias("line"))
     return counted.filter("n = 2 and line").select("key")
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from comparing import assert_same
 from hustings.functions import geometry as g
-from hustings.operators import spatial
+from hustings.operators import spatial, topology
 from hustings.plans import registry
 from hustings.shared import spread
 
@@ -115,3 +115,18 @@ def test_a_shape_is_read_once(spark, sf):
 
 def test_compactness_goes_around_a_ring_once(spark, sf):
     assert QUERIES["s098_compactness"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("SQRT(") == 1
+
+
+def test_vertices_read_texts_after_they_are_dealt(spark, sf):
+    for name in ("s161_outer_boundary", "s165_redundant_vertices"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") == 1 and plan.index("regexp_extract(") < plan.index("RepartitionByExpression")
+
+
+def test_redundant_vertices_look_at_neighbours_on_lines_only(spark):
+    """A square with a midpoint on one side: its corners have no neighbours to count; a midpoint that is another shape's corner is none."""
+    square = [[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 2.0), (0.0, 2.0), (0.0, 1.0)]]
+    dented = [[(0.0, 1.0), (0.0, 0.0), (-2.0, 0.0), (-2.0, 1.0)]]
+    rows = topology.redundant_vertices(spark.createDataFrame([(1, square), (2, dented)], f"id long, rings {g.RINGS}"))
+    assert [r.key for r in rows.collect()] == ["1.0,2.0"]
+    assert "CASE WHEN NOT" in rows._jdf.queryExecution().optimizedPlan().toString()
