@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from hustings.functions import geometry as g
 from hustings.operators import grids
 from hustings.operators.graph import connected_components
-from hustings.shared import by_shuffle, materialize
+from hustings.shared import by_shuffle, materialize, spread
 
 
 def vertices(shapes: DataFrame, digits: int = 3) -> DataFrame:
@@ -236,11 +236,20 @@ def dissolve(shapes: DataFrame, keys: list[str], sums: list[str], firsts: list[s
     return shapes.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums], *[F.min_by(c, order).alias(c) for c in firsts], (F.sum(F.col("cx") * area) / F.sum(area)).alias("cx"), (F.sum(F.col("cy") * area) / F.sum(area)).alias("cy"))
 
 
+#: Vertices that a task counts.
+DEALT = 500_000
+
+
 def layer_statistics(vertex: DataFrame) -> DataFrame:
-    """One row: shapes, vertices, holes and shared vertices of a layer."""
-    rings = vertex.groupBy("id").agg(F.count(F.lit(1)).alias("v"), F.count_distinct("ring").alias("r"))
+    """One row: shapes, vertices, holes and shared vertices of a layer.
+
+    Vertices are made once and dealt by their number, by shape and by place, so that a task counts as many in any layer.
+    """
+    vertex = materialize(vertex.select("id", "ring", "key"))
+    rings = spread(vertex.select("id", "ring"), "id", DEALT).groupBy("id").agg(F.count(F.lit(1)).alias("v"), F.count_distinct("ring").alias("r"))
     first = rings.agg(F.count(F.lit(1)).alias("shapes"), F.sum("v").alias("vertices"), F.sum(F.col("r") - 1).alias("holes"))
-    shared = vertex_sharing(vertex).agg(F.count(F.lit(1)).alias("shared_vertices"))
+    places = spread(vertex.select("id", "key"), "key", DEALT).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    shared = places.filter("least <> most").agg(F.count(F.lit(1)).alias("shared_vertices"))
     return first.crossJoin(F.broadcast(shared))
 
 

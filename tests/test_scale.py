@@ -130,3 +130,16 @@ def test_redundant_vertices_look_at_neighbours_on_lines_only(spark):
     rows = topology.redundant_vertices(spark.createDataFrame([(1, square), (2, dented)], f"id long, rings {g.RINGS}"))
     assert [r.key for r in rows.collect()] == ["1.0,2.0"]
     assert "CASE WHEN NOT" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_layer_statistics_deal_vertices_by_their_number(spark, monkeypatch):
+    """A row of 100 squares with a hole each; the first comes as two rows."""
+    dealt, plain = [], topology.spread
+    monkeypatch.setattr(topology, "DEALT", 100)
+    monkeypatch.setattr(topology, "spread", lambda *a: dealt.append(plain(*a)) or dealt[-1])
+    ring = lambda *points: F.array(*[g.point(F.col("id") + x, F.lit(y)) for x, y in points])
+    rings = F.array(ring((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)), ring((0.25, 0.25), (0.5, 0.25), (0.25, 0.5)))
+    shapes = spark.range(100).select("id", rings.alias("rings"))
+    row = topology.layer_statistics(topology.vertices(shapes.unionByName(shapes.filter("id = 0")).coalesce(1))).first()
+    assert row.asDict() == {"shapes": 100, "vertices": 707, "holes": 100, "shared_vertices": 198}
+    assert [d.rdd.getNumPartitions() for d in dealt] == [8, 8]
